@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.llm.base import crc_mod5
 from sluice.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,24 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; the model is learned from rows not held out."""
+    from sluice.llm.quality_fm import learn_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, learn_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and rejected of every document; dictionaries are learned from rows not held out."""
+    from sluice.llm.language_id import learn_dictionaries, predict_languages
+
+    docs = table(spark, sf_dir, "documents")
+    found = predict_languages(docs, learn_dictionaries(docs))
+    return found.select("doc_id", (crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_pretokens, n_tokens of every document."""
     from sluice.llm.token_counts import count_tokens
