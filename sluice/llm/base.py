@@ -55,9 +55,13 @@ class Scratch:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         _KEPT.append((spark, self.root))
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def path(self) -> str:
+        """A new path below the shared folder."""
         self.n += 1
-        path = f"{self.root}/{self.n}"
+        return f"{self.root}/{self.n}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = self.path()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

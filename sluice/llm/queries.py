@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.base import crc_mod5
+from sluice.llm.base import Scratch, crc_mod5
 from sluice.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,17 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from written archives."""
+    from sluice.llm.warc import plan_records, read_records, write_archives
+
+    path = Scratch(spark, "warc").path()
+    write_archives(plan_records(table(spark, sf_dir, "pages")), path)
+    back = read_records(spark, path)
+    number = lambda c: F.expr(f"try_cast({c} AS BIGINT)").alias
+    return back.select(number("record_id")("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to")("refers_to"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every document; dictionaries are learned from rows not held out."""
     from sluice.llm.language_id import learn_dictionaries, predict_languages
