@@ -24,6 +24,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts of base spans, base_sha256 and all spans of every document."""
+    from sluice.llm.pii import BASE_KINDS, KINDS, find_personal_data, spans_text
+
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans_text("base", BASE_KINDS), 256).alias("base_sha256"), spans_text("all", KINDS).alias("spans"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; the model is learned from rows not held out."""
     from sluice.llm.quality_fm import learn_quality, score_quality
