@@ -24,6 +24,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed and the positions of removed lines of every document."""
+    from sluice.llm.line_dedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts of base spans, base_sha256 and all spans of every document."""
     from sluice.llm.pii import BASE_KINDS, KINDS, find_personal_data, spans_text
