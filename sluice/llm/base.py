@@ -6,6 +6,7 @@ import atexit
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +73,33 @@ class Scratch:
             _delete(self.spark, t._scratch_path)
 
 
+#: Slots of the bit table with which a scan skips rows that no later join can need: 1 MB, whatever the data.
+FILTER_SLOTS = 1 << 23
+
+
+def slot(key: Column) -> Column:
+    """The place of a key in the bit table."""
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_SLOTS))
+
+
+def bit_table(keys: DataFrame, key: str) -> np.ndarray:
+    """Bits of the slots that any key has: at most FILTER_SLOTS / 8 bytes reach the driver.
+
+    A set bit may come from another key, so it only saves work; what it lets pass is joined exactly.
+    """
+    placed = keys.select((slot(F.col(key)) + 1).alias("p"))
+    rows = placed.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    out = np.zeros(FILTER_SLOTS // 8, np.uint8)
+    for r in rows:
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def has_slot(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which slots are set."""
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -31,6 +31,20 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector at cosine 0.9."""
+    from sluice.llm.embedding_links import link_vectors
+
+    return link_vectors(table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: four words, similarity 0.85."""
+    from sluice.llm.ngram_join import join_documents
+
+    return join_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts of base spans, base_sha256 and all spans of every document."""
     from sluice.llm.pii import BASE_KINDS, KINDS, find_personal_data, spans_text
