@@ -139,6 +139,24 @@ def _arrays(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: i
     return map_texts(docs.filter(F.col(id_col).isNotNull()), run, f"id {kind}, shingles array<long>", id=F.col(id_col), slot=slot(F.col(id_col)), text=F.col(text_col))
 
 
+def _screened(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that sizes and bitmaps do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("a", "b"))
+                na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+                lacking = (np.bitwise_count(x & ~y).sum(1, dtype=np.int64) for x, y in ((a, b), (b, a)))
+                most = np.minimum(*(n - m for n, m in zip((na, nb), lacking, strict=True)))
+                yield batch.filter(pa.array((100 + percent) * most >= percent * (na + nb))).select(["u", "v"])
+
+    side = lambda c, x: reps.select(F.col("id").alias(c), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(x))
+    both = pairs.join(side("v", "b"), "v").join(side("u", "a"), "u")
+    kind = pairs.schema["u"].dataType.simpleString()
+    return map_texts(both, run, f"u {kind}, v {kind}", **{c: F.col(c) for c in ("u", "v", "a", "b", "na", "nb")})
+
+
 def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose sets reach the threshold, by intersection of sorted arrays."""
 
@@ -158,6 +176,15 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return map_texts(both, run, f"u {kind}, v {kind}", u=F.col("u"), v=F.col("v"), a=F.col("a"), b=F.col("b")).distinct()
 
 
+def _exact(pairs: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """Those pairs that reach the threshold; shingles are made anew for their documents alone."""
+    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    arrays = scratch.keep(_arrays(docs, ids, id_col, text_col, size).join(ids, "id"))
+    links = scratch.keep(_verified(pairs, arrays, percent))
+    scratch.drop(arrays)
+    return links
+
+
 def may_link(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Matrix of pairs whose sizes and bitmaps do not rule out the threshold."""
     pa_, pb = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a, b))
@@ -235,9 +262,8 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tokens = reps.select("id", F.explode("prefix").alias("bucket")).repartition("bucket")
     least = tokens.groupBy("bucket").agg(F.min("id").alias("c"), F.max("id").alias("most")).filter("c <> most").select("bucket", "c")
     buckets = scratch.keep(tokens.join(least, "bucket"))
-    arrays = scratch.keep(_arrays(docs, buckets.select("id"), id_col, text_col, size))
-    tried = buckets.groupBy("id").agg(F.min("c").alias("v")).filter("id <> v").select(F.col("id").alias("u"), "v")
-    links = scratch.keep(_verified(tried, arrays, percent))
+    least = buckets.groupBy("id").agg(F.min("c").alias("v")).filter("id <> v").select(F.col("id").alias("u"), "v")
+    links = _exact(scratch.keep(_screened(least, reps.select("id", "n", "bitmap"), percent)), docs, scratch, id_col, text_col, size, percent)
     roots = connected_components(links, scratch).withColumnsRenamed({"node": "id", "root": "comp"})
     placed = buckets.join(roots, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
     # of buckets with the same members one is enough
@@ -246,7 +272,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .filter("low <> high").groupBy("low", "high", "g", "m0", "m1").agg(F.min("bucket").alias("bucket")).select("bucket")
     )
     rows = placed.join(open_buckets, "bucket").join(reps.select("id", "n", "bitmap"), "id")
-    more = scratch.keep(_verified(scratch.keep(_tile_pairs(rows, percent)), arrays, percent))
+    more = _exact(scratch.keep(_tile_pairs(rows, percent)), docs, scratch, id_col, text_col, size, percent)
     roots = connected_components(links.unionByName(more), scratch).withColumnRenamed("node", "rep")
     found = members.join(roots, "rep", "left").select("id", F.coalesce("root", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
     out = sketches.select("id", "n").join(found, "id", "left")
