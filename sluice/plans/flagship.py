@@ -10,13 +10,13 @@ from sluice.session import table
 
 ORACLE = """
 WITH roll AS (
-  SELECT event_id, user_id, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS correct,
+  SELECT event_id, user_id, CASE WHEN event_type = 'purchase' THEN 1e0 ELSE 0e0 END AS correct,
          CAST(trunc(value) AS INTEGER) AS len FROM events),
 g AS (
   SELECT *, avg(correct) OVER (PARTITION BY user_id) AS acc,
-         coalesce(min(CASE WHEN correct = 1.0 THEN len END) OVER (PARTITION BY user_id), 0) AS ref FROM roll),
+         coalesce(min(CASE WHEN correct = 1e0 THEN len END) OVER (PARTITION BY user_id), 0) AS ref FROM roll),
 s AS (
-  SELECT *, 0.9 * correct + 0.1 - CASE WHEN len > ref AND ref <> 0 THEN 0.001 * (len - ref) ELSE 0.0 END AS score
+  SELECT *, 0.9e0 * correct + 0.1e0 - CASE WHEN len > ref AND ref <> 0 THEN 0.001e0 * (len - ref) ELSE 0e0 END AS score
   FROM g WHERE acc > 0 AND acc <= 0.2)
 SELECT event_id, user_id, round(acc, 6) AS acc, round(score, 6) AS score,
        round((score - avg(score) OVER (PARTITION BY user_id)) / (stddev_samp(score) OVER (PARTITION BY user_id) + 1e-6), 6) AS adv
