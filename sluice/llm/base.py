@@ -64,6 +64,8 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         path = self.path()
         df.write.parquet(path)
+        # the shuffle files of the finished write go when the driver's JVM sees that nothing refers to them
+        self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

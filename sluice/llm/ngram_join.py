@@ -41,7 +41,8 @@ PIECE_BYTES = 2 << 20
 #: Documents of a window of WINDOW_BYTES that must have a shingle for it to count as frequent there.
 WINDOW_BYTES, FREQUENT = 16 << 20, 12
 MOST_FREQUENT = 1 << 16
-BITS = 2048
+#: A bitmap has the least power of two of bits that is BITS_EACH times the set's size, within these bounds.
+BITS_EACH, LEAST_BITS, MOST_BITS = 4, 256, 1 << 20
 TILE = 512
 _LUT = spaced_table()
 
@@ -63,6 +64,23 @@ def distinct_shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarr
     return h, np.searchsorted(row, np.arange(len(rows)))
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """A set's hashed bitmap. Its width is a power of two, so it can be folded to any smaller one."""
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * len(h) - 1).bit_length())) if len(h) else LEAST_BITS
+    bits = np.zeros(width, bool)
+    bits[((h >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def folded(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, folded to the narrowest."""
+    least = min(map(len, bitmaps))
+    out = np.empty((len(bitmaps), least), np.uint8)
+    for i, x in enumerate(bitmaps):
+        out[i] = np.bitwise_or.reduce(np.frombuffer(x, np.uint8).reshape(-1, least))
+    return out.view(np.uint64)
+
+
 def frequent_shingles(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
     """At most MOST_FREQUENT hashes in ascending order of their counts, over all documents."""
 
@@ -111,13 +129,10 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
             inside = np.arange(len(h)) - rows[row] < first[row]
             prefix = h[order][inside].view(np.int64)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(s)), dtype=np.uint64)]) for s in (1, 2)]
-            bits = np.zeros((len(n), BITS), bool)
-            bits[row, (h >> np.uint64(20)).astype(np.int64) % BITS] = True
-            packed = np.packbits(bits, axis=1)
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column("id"), "n": pa.array(n, pa.int64()), **{f"s{k}": pa.array((x[rows[1:]] - x[rows[:-1]]).view(np.int64)) for k, x in enumerate(sums)},
                 "prefix": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(prefix)),
-                "bitmap": pa.array([x.tobytes() for x in packed], pa.binary()),
+                "bitmap": pa.array([bitmap(h[a:b]) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)], pa.binary()),
             })
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -144,12 +159,12 @@ def _screened(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("a", "b"))
-                na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-                lacking = (np.bitwise_count(x & ~y).sum(1, dtype=np.int64) for x, y in ((a, b), (b, a)))
-                most = np.minimum(*(n - m for n, m in zip((na, nb), lacking, strict=True)))
-                yield batch.filter(pa.array((100 + percent) * most >= percent * (na + nb))).select(["u", "v"])
+            n = [batch.column(c).to_numpy() for c in ("na", "nb")]
+            keep = np.zeros(batch.num_rows, bool)
+            for i, pair in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                x = folded(list(pair))
+                keep[i] = may_link(n[0][i : i + 1], x[:1], n[1][i : i + 1], x[1:], percent)[0, 0]
+            yield batch.filter(pa.array(keep)).select(["u", "v"])
 
     side = lambda c, x: reps.select(F.col("id").alias(c), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(x))
     both = pairs.join(side("v", "b"), "v").join(side("u", "a"), "u")
@@ -189,8 +204,10 @@ def may_link(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray, perce
     """Matrix of pairs whose sizes and bitmaps do not rule out the threshold."""
     pa_, pb = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a, b))
     out = np.zeros((len(na), len(nb)), bool)
-    for at in range(0, len(na), 32):
-        s = slice(at, at + 32)
+    # a block of pairs' common bits takes about 16 MB
+    rows = max(1, (2 << 20) // (a.shape[1] * max(1, len(nb))))
+    for at in range(0, len(na), rows):
+        s = slice(at, at + rows)
         common = np.bitwise_count(a[s, None, :] & b[None]).sum(-1, dtype=np.int64)
         most = np.minimum(na[s, None] - (pa_[s, None] - common), nb[None] - (pb[None] - common))
         out[s] = (100 + percent) * most >= percent * (na[s, None] + nb[None])
@@ -199,11 +216,11 @@ def may_link(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray, perce
 
 def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs from rows (bucket, id, comp, n, bitmap): each with its own and the next smaller size band."""
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    # a little wider than the ratio of linked sizes, so that rounding never puts linked sizes two bands apart
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
     rows = rows.withColumn("band", band)
     own = rows.withColumn("own", F.lit(True))
-    # the logarithm may fall on either side of a border, so the band below that is taken too
-    lower = rows.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("up")).withColumn("band", F.col("band") + F.col("up")).drop("up").withColumn("own", F.lit(False))
+    lower = rows.withColumn("band", F.col("band") + 1).withColumn("own", F.lit(False))
     placed = own.unionByName(lower)
     # a count of pairs of bucket and band, so that large ones are cut into tiles
     counts = placed.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("g"), F.max("own").alias("any_own")).filter("any_own AND g > 1").select("bucket", "band", F.ceil(F.col("g") / TILE).cast("int").alias("k"))
@@ -243,7 +260,7 @@ def _cell(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     if not len(a) or not len(b):
         return
     n, comp, ids = (t.column(c).to_numpy() for c in ("n", "comp", "id"))
-    bits = np.frombuffer(b"".join(t.column("bitmap").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+    bits = folded(t.column("bitmap").to_pylist())
     found = may_link(n[a], bits[a], n[b], bits[b], percent) & (comp[a][:, None] != comp[b][None])
     x, y = np.nonzero(found)
     x, y = ids[a[x]], ids[b[y]]
@@ -258,12 +275,15 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     usable = sketches.filter("n > 0 AND id IS NOT NULL")
     classes = usable.groupBy("n", "s0", "s1").agg(F.min("id").alias("rep"))
     members = scratch.keep(usable.select("id", "n", "s0", "s1").join(classes, ["n", "s0", "s1"]).select("id", "n", "rep"))
+    others = scratch.keep(sketches.filter("n = 0 OR id IS NULL").select("id", "n"))
     reps = usable.join(members.filter("id = rep").select("id").distinct(), "id", "left_semi")
+    bitmaps = scratch.keep(reps.select("id", "n", "bitmap"))
     tokens = reps.select("id", F.explode("prefix").alias("bucket")).repartition("bucket")
     least = tokens.groupBy("bucket").agg(F.min("id").alias("c"), F.max("id").alias("most")).filter("c <> most").select("bucket", "c")
     buckets = scratch.keep(tokens.join(least, "bucket"))
+    scratch.drop(sketches)
     least = buckets.groupBy("id").agg(F.min("c").alias("v")).filter("id <> v").select(F.col("id").alias("u"), "v")
-    links = _exact(scratch.keep(_screened(least, reps.select("id", "n", "bitmap"), percent)), docs, scratch, id_col, text_col, size, percent)
+    links = _exact(scratch.keep(_screened(least, bitmaps, percent)), docs, scratch, id_col, text_col, size, percent)
     roots = connected_components(links, scratch).withColumnsRenamed({"node": "id", "root": "comp"})
     placed = buckets.join(roots, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
     # of buckets with the same members one is enough
@@ -271,12 +291,12 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("g"), F.sum(F.xxhash64("id") % (1 << 40)).alias("m0"), F.sum(F.xxhash64(F.lit(7), "id") % (1 << 40)).alias("m1"))
         .filter("low <> high").groupBy("low", "high", "g", "m0", "m1").agg(F.min("bucket").alias("bucket")).select("bucket")
     )
-    rows = placed.join(open_buckets, "bucket").join(reps.select("id", "n", "bitmap"), "id")
+    rows = placed.join(open_buckets, "bucket").join(bitmaps, "id")
     more = _exact(scratch.keep(_tile_pairs(rows, percent)), docs, scratch, id_col, text_col, size, percent)
     roots = connected_components(links.unionByName(more), scratch).withColumnRenamed("node", "rep")
     found = members.join(roots, "rep", "left").select("id", F.coalesce("root", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
-    out = sketches.select("id", "n").join(found, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = members.select("id", "n").join(found, "id").unionByName(others.withColumn("component", F.col("id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:

@@ -75,10 +75,7 @@ def test_bound_never_excludes_a_link():
         keep = a[rng.random(len(a)) < rng.choice([1, 0.95, 0.9])]
         b = np.union1d(keep, rng.integers(0, 1 << 62, rng.integers(0, max(1, len(a) // 10))).astype(np.uint64))
         common = len(np.intersect1d(a, b))
-        bits = np.zeros((2, ngram_join.BITS), bool)
-        for k, x in enumerate((a, b)):
-            bits[k, (x >> np.uint64(20)).astype(np.int64) % ngram_join.BITS] = True
-        packed = np.packbits(bits, axis=1).view(np.uint64)
+        packed = ngram_join.folded([ngram_join.bitmap(x) for x in (a, b)])
         linked = 100 * common >= 85 * (len(a) + len(b) - common)
         assert not linked or ngram_join.may_link(np.array([len(a)]), packed[:1], np.array([len(b)]), packed[1:])[0, 0]
 
