@@ -13,7 +13,7 @@ from sluice.session import table
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", "user_id", "event_type", (F.col("value") / 100).alias("r"), (F.col("event_type") != "error").cast("double").alias("m"))
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", (F.col("value") / 97).alias("r"), (F.col("event_type") != "error").cast("double").alias("m"))
 
 
 def _long(spark: SparkSession, d: str) -> DataFrame:
@@ -27,8 +27,8 @@ def _arrays(spark: SparkSession, d: str) -> DataFrame:
     return _long(spark, d).groupBy("user_id").agg(rows.alias("x")).select("user_id", pick("event_id").alias("event_id"), pick("r").alias("rewards"), pick("v").alias("values"), pick("m").alias("mask"))
 
 
-_LONG = """WITH t AS (SELECT event_id, user_id, value / 100 AS r, CASE WHEN event_type <> 'error' THEN 1e0 ELSE 0e0 END AS m,
-  avg(value / 100) OVER (PARTITION BY user_id) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events)"""
+_LONG = """WITH t AS (SELECT event_id, user_id, value / 97 AS r, CASE WHEN event_type <> 'error' THEN 1e0 ELSE 0e0 END AS m,
+  avg(value / 97) OVER (PARTITION BY user_id) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events)"""
 _STATS = """, s AS (SELECT sum(x * m) / (sum(m) + 1e-8) AS mu, sum(m) AS k FROM a),
   q AS (SELECT mu, (SELECT sum((x - mu) * (x - mu) * m) / (sum(m) + 1e-8) FROM a) * k / (k - 1) AS var FROM s)"""
 
@@ -45,7 +45,7 @@ def w01(spark, d):
     return _out(a.whiten_arrays(a.gae(_arrays(spark, d), 0.9, 0.95), "raw", "mask", "adv"), "adv", "returns")
 
 
-_GRPO = "SELECT event_id, round((value / 100 - avg(value / 100) OVER w) / (stddev_samp(value / 100) OVER w + 1e-6), 5) AS adv FROM events WINDOW w AS (PARTITION BY user_id)"
+_GRPO = "SELECT event_id, round((value / 97 - avg(value / 97) OVER w) / (stddev_samp(value / 97) OVER w + 1e-6), 5) AS adv FROM events WINDOW w AS (PARTITION BY user_id)"
 
 
 @query("op_w02_grpo", _GRPO)
@@ -58,7 +58,7 @@ def w03(spark, d):
     return _events(spark, d).select("event_id", F.round(a.advantage("grpo_latent", F.col("r"), "user_id"), 5).alias("adv"))
 
 
-_STEP = """WITH t AS (SELECT event_id, user_id % 20 AS uid, user_id AS row_id, value / 100 AS score, CASE WHEN event_type <> 'error' THEN 1e0 ELSE 0e0 END AS mask,
+_STEP = """WITH t AS (SELECT event_id, user_id % 20 AS uid, user_id AS row_id, value / 97 AS score, CASE WHEN event_type <> 'error' THEN 1e0 ELSE 0e0 END AS mask,
   event_type = 'purchase' AS is_end, event_type = 'signup' AND value > 100 AS is_delim, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events),
  z AS (SELECT *, CASE WHEN is_end THEN (score - avg(CASE WHEN is_end THEN score END) OVER g) / (stddev_samp(CASE WHEN is_end THEN score END) OVER g + 1e-6)
    * 1.78e0 / (sqrt(count(CASE WHEN is_end THEN 1 END) OVER g - 1) + 1e-6) ELSE 0e0 END AS x FROM t WINDOW g AS (PARTITION BY uid)),
@@ -83,7 +83,7 @@ def w05(spark, d):
     return e.select("event_id", a.fill_left(F.col("x"), "user_id", "event_id").alias("filled"))
 
 
-@query("op_w06_rloo", "SELECT event_id, round(value / 100 - (sum(value / 100) OVER w - value / 100) / (count(*) OVER w - 1), 6) AS adv FROM events WINDOW w AS (PARTITION BY user_id)")
+@query("op_w06_rloo", "SELECT event_id, round(value / 97 - (sum(value / 97) OVER w - value / 97) / (count(*) OVER w - 1), 6) AS adv FROM events WINDOW w AS (PARTITION BY user_id)")
 def w06(spark, d):
     return _events(spark, d).select("event_id", F.round(a.advantage("rloo", F.col("r"), "user_id"), 6).alias("adv"))
 
@@ -100,13 +100,13 @@ def w07(spark, d):
     return _out(a.whiten_arrays(a.discounted_returns(_arrays(spark, d), 0.9), "returns", "mask", "adv"), "adv", "returns")
 
 
-@query("op_w08_remax", "SELECT user_id, round(sum(value / 100) - avg(value / 100), 5) AS adv FROM events GROUP BY 1")
+@query("op_w08_remax", "SELECT user_id, round(sum(value / 97) - avg(value / 97), 5) AS adv FROM events GROUP BY 1")
 def w08(spark, d):
     rows = _events(spark, d).groupBy("user_id").agg(F.sum("r").alias("s"), F.avg("r").alias("b"))
     return rows.select("user_id", F.round(a.advantage("remax", F.col("s"), "user_id", F.col("b")), 5).alias("adv"))
 
 
-@query("op_c01_masked_mean", "SELECT user_id, round(sum(CASE WHEN event_type <> 'error' THEN value / 100 ELSE 0 END) / (count(CASE WHEN event_type <> 'error' THEN 1 END) + 1e-8), 6) AS mean FROM events GROUP BY 1")
+@query("op_c01_masked_mean", "SELECT user_id, round(sum(CASE WHEN event_type <> 'error' THEN value / 97 ELSE 0 END) / (count(CASE WHEN event_type <> 'error' THEN 1 END) + 1e-8), 6) AS mean FROM events GROUP BY 1")
 def c01(spark, d):
     return _events(spark, d).groupBy("user_id").agg(F.round(a.masked_mean(F.col("r"), F.col("m")), 6).alias("mean"))
 
