@@ -288,7 +288,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = buckets.join(roots, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
     # of buckets with the same members one is enough
     open_buckets = (
-        placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("g"), F.sum(F.xxhash64("id") % (1 << 40)).alias("m0"), F.sum(F.xxhash64(F.lit(7), "id") % (1 << 40)).alias("m1"))
+        placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("id")).alias("m0"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("m1"))
         .filter("low <> high").groupBy("low", "high", "g", "m0", "m1").agg(F.min("bucket").alias("bucket")).select("bucket")
     )
     rows = placed.join(open_buckets, "bucket").join(bitmaps, "id")
