@@ -44,6 +44,8 @@ MOST_FREQUENT = 1 << 16
 #: A bitmap has the least power of two of bits that is BITS_EACH times the set's size, within these bounds.
 BITS_EACH, LEAST_BITS, MOST_BITS = 4, 256, 1 << 20
 TILE = 512
+#: Members up to which a bucket's pairs are listed by size alone, before bitmaps are joined to distinct pairs.
+SMALL = 32
 _LUT = spaced_table()
 
 
@@ -215,7 +217,7 @@ def may_link(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray, perce
 
 
 def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs from rows (bucket, id, comp, n, bitmap): each with its own and the next smaller size band."""
+    """Candidate pairs from rows (bucket, id, comp, n and, if there, bitmap): each with its own and the next smaller size band."""
     # a little wider than the ratio of linked sizes, so that rounding never puts linked sizes two bands apart
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
     rows = rows.withColumn("band", band)
@@ -228,7 +230,7 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     other = tiled.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x"))
     mine = other.filter("own").select("*", F.lit(0).alias("kind"), F.least("s", "x").alias("i"), F.greatest("s", "x").alias("j"), (F.col("s") <= F.col("x")).alias("first"))
     across = other.select("*", F.lit(1).alias("kind"), F.when(F.col("own"), F.col("s")).otherwise(F.col("x")).alias("i"), F.when(F.col("own"), F.col("x")).otherwise(F.col("s")).alias("j"), F.col("own").alias("first"))
-    cells = mine.unionByName(across).select("bucket", "band", "kind", "i", "j", "first", "id", "comp", "n", "bitmap")
+    cells = mine.unionByName(across).select("bucket", "band", "kind", "i", "j", "first", "id", "comp", "n", *(c for c in rows.columns if c == "bitmap"))
     key = ["bucket", "band", "kind", "i", "j"]
     sorted_cells = cells.repartition(*key).sortWithinPartitions(*key)
     id_type = rows.schema["id"].dataType.simpleString()
@@ -260,8 +262,12 @@ def _cell(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     if not len(a) or not len(b):
         return
     n, comp, ids = (t.column(c).to_numpy() for c in ("n", "comp", "id"))
-    bits = folded(t.column("bitmap").to_pylist())
-    found = may_link(n[a], bits[a], n[b], bits[b], percent) & (comp[a][:, None] != comp[b][None])
+    if "bitmap" in t.column_names:
+        bits = folded(t.column("bitmap").to_pylist())
+        found = may_link(n[a], bits[a], n[b], bits[b], percent)
+    else:
+        found = 100 * np.minimum(n[a][:, None], n[b][None]) >= percent * np.maximum(n[a][:, None], n[b][None])
+    found &= comp[a][:, None] != comp[b][None]
     x, y = np.nonzero(found)
     x, y = ids[a[x]], ids[b[y]]
     out = x > y if alone else x != y
@@ -289,10 +295,15 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # of buckets with the same members one is enough
     open_buckets = (
         placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("id")).alias("m0"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("m1"))
-        .filter("low <> high").groupBy("low", "high", "g", "m0", "m1").agg(F.min("bucket").alias("bucket")).select("bucket")
+        .filter("low <> high").groupBy("low", "high", "g", "m0", "m1").agg(F.min("bucket").alias("bucket")).select("bucket", "g")
     )
-    rows = placed.join(open_buckets, "bucket").join(bitmaps, "id")
-    more = _exact(scratch.keep(_tile_pairs(rows, percent)), docs, scratch, id_col, text_col, size, percent)
+    rows = scratch.keep(placed.join(open_buckets, "bucket").join(bitmaps.select("id", "n"), "id"))
+    # bitmaps are as large as half a byte for each shingle, so they go with members of large buckets only; pairs of
+    # small ones, often met in several buckets, are made distinct first
+    small = scratch.keep(_tile_pairs(rows.filter(F.col("g") <= SMALL), percent))
+    large = _tile_pairs(rows.filter(F.col("g") > SMALL).join(bitmaps.select("id", "bitmap"), "id"), percent)
+    pairs = scratch.keep(_screened(small, bitmaps, percent).unionByName(large).distinct())
+    more = _exact(pairs, docs, scratch, id_col, text_col, size, percent)
     roots = connected_components(links.unionByName(more), scratch).withColumnRenamed("node", "rep")
     found = members.join(roots, "rep", "left").select("id", F.coalesce("root", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
     out = members.select("id", "n").join(found, "id").unionByName(others.withColumn("component", F.col("id")))
