@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules whose import registers queries.
-MODULES = ("sluice.plans.flagship", "sluice.plans.batch_queries", "sluice.plans.numeric_queries")
+MODULES = ("sluice.plans.flagship", "sluice.plans.batch_queries", "sluice.plans.numeric_queries", "sluice.plans.text_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
