@@ -39,8 +39,8 @@ from sluice.llm.kernels import mix, shingle_hashes, spaced_table, words
 SIZE, PERCENT = 4, 85
 PIECE_BYTES = 2 << 20
 #: Documents of a window of WINDOW_BYTES that must have a shingle for it to count as frequent there.
-WINDOW_BYTES, FREQUENT = 16 << 20, 12
-MOST_FREQUENT = 1 << 16
+WINDOW_BYTES, FREQUENT = 16 << 20, 3
+MOST_FREQUENT = 1 << 18
 #: A bitmap has the least power of two of bits that is BITS_EACH times the set's size, within these bounds.
 BITS_EACH, LEAST_BITS, MOST_BITS = 4, 256, 1 << 20
 TILE = 512
