@@ -26,6 +26,8 @@ from sluice.llm.base import map_texts, pieces
 _NEVER = 1 << 60
 #: Bytes of text that are handled at a time.
 PIECE_BYTES = 2 << 20
+#: Remembered pairs of adjacent tokens; beyond, they start anew.
+MOST_PAIRS = 400_000
 
 
 class BytePairCodec:
@@ -79,7 +81,7 @@ class BytePairCodec:
         key = (a, b)
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) >= 4 * pretokens.MEMO_ENTRIES:
+            if len(self._compatible) >= MOST_PAIRS:
                 self._compatible.clear()
             known = self._compatible[key] = self._keeps_border(a, b)
         return known

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 PATTERN = public_tokenizers.PATTERN
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Distinct pre-tokens whose result a worker remembers, and their bytes; beyond, it starts anew.
-MEMO_ENTRIES, MEMO_BYTES = 1_000_000, 32 << 20
+MEMO_ENTRIES, MEMO_BYTES = 600_000, 20 << 20
 _SPLIT = regex.compile(PATTERN)
 
 
