@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.llm import oracles
 from sluice.llm.base import Scratch, crc_mod5
 from sluice.session import table
 
@@ -103,5 +104,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL of those that it can express."""
-    return {}
+    """DuckDB SQL of those that it can express; the others are tested against brute force, round trips or held-out rows."""
+    return {"op1_decontamination": oracles.DECONTAMINATION, "op3_embedding_links": oracles.EMBEDDING_LINKS, "op4_ngram_jaccard": oracles.NGRAM_JACCARD, "op7_warc": oracles.WARC}
