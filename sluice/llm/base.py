@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.session import shared_dir
+from sluice.session import shared_dir, ship_path
 
 #: Rows and bytes in an Arrow batch that goes to Python; both bound a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -21,6 +21,7 @@ _KEPT: list[tuple[SparkSession, str]] = []
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that a Python worker holds a few MB of text at a time."""
+    ship_path(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -40,9 +40,9 @@ SIZE, PERCENT = 4, 85
 PIECE_BYTES = 2 << 20
 #: Documents of a window of WINDOW_BYTES that must have a shingle for it to count as frequent there.
 WINDOW_BYTES, FREQUENT = 16 << 20, 3
-MOST_FREQUENT = 1 << 18
+MOST_FREQUENT = 1 << 17
 #: A bitmap has the least power of two of bits that is BITS_EACH times the set's size, within these bounds.
-BITS_EACH, LEAST_BITS, MOST_BITS = 4, 256, 1 << 20
+BITS_EACH, LEAST_BITS, MOST_BITS = 2, 256, 1 << 20
 TILE = 512
 #: Members up to which a bucket's pairs are listed by size alone, before bitmaps are joined to distinct pairs.
 SMALL = 32
