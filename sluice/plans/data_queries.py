@@ -173,10 +173,10 @@ def _chats(spark, d):
     return grouped.select("conv_id", F.transform("x", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("data"))
 
 
-_ASSISTANT = "SELECT conv_id, count(*) AS turns, count(CASE WHEN role = 'assistant' THEN 1 END) AS answers FROM conversations GROUP BY 1"
+_ASSISTANT = "SELECT conv_id, count(*) AS turns, count(CASE WHEN role = 'assistant' THEN 1 END) AS answers, count(CASE WHEN role = 'system' THEN 1 END) = 0 AS clean FROM conversations GROUP BY 1"
 
 
-@query("op_b37_preprocess", f"SELECT conv_id, turns, true AS clean FROM ({_ASSISTANT}) WHERE answers > 0 AND conv_id % 5 <> 0 AND conv_id % 3 <> 0")
+@query("op_b37_preprocess", f"SELECT conv_id, turns, clean FROM ({_ASSISTANT}) WHERE answers > 0 AND conv_id % 5 <> 0 AND conv_id % 3 <> 0")
 def b37(spark, d):
     out = ingest.preprocess_chat(_chats(spark, d), "root")
     texts = F.flatten(F.transform("data", lambda x: F.transform(x["content"], lambda c: F.coalesce(c["text"], c["image"]))))
