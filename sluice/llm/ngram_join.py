@@ -230,7 +230,7 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     other = tiled.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x"))
     mine = other.filter("own").select("*", F.lit(0).alias("kind"), F.least("s", "x").alias("i"), F.greatest("s", "x").alias("j"), (F.col("s") <= F.col("x")).alias("first"))
     across = other.select("*", F.lit(1).alias("kind"), F.when(F.col("own"), F.col("s")).otherwise(F.col("x")).alias("i"), F.when(F.col("own"), F.col("x")).otherwise(F.col("s")).alias("j"), F.col("own").alias("first"))
-    cells = mine.unionByName(across).select("bucket", "band", "kind", "i", "j", "first", "id", "comp", "n", *(c for c in rows.columns if c == "bitmap"))
+    cells = mine.unionByName(across).select("bucket", "band", "kind", "i", "j", "first", "id", "comp", "n", *(c for c in rows.columns if c in ("bitmap", "mine")))
     key = ["bucket", "band", "kind", "i", "j"]
     sorted_cells = cells.repartition(*key).sortWithinPartitions(*key)
     id_type = rows.schema["id"].dataType.simpleString()
@@ -269,9 +269,15 @@ def _cell(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
         found = 100 * np.minimum(n[a][:, None], n[b][None]) >= percent * np.maximum(n[a][:, None], n[b][None])
     found &= comp[a][:, None] != comp[b][None]
     x, y = np.nonzero(found)
-    x, y = ids[a[x]], ids[b[y]]
-    out = x > y if alone else x != y
-    yield pa.RecordBatch.from_pydict({"u": pa.array(np.maximum(x, y)[out]), "v": pa.array(np.minimum(x, y)[out])})
+    x, y = a[x], b[y]
+    keep = ids[x] > ids[y] if alone else ids[x] != ids[y]
+    x, y = x[keep], y[keep]
+    if "mine" in t.column_names:
+        own, bucket = [set(m) for m in t.column("mine").to_pylist()], t.column("bucket")[0].as_py()
+        first_common = [min(own[i] & own[j]) == bucket for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        x, y = x[np.array(first_common, bool)], y[np.array(first_common, bool)]
+    x, y = ids[x], ids[y]
+    yield pa.RecordBatch.from_pydict({"u": pa.array(np.maximum(x, y)), "v": pa.array(np.minimum(x, y))})
 
 
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -301,7 +307,10 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # bitmaps are as large as half a byte for each shingle, so they go with members of large buckets only; pairs of
     # small ones, often met in several buckets, are made distinct first
     small = scratch.keep(_tile_pairs(rows.filter(F.col("g") <= SMALL), percent))
-    large = _tile_pairs(rows.filter(F.col("g") > SMALL).join(bitmaps.select("id", "bitmap"), "id"), percent)
+    large = rows.filter(F.col("g") > SMALL)
+    # a document's own large buckets, at most as many as its prefix has shingles: a pair is made in the first common one
+    mine = large.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("mine"))
+    large = _tile_pairs(large.join(mine, "id").join(bitmaps.select("id", "bitmap"), "id"), percent)
     pairs = scratch.keep(_screened(small, bitmaps, percent).unionByName(large).distinct())
     more = _exact(pairs, docs, scratch, id_col, text_col, size, percent)
     roots = connected_components(links.unionByName(more), scratch).withColumnRenamed("node", "rep")
