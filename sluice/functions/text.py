@@ -14,7 +14,12 @@ LATENT_PAD = "<abs_vis_token_pad>"
 IMAGE = "<|vision_start|><|image_pad|><|vision_end|>"
 ASSISTANT = "<|im_start|>assistant"
 BOXED_HINT = "\nPut your final answer within \\boxed{}."
-INSTRUCTION = " Please reason step by step, and put your final answer within \\boxed{}."
+INSTRUCTION = (
+    " You FIRST think about the reasoning process as an internal monologue and then provide the final answer.\\nRemember: 1. Solve the problem step by step.\\n2. You MUST put the final answer in \\boxed{}."
+)
+#: Instructions that a judge's copy of a question goes without.
+QUESTION_HINTS = ("Put the letter of your choice within \\boxed{}.", "Put your final answer within \\boxed{}.", "Given the answer in a single word and put it within \\boxed{}.")
+JUDGE_QUESTION = "Does the predicted answer exactly or semantically match the ground-truth? Reply 'yes' or 'no'."
 
 
 def replace(x: Column, old: str, new: str) -> Column:
@@ -147,8 +152,8 @@ def plain_roots(x: Column) -> Column:
 
 
 def without_boxed_hint(x: Column) -> Column:
-    """A question without its instruction to box the answer, trimmed."""
-    return F.trim(replace_all(x, [(BOXED_HINT, ""), ("Put your final answer within \\boxed{}.", ""), (INSTRUCTION.strip(), "")]))
+    """A question without its instructions to box the answer, trimmed."""
+    return strip(replace_all(x, [(h, "") for h in QUESTION_HINTS]), " \n\t\r")
 
 
 def last_choice(x: Column) -> Column:
@@ -183,8 +188,8 @@ def without_thousands(x: Column) -> Column:
 
 
 def steps(x: Column, delimiter: str) -> Column:
-    """Parts of a solution by a delimiter, each without a leading number."""
-    return F.transform(F.split(x, delimiter, -1), lambda s: F.regexp_replace(s, "^\\s*[0-9]+[.:)]?\\s*", ""))
+    """Parts of a solution by a delimiter, each trimmed and without a leading number and colon."""
+    return F.transform(F.split(x, delimiter, -1), lambda s: strip(F.regexp_replace(s, "^ [0-9]+(\\.[0-9]+)?: ", ""), " \n\t\r"))
 
 
 def all_numbers(x: Column) -> Column:
@@ -217,5 +222,17 @@ def render_prompt(question: Column) -> Column:
 
 
 def judge_prompt(question: Column, pred: Column, truth: Column) -> Column:
-    """The prompt that asks whether a prediction matches the truth."""
-    return F.concat(F.lit("Question: "), question, F.lit("\nPrediction: "), pred, F.lit("\nGround truth: "), truth, F.lit("\nIs the prediction correct? Answer yes or no."))
+    """The prompt that asks whether a prediction matches the truth; nulls are empty."""
+    said = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(F.lit("Question: "), said(question), F.lit("\nPredicted Answer: "), said(pred), F.lit("\nGround Truth Answer: "), said(truth), F.lit("\n" + JUDGE_QUESTION))
+
+
+def choice_prompt(question: Column, options: Column, pred: Column) -> Column:
+    """The last part of the prompt that matches an answer with options; the caller puts examples before it."""
+    return F.concat(F.lit("Question: "), question, F.lit("?\nOptions: "), options, F.lit("\nAnswer: "), pred, F.lit("\nYour output: "))
+
+
+def extraction_prompt(examples: Column, question: Column, answer: Column, response: Column) -> Column:
+    """The prompt that extracts and judges a response, after its examples."""
+    asked = F.concat(F.lit("[Question]: "), question, F.lit("\n[Standard Answer]: "), answer, F.lit("\n[Model Response]: "), response, F.lit("\n[Extracted answer]: "))
+    return F.concat(strip(examples, " \n\t\r"), F.lit("\n\n"), asked)

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from sluice.functions import text as t
 
 CONTENT = "array<struct<type:string,text:string,image:string>>"
-#: Names of source data by a part of their path, in order.
-DATASETS = (("Thyme", "Thyme"), ("Geometry3K", "Geometry3K"), ("Zebra_CoT", "Zebra_CoT"))
+#: Parts that a path must have and must not have, and the name they mean; the first rule that fits counts.
+DATASETS = (
+    (("math3k",), (), "Geometry3K"), (("geometry3k",), (), "Geometry3K"), (("math",), (), "Math3K"),
+    (("Thyme-RL",), ("val",), "Thyme-train"), (("Thyme-RL", "val"), (), "Thyme-val"),
+)
 OPEN, CLOSE = "<observation>", "</observation>"
 #: Samples whose questions keep the hint to box the answer.
 KEEP_HINT = ("Zebra_CoT_visual_search", "Zebra_CoT_count")
@@ -58,10 +61,15 @@ def read_many(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
 
 
 def dataset_name(path: Column) -> Column:
-    """The first name whose part a path contains; an error if there is none."""
+    """The name of the first rule that a path fits; an error if there is none."""
     out = F.raise_error(F.concat(F.lit("no dataset name for "), path)).cast("string")
-    for part, name in reversed(DATASETS):
-        out = F.when(path.contains(part), name).otherwise(out)
+    for parts, without, name in reversed(DATASETS):
+        fits = F.lit(True)
+        for p in parts:
+            fits = fits & path.contains(p)
+        for p in without:
+            fits = fits & ~path.contains(p)
+        out = F.when(fits, name).otherwise(out)
     return out
 
 

@@ -52,10 +52,10 @@ def a04(spark, d):
     return ingest.read_many(spark, [path, path], "doc_id long").select("doc_id", "source_ord")
 
 
-@query("op_a05_dataset_name", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Thyme' WHEN 1 THEN 'Geometry3K' ELSE 'Zebra_CoT' END AS name FROM documents")
+@query("op_a05_dataset_name", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Thyme-val' WHEN 1 THEN 'Geometry3K' ELSE 'Thyme-train' END AS name FROM documents")
 def a05(spark, d):
     k = F.col("doc_id") % 3
-    path = F.concat(F.lit("/data/"), F.when(k == 0, "Thyme-val").when(k == 1, "Geometry3K").otherwise("Zebra_CoT_count"), F.lit("/train"))
+    path = F.concat(F.lit("/data/"), F.when(k == 0, "Thyme-RL/val").when(k == 1, "geometry3k").otherwise("Thyme-RL/train"), F.lit("/x"))
     return _docs(spark, d).select("doc_id", ingest.dataset_name(path).alias("name"))
 
 

@@ -93,7 +93,7 @@ def g11(spark, d):
 
 @query("op_g15_steps", "SELECT event_id, ['first ' || event_id, 'then b', 'end'] AS steps FROM events")
 def g15(spark, d):
-    text = F.concat(F.lit("1. first "), F.col("event_id").cast("string"), F.lit("### Step 2: then b### Step 3) end"))
+    text = F.concat(F.lit("first "), F.col("event_id").cast("string"), F.lit(" ### Step 2: then b### Step 3.1: end\n"))
     return table(spark, d, "events").select("event_id", t.steps(text, "### Step").alias("steps"))
 
 
@@ -200,11 +200,11 @@ _case("op_s35_boxed_hint", ("What is ", None, "?\nPut your final answer within \
 _case("op_s37_last_choice", ("is it a or B", None, " c or (d)."), t.last_choice, "'D'")
 _case("op_s38_triggered_choice", ("A? the choice is ", None, " (b) not c"), t.triggered_choice, "'B'")
 _case("op_s39_only_number", ("about -", None, ".5 m"), t.only_number, "regexp_replace(x, '[^0-9.\\-]', '', 'g')")
-_case("op_s40_judge_prompt", ("q", None), lambda x: t.judge_prompt(x, F.lit("p"), F.lit("t")), "'Question: ' || x || chr(10) || 'Prediction: p' || chr(10) || 'Ground truth: t' || chr(10) || 'Is the prediction correct? Answer yes or no.'")
-_case("op_s41_choice_prompt", ("q", None), lambda x: F.format_string("Question: %s\nOptions:\n%s\nAnswer: %s", x, F.lit("A. 1\nB. 2"), F.lit("B")), "'Question: ' || x || chr(10) || 'Options:' || chr(10) || 'A. 1' || chr(10) || 'B. 2' || chr(10) || 'Answer: B'")
-_case("op_s42_extract_prompt", ("q", None), lambda x: F.format_string("%s\n\n%s\n\nExtracted answer: ", x, F.lit("r")), "x || chr(10) || chr(10) || 'r' || chr(10) || chr(10) || 'Extracted answer: '")
+_case("op_s40_judge_prompt", ("q", None), lambda x: t.judge_prompt(x, F.lit("p"), F.lit("t")), "'Question: ' || x || chr(10) || 'Predicted Answer: p' || chr(10) || 'Ground Truth Answer: t' || chr(10) || 'Does the predicted answer exactly or semantically match the ground-truth? Reply ''yes'' or ''no''.'")
+_case("op_s41_choice_prompt", ("q", None), lambda x: t.choice_prompt(x, F.lit("A. 1 B. 2"), F.lit("B")), "'Question: ' || x || '?' || chr(10) || 'Options: A. 1 B. 2' || chr(10) || 'Answer: B' || chr(10) || 'Your output: '")
+_case("op_s42_extract_prompt", ("q", None), lambda x: t.extraction_prompt(F.lit(" examples\n"), x, F.lit("a"), F.lit("r")), "'examples' || chr(10) || chr(10) || '[Question]: ' || x || chr(10) || '[Standard Answer]: a' || chr(10) || '[Model Response]: r' || chr(10) || '[Extracted answer]: '")
 _case("op_b50_vision_prompt", ("q", None), lambda x: F.when(~x.contains("<image>"), F.concat(F.lit("<image>\n"), x)).otherwise(x), "'<image>' || chr(10) || x")
-_case("op_e08_template", ("  q", None, " "), lambda x: F.concat(F.trim(x), F.lit(t.INSTRUCTION)), "trim(x) || ' Please reason step by step, and put your final answer within \\boxed{}.'")
+_case("op_e08_template", ("  q", None, " "), lambda x: F.concat(F.trim(x), F.lit(t.INSTRUCTION)), "trim(x) || ' You FIRST think about the reasoning process as an internal monologue and then provide the final answer.\\nRemember: 1. Solve the problem step by step.\\n2. You MUST put the final answer in \\boxed{}.'")
 _case("op_e02_function_path", ("dir/f", None, ".py"), lambda x: F.struct(F.get(F.split(x, ":", -1), F.lit(0)).alias("path"), F.coalesce(F.get(F.split(x, ":", -1), F.lit(1)), F.lit("main")).alias("name"))["name"], "'main'")
 _case("op_s36_grouped_digits", ("n ", None, "1234567asd"), t.grouped_digits, "'n ' || format('{:,}', CAST(CAST(event_id AS VARCHAR) || '1234567' AS BIGINT)) || 'asd'")
 _case("op_s29_thousands", ("1,234,567 and ", None, ",000"), t.without_thousands, "CASE WHEN length(CAST(event_id AS VARCHAR)) <= 9 THEN '1234567 and ' || CAST(event_id AS VARCHAR) || '000' END")
@@ -225,7 +225,7 @@ def s16(spark, d):
     return words.withColumn("upto", F.sum(F.length("w")).over(w)).groupBy("doc_id").agg(F.sum((F.col("upto") < 40).cast("long")).alias("kept"))
 
 
-@query("op_b30_render", "SELECT item_id, 2 AS n_parts, trim(text) || ' Please reason step by step, and put your final answer within \\boxed{}.' AS tail FROM benchmark")
+@query("op_b30_render", "SELECT item_id, 2 AS n_parts, trim(text) || ' You FIRST think about the reasoning process as an internal monologue and then provide the final answer.\\nRemember: 1. Solve the problem step by step.\\n2. You MUST put the final answer in \\boxed{}.' AS tail FROM benchmark")
 def b30(spark, d):
     parts = t.render_prompt(F.concat(F.lit("<image>"), F.trim("text")))
     return table(spark, d, "benchmark").select("item_id", F.size(parts).alias("n_parts"), F.element_at(parts, -1)["text"].alias("tail"))
