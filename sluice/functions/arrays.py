@@ -163,8 +163,8 @@ def visible_pairs(rows: DataFrame, row: str = "row_id") -> DataFrame:
 
     Token rows have pos, valid, kind (text, image, latent or observation) and step (null outside steps; the
     question image is an image of no step). Rules in order: causal and valid; a step's image is seen only by
-    itself and its latents; an observation is seen only by itself, causally, and by what follows its step.
-    Pairs are joined inside a row only, and a row may have at most 4096 tokens.
+    itself and its latents. Observations have no rule of their own.
+    Pairs are joined inside a row only; a row with more than 4096 tokens is an error.
     """
     q = rows.select(row, F.col("pos").alias("q"), F.col("valid").alias("qv"), F.col("kind").alias("qk"), F.col("step").alias("qs"))
     k = rows.select(row, F.col("pos").alias("k"), F.col("valid").alias("kv"), F.col("kind").alias("kk"), F.col("step").alias("ks"))
@@ -172,4 +172,5 @@ def visible_pairs(rows: DataFrame, row: str = "row_id") -> DataFrame:
     same = F.col("qs").eqNullSafe(F.col("ks"))
     image = (F.col("kk") == "image") & F.col("ks").isNotNull()
     allowed = seen & (~image | (same & F.col("qk").isin("image", "latent")))
-    return q.join(k, row).filter("q < 4096 AND k < 4096").select(row, "q", "k", allowed.alias("allowed"))
+    short = F.when(F.col("q") < 4096, F.col("q")).otherwise(F.raise_error(F.lit("a row has more than 4096 tokens")))
+    return q.join(k, row).select(row, short.alias("q"), "k", allowed.alias("allowed"))

@@ -187,3 +187,10 @@ def test_ingest_errors(spark, tmp_path):
     with pytest.raises(AttributeError):
         reward.load_function(f"{tmp_path}/f.py:nope")
     assert reward.with_accepted(lambda a, b=0: a + b, b=5, c=7)(1) == 6
+
+
+def test_visible_pairs_raises_on_long_rows(spark):
+    made = lambda last: spark.createDataFrame([(1, p, True, "text", None) for p in (0, last)], "row_id long, pos long, valid boolean, kind string, step long")
+    assert g.visible_pairs(made(4095)).count() == 4
+    with pytest.raises(PySparkException, match="more than 4096 tokens"):
+        g.visible_pairs(made(4096)).collect()
