@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +28,17 @@ def get_session(app: str = "sluice", cores: int | None = None, **conf: object) -
     return spark
 
 
+#: Python workers give freed blocks of 256 KB and more back at once, so that a stage does not keep what the one before took.
+WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where it is unset on a local master (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="sluice-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def ship_path(spark: SparkSession) -> None:
     """Let Python workers find this library where the driver has it (on a cluster it is installed or sent along)."""
+    for key, value in WORKER_ENV.items():
+        spark.sparkContext.environment.setdefault(key, value)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
