@@ -25,7 +25,7 @@ from sluice.llm.base import map_texts, pieces
 
 _NEVER = 1 << 60
 #: Bytes of text that are handled at a time.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 #: Remembered pairs of adjacent tokens; beyond, they start anew.
 MOST_PAIRS = 400_000
 

@@ -28,7 +28,7 @@ from sluice.llm.base import bounded_batches, map_texts, pieces
 from sluice.llm.kernels import Words, alnum_table, words
 
 WINDOW = 10
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 512 << 10
 #: Bytes of test items in a block, which bound what is sent to the executors at once.
 BLOCK_BYTES = 8 << 20
 _LUT = alnum_table()

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of text, or shingles, whose 64-bit intermediates are held at a time, however long a text is.
+BLOCK = 1 << 18
 
 
 def lower_ascii() -> np.ndarray:
@@ -69,12 +71,31 @@ class Words:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        up, down = _powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(self.data.astype(np.uint64) * up[:-1], out=sums[1:])
-        size = (self.ends - self.starts).astype(np.uint64)
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + size * np.uint64(0xD6E8FEB86659FD93))
+        """A 64-bit hash of each word's bytes, from blocks of at most BLOCK bytes or one longer word."""
+        size = self.ends - self.starts
+        sums = np.empty(len(size), np.uint64)
+        up, down = _powers(2 * BLOCK)
+        cuts = np.unique(np.searchsorted(self.starts, np.arange(0, len(self.data) + BLOCK, BLOCK)))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if size[j - 1] > BLOCK:
+                j -= 1
+                sums[j] = self._long_sum(int(self.starts[j]), int(self.ends[j]))
+            if i == j:
+                continue
+            first, end = int(self.starts[i]), int(self.ends[j - 1])
+            total = np.zeros(end - first + 1, np.uint64)
+            np.cumsum(self.data[first:end] * up[: end - first], out=total[1:])
+            at = self.starts[i:j] - first
+            sums[i:j] = (total[self.ends[i:j] - first] - total[at]) * down[at]
+        return mix(sums + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def _long_sum(self, start: int, end: int) -> np.uint64:
+        up, _ = _powers(2 * BLOCK)
+        total = 0
+        for a in range(start, end, BLOCK):
+            part = self.data[a : min(a + BLOCK, end)]
+            total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), a - start, 1 << 64)
+        return np.uint64(total & (1 << 64) - 1)
 
 
 def words(column: pa.Array, lut: np.ndarray) -> Words:
@@ -105,16 +126,18 @@ def shingle_hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(w.rows)
     n = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     rows = np.concatenate([[0], np.cumsum(n)])
-    row = np.repeat(np.arange(len(n)), n)
-    at = np.arange(rows[-1]) - rows[row] + w.rows[row]
-    out = np.zeros(len(at), np.uint64)
+    out = np.empty(rows[-1], np.uint64)
     step = np.uint64(0xA0761D6478BD642F)
-    left = np.minimum(counts[row], size)
-    out += left.astype(np.uint64)
-    factor = np.uint64(1)
     with np.errstate(over="ignore"):
-        for k in range(size):
-            factor = factor * step
-            has = k < left
-            out[has] += mix(word[at[has] + k] + np.uint64(k)) * factor
-    return mix(out), rows
+        for a in range(0, len(out), BLOCK):
+            s = np.arange(a, min(a + BLOCK, len(out)))
+            row = np.searchsorted(rows, s, "right") - 1
+            at = s - rows[row] + w.rows[row]
+            left = np.minimum(counts[row], size)
+            total, factor = left.astype(np.uint64), np.uint64(1)
+            for k in range(size):
+                factor = factor * step
+                has = k < left
+                total[has] += mix(word[at[has] + k] + np.uint64(k)) * factor
+            out[a : a + len(s)] = mix(total)
+    return out, rows

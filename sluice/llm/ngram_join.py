@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from sluice.llm.components import connected_components
 from sluice.llm.kernels import mix, shingle_hashes, spaced_table, words
 
 SIZE, PERCENT = 4, 85
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 #: Documents of a window of WINDOW_BYTES that must have a shingle for it to count as frequent there.
 WINDOW_BYTES, FREQUENT = 16 << 20, 3
 MOST_FREQUENT = 1 << 17
@@ -91,17 +92,20 @@ def frequent_shingles(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
         nbytes = 0
 
         def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            often = n >= FREQUENT
-            return pa.RecordBatch.from_pydict({"h": pa.array(h[often].view(np.int64)), "n": pa.array(n[often], pa.int64())})
+            h = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            held.clear()
+            h.sort()
+            # a hash that occurs n times is equal to the one FREQUENT - 1 places later n - FREQUENT + 1 times
+            often, n = np.unique(h[: max(0, len(h) - FREQUENT + 1)][h[FREQUENT - 1 :] == h[: max(0, len(h) - FREQUENT + 1)]], return_counts=True)
+            return pa.RecordBatch.from_pydict({"h": pa.array(often.view(np.int64)), "n": pa.array(n + FREQUENT - 1, pa.int64())})
 
         for batch in pieces(batches, "text", PIECE_BYTES):
             h, _ = distinct_shingles(batch.column("text"), size)
             held.append(h)
-            nbytes += batch.nbytes
+            nbytes += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
             if nbytes > WINDOW_BYTES:
                 yield flush()
-                held, nbytes = [], 0
+                nbytes = 0
         yield flush()
 
     found = map_texts(docs, run, "h long, n long", text=F.col(text_col)).groupBy("h").agg(F.sum("n").alias("n"))

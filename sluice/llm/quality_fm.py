@@ -29,7 +29,7 @@ WORD_BITS = 16
 WORD_DIMS = 1 << WORD_BITS
 SAMPLE_ROWS = 8000
 FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 4, 6, 64, 0.08, 1e-5, 11
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 #: Bins of each statistic: shares are cut evenly on a square-root scale, sizes by powers of two.
 BINS = 24
 STATS = ("upper", "digit", "mark", "newline", "space", "beyond_ascii", "word_size", "distinct", "n_words", "n_bytes", "capitalised", "ends_in_mark")
