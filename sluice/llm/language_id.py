@@ -1,7 +1,7 @@
 """Language identification by compression with per-language dictionaries (operator 8).
 
 For each language, pieces of labelled texts are joined to a raw-content dictionary of zstandard. A text is
-lower-cased, all that is no letter becomes one space, and it is encoded with each dictionary, in chunks so
+lower-cased, all that is no letter or mark of one becomes one space, and it is encoded with each dictionary, in chunks so
 that long texts keep using it; a short text is repeated, since zstandard stores a few bytes as they are.
 The language whose sizes sum to the least wins. The score is the relative margin to the second best, ``1 - best / second``; a text whose
 score is below ``min_margin`` is rejected, as is one without letters.
@@ -18,11 +18,13 @@ With one language, the second size is that without a dictionary.
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +36,17 @@ CHUNK_BYTES = 2048
 LEAST_BYTES = 400
 LEVEL, MIN_MATCH = 5, 3
 MIN_MARGIN = 0.005
-BATCH_TEXT = 4 << 20
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+BATCH_TEXT = 1 << 20
+#: Vowel signs and accents that follow a letter are part of a word; numerals, even those that look like letters, are not.
+_NO_LETTERS, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
+_PLAIN = bytes(c if c in b"abcdefghijklmnopqrstuvwxyz" else 32 for c in bytes(range(128)).lower()) + bytes(128)
 
 
 def letters(text: str) -> str:
-    """The text's words in lower case, without anything but letters."""
-    return _NO_LETTERS.sub(" ", text).strip().lower()
+    """The text's words in lower case, without anything but letters and their marks; empty if it has no letter."""
+    if text.isascii():
+        return b" ".join(text.encode().translate(_PLAIN).split()).decode()
+    return _NO_LETTERS.sub(" ", text).strip().lower() if _LETTER.search(text) else ""
 
 
 def learn_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
@@ -86,20 +92,27 @@ class CompressionClassifier:
         return self.langs[at], 1 - best / min(others)
 
 
-_MODELS: dict[int, CompressionClassifier] = {}
+_MODELS: dict[str, CompressionClassifier] = {}
 
 
-def _model(sent) -> CompressionClassifier:
-    key = id(sent.value)
-    if key not in _MODELS:
+def _sent(docs: DataFrame, dictionaries: dict[str, bytes]) -> Broadcast[tuple[str, dict[str, bytes]]]:
+    """The dictionaries with a name of their content."""
+    name = hashlib.sha256(repr(sorted(dictionaries.items())).encode()).hexdigest()
+    return docs.sparkSession.sparkContext.broadcast((name, dictionaries))
+
+
+def _model(sent: Broadcast[tuple[str, dict[str, bytes]]]) -> CompressionClassifier:
+    """One classifier for each content in a worker's process."""
+    name, dictionaries = sent.value
+    if name not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = CompressionClassifier(sent.value)
-    return _MODELS[key]
+        _MODELS[name] = CompressionClassifier(dictionaries)
+    return _MODELS[name]
 
 
 def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """id, lang_pred, score, rejected of each whole text; no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    sent = _sent(docs, dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(sent)
@@ -117,7 +130,7 @@ def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes], id_col: s
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """The documents, with all their columns, that are not rejected; no shuffle."""
     bounded_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    sent = _sent(docs, dictionaries)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

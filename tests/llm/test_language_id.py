@@ -1,6 +1,6 @@
 import zlib
 
-from sluice.llm.language_id import keep_identified, learn_dictionaries, predict_languages
+from sluice.llm.language_id import keep_identified, learn_dictionaries, letters, predict_languages
 
 SF = "/root/testdata/sf0.01"
 
@@ -37,3 +37,20 @@ def test_edges(spark):
     assert {x.lang_pred for x in predict_languages(docs, {}).collect()} == {"und"}
     assert predict_languages(docs.limit(0), model).count() == 0
     assert learn_dictionaries(spark.createDataFrame([], "doc_id long, text string, lang string")) == {}
+
+
+def test_letters_marks_and_numerals(spark):
+    assert letters("हिन्दी 12") == "हिन्दी" and letters("Ünïcode-X_9") == "ünïcode x" and letters("It's 3 a.m.") == "it s a m"
+    for text in ("½", "²³ 12", "Ⅷ", "́", "①②", "_ _", "१२३"):
+        assert letters(text) == ""
+    model = {"de": b"der hund und die katze", "hi": "हिन्दी भाषा में लिखा गया".encode()}
+    rows = [(1, "½"), (2, "²³ 12"), (3, "Ⅷ"), (4, "́"), (5, "हिन्दी भाषा में लिखा"), (6, "der hund")]
+    got = {r.doc_id: r.lang_pred for r in predict_languages(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {1: "und", 2: "und", 3: "und", 4: "und", 5: "hi", 6: "de"}
+
+
+def test_two_models_in_one_session(spark):
+    docs = spark.createDataFrame([(1, "der hund und die katze")], "doc_id long, text string").coalesce(1)
+    for name in ("a", "b", "a"):
+        model = {name: b"der hund und die katze", "z": b"something else"}
+        assert [r.lang_pred for r in predict_languages(docs, model).collect()] == [name]
