@@ -5,8 +5,10 @@ and bins of STATS, one place for each. The score is the logistic of
 ``w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)``, in time linear in the features.
 
 Learning: labelled rows whose crc32(id as text) mod 5 is not 0, of which SAMPLE_ROWS with the smallest hashed
-ids; features are made on the executors and only these rows reach the driver, where the weights are fitted
-by minibatch descent. Labels, language, source and id are no inputs of a score.
+ids, and of these the first ones whose features number at most SAMPLE_VALUES; features are made on the executors
+and only these rows reach the driver, where the weights are fitted by minibatch descent in the order of the
+hashed ids, so that a model does not depend on how the table is laid out. Labels, language, source and id are
+no inputs of a score.
 
 Defined results: a null text scores as an empty one; rows without a label or with a null id do not train;
 with no training rows, or one class only, the weights hold just the base rate.
@@ -22,12 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.base import crc_mod5, map_texts, pieces
+from sluice.llm.base import Scratch, crc_mod5, map_texts, pieces
 from sluice.llm.kernels import spaced_table, words
 
 WORD_BITS = 16
 WORD_DIMS = 1 << WORD_BITS
-SAMPLE_ROWS = 8000
+#: Bounds of the training sample: rows, and features of all its rows (12 bytes each on the driver).
+SAMPLE_ROWS, SAMPLE_VALUES = 8000, 16_000_000
 FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 4, 6, 64, 0.08, 1e-5, 11
 PIECE_BYTES = 512 << 10
 #: Bins of each statistic: shares are cut evenly on a square-root scale, sizes by powers of two.
@@ -152,11 +155,14 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in pieces(batches, "text", PIECE_BYTES):
         places, values, rows = features(batch.column("text"))
         bounds = pa.array(rows, pa.int32())
-        yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "places": pa.ListArray.from_arrays(bounds, pa.array(places, pa.int32())), "values": pa.ListArray.from_arrays(bounds, pa.array(values, pa.float32()))})
+        yield pa.RecordBatch.from_pydict({
+            "at": batch.column("at"), "label": batch.column("label"), "n": pa.array(np.diff(rows), pa.int64()),
+            "places": pa.ListArray.from_arrays(bounds, pa.array(places, pa.int32())), "values": pa.ListArray.from_arrays(bounds, pa.array(values, pa.float32())),
+        })
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> FactorisationMachine:
-    """A model from at most ``sample_rows`` labelled rows, all of which the driver may hold at once."""
+def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_values: int = SAMPLE_VALUES) -> FactorisationMachine:
+    """A model from at most ``sample_rows`` labelled rows with at most ``sample_values`` features, which the driver may hold at once."""
     chosen = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (crc_mod5(F.col(id_col)) != 0))
         .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -164,9 +170,15 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     )
     # at most sample_rows pairs of id and label are broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    got = map_texts(rows, _feature_rows, "label int, places array<int>, values array<float>", label=F.col("label"), text=F.col("text")).toArrow()
-    got = got.combine_chunks()
-    if not got.num_rows:
+    # an order of rows that holds for any layout; rows that are equal in all of it have equal features
+    at = F.struct(F.xxhash64("id").alias("h"), F.col("id").cast("string").alias("i"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    made = map_texts(rows, _feature_rows, f"at {rows.select(at.alias('at')).schema['at'].dataType.simpleString()}, label int, n long, places array<int>, values array<float>", at=at, label=F.col("label"), text=F.col("text"))
+    made = Scratch(docs.sparkSession, "quality").keep(made)
+    # repeated ids may make the sample larger, so rows are bounded here as well
+    sizes = made.select("at", "label", "n").orderBy("at", "label").limit(sample_rows).toArrow()
+    fits = int((np.cumsum(sizes.column("n").to_numpy()) <= sample_values).sum())
+    got = made.orderBy("at", "label").limit(fits).select("label", "places", "values").toArrow().combine_chunks() if fits else None
+    if got is None:
         return FactorisationMachine().fit(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(1, np.int64), np.zeros(0))
     size = pc.list_value_length(got.column("places")).to_numpy().astype(np.int64)
     flat = lambda c: pc.list_flatten(got.column(c)).to_numpy()

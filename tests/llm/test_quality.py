@@ -48,3 +48,19 @@ def test_edges(spark):
     scores = [r.score for r in q.score_quality(docs, q.learn_quality(docs, some)).collect()]
     assert len(scores) == 5 and min(scores) > 0.5
     assert q.score_quality(docs.limit(0), q.learn_quality(docs, some)).count() == 0
+
+
+def test_layout_of_the_table_does_not_matter(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.unionByName(docs.limit(20))
+    one = q.learn_quality(docs.coalesce(1).orderBy("n_chars"), labels.orderBy("quality"))
+    other = q.learn_quality(docs.repartition(7), labels.repartition(3))
+    assert one.bias == other.bias and (one.linear == other.linear).all() and (one.factors == other.factors).all()
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, f"words of {i} " * (i + 1)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    assert (q.learn_quality(docs, labels, sample_values=0).linear == 0).all()
+    few, more = (q.learn_quality(docs, labels, sample_values=n) for n in (300, 600))
+    assert 0 < (few.linear != 0).sum() < (more.linear != 0).sum()
