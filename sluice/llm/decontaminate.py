@@ -8,8 +8,10 @@ Matches are joined along the item, which gives the longest ones with their place
 
 Word ids come from 64-bit hashes; each word of a match is then compared by its bytes.
 
-Scale: documents are read once and never shuffled. Test items are taken in blocks of bounded size, each sent
-to the executors once; a larger benchmark means more passes, not a larger broadcast.
+Scale: documents are read once and never shuffled. Test items are taken in blocks of BLOCK_BYTES, of which the
+driver and the executors hold one at a time; a larger benchmark means more passes, not a larger broadcast. With
+more than one block, documents are written once with row numbers, so that all passes see the same rows, and each
+pass writes only the rows that have matches.
 
 Defined results: null texts and texts without words have no words and no hits. An item without words, or with
 a null id, matches nothing; rows of one item id count as one item. Repeated documents each give a row.
@@ -18,13 +20,15 @@ a null id, matches nothing; rows of one item id count as one item. Repeated docu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.base import bounded_batches, map_texts, pieces
+from sluice.llm.base import Scratch, bounded_batches, map_texts, pieces
 from sluice.llm.kernels import Words, alnum_table, words
 
 WINDOW = 10
@@ -154,13 +158,17 @@ def longest_matches(index: ItemIndex, places: list[tuple[int, int]]) -> list[dic
     return out
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    """Items with an id, in blocks of about BLOCK_BYTES, each collected by itself."""
+def _usable(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """Items with an id and a text, and the number of blocks of about BLOCK_BYTES that they make, one at least."""
     rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_BYTES))
-    for k in range(n):
-        yield [(r.i, r.t) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).distinct().collect()]
+    return rows, max(1, -(-total // BLOCK_BYTES))
+
+
+def _index(rows: DataFrame, block: int, blocks: int, window: int) -> Broadcast[ItemIndex]:
+    """The index of one block, sent to the executors; the driver keeps no block."""
+    found = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).distinct().collect()
+    return rows.sparkSession.sparkContext.broadcast(ItemIndex([(r.i, r.t) for r in sorted(found)], window))
 
 
 def _scan(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray, np.ndarray]]:
@@ -169,58 +177,70 @@ def _scan(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[tuple
         yield batch, w, *index.occurrences(w)
 
 
-def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, locations: bool = False) -> DataFrame:
-    """One row per document: id, n_words, n_hit, items (ids as sorted strings) and, with ``locations``, matches.
-
-    ``matches`` has the longest verbatim matches: item_id, item_word, doc_word, n_words.
+MATCH = "array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
+
+
+def _matches_of(keyed: DataFrame, sent: Broadcast[ItemIndex], only_hits: bool) -> DataFrame:
+    """id (row), n_words, spans of hit words, items and longest matches of each row, or of those that have any."""
+    schema = f"id {keyed.schema['id'].dataType.simpleString()}, n_words long, spans array<struct<s:long,e:long>>, items array<string>, matches {MATCH}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        for batch, w, word, span in _scan(batches, index):
+            hit = cover(len(w.starts), word, index.sizes[span])
+            row = np.searchsorted(w.rows, word, "right") - 1
+            order = np.argsort(row, kind="stable")
+            word, span, row = word[order], span[order], row[order]
+            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            spans, found, matches, keep = [], [], [], []
+            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                if a == b and only_hits:
+                    continue
+                keep.append(i)
+                local = hit[w.rows[i] : w.rows[i + 1]].astype(np.int8) if a < b else np.zeros(0, np.int8)
+                change = np.flatnonzero(np.diff(local, prepend=0, append=0))
+                spans.append([{"s": s, "e": e} for s, e in change.reshape(-1, 2).tolist()])
+                found.append(sorted({index.items[k] for s in set(span[a:b].tolist()) for k, _ in index.places[s]}))
+                matches.append(longest_matches(index, list(zip((word[a:b] - w.rows[i]).tolist(), span[a:b].tolist(), strict=True))))
+            keep = np.array(keep, np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "id": batch.column("id").take(pa.array(keep)), "n_words": pa.array(np.diff(w.rows)[keep], pa.int64()),
+                "spans": pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), "items": pa.array(found, pa.list_(pa.string())),
+                "matches": pa.array(matches, pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())]))),
+            })
+
+    return map_texts(keyed, run, schema, id=F.col("id"), text=F.col("text"))
+
+
+def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row per document: id, n_words, n_hit, items (ids as sorted strings) and matches.
+
+    ``matches`` has the longest verbatim matches, in no given order: item_id, item_word, doc_word, n_words.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    match = "array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
-    schema = f"id {kind}, n_words long, spans array<struct<s:long,e:long>>, items array<string>, matches {match}"
+    rows, blocks = _usable(items, item_id_col, item_text_col)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = []
-    blocks = list(_blocks(items, item_id_col, item_text_col))
-    if len(blocks) > 1:
-        keyed = keyed.withColumn("row", F.monotonically_increasing_id())
-        schema = "row long, " + schema
-    for block in blocks:
-        sent = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, window))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            for batch, w, word, span in _scan(batches, index):
-                hit = cover(len(w.starts), word, index.sizes[span])
-                row = np.searchsorted(w.rows, word, "right") - 1
-                order = np.argsort(row, kind="stable")
-                word, span, row = word[order], span[order], row[order]
-                bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
-                spans, found, matches = [], [], []
-                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                    if a == b:
-                        spans.append([])
-                        found.append([])
-                        matches.append([])
-                        continue
-                    local = hit[w.rows[i] : w.rows[i + 1]].astype(np.int8)
-                    change = np.flatnonzero(np.diff(local, prepend=0, append=0))
-                    spans.append([{"s": s, "e": e} for s, e in change.reshape(-1, 2).tolist()])
-                    found.append(sorted({index.items[k] for s in set(span[a:b].tolist()) for k, _ in index.places[s]}))
-                    matches.append(longest_matches(index, list(zip((word[a:b] - w.rows[i]).tolist(), span[a:b].tolist(), strict=True))) if locations else [])
-                columns = {"row": batch.column("row")} if "row" in batch.schema.names else {}
-                columns |= {"id": batch.column("id"), "n_words": pa.array(np.diff(w.rows), pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), "items": pa.array(found, pa.list_(pa.string()))}
-                columns["matches"] = pa.array(matches, pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())])))
-                yield pa.RecordBatch.from_pydict(columns)
-
-        parts.append(map_texts(keyed, run, schema, **{c: F.col(c) for c in keyed.columns}))
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        out = out.groupBy("row").agg(
-            F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"),
-        )
-    return out.select(F.col("id").alias(id_col), "n_words", _covered("spans").alias("n_hit"), "items", *["matches"] * locations)
+    if blocks == 1:
+        out = _matches_of(keyed, _index(rows, 0, 1, window), only_hits=False)
+    else:
+        scratch = Scratch(docs.sparkSession, "matches")
+        texts = scratch.keep(keyed.withColumnRenamed("id", "own").withColumn("id", F.monotonically_increasing_id()))
+        parts = []
+        for block in range(blocks):
+            sent = _index(rows, block, blocks, window)
+            parts.append(scratch.keep(_matches_of(texts.select("id", "text"), sent, only_hits=True)))
+            sent.destroy()
+        found = reduce(DataFrame.unionByName, parts).groupBy("id").agg(
+            F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches")
+        )
+        counted = map_texts(texts, _word_counts, f"own {docs.schema[id_col].dataType.simpleString()}, id long, n_words long", own=F.col("own"), id=F.col("id"), text=F.col("text"))
+        empty = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
+        out = counted.join(found, "id", "left").select(F.col("own").alias("id"), "n_words", *(empty(c) for c in ("spans", "items", "matches")))
+    return out.select(F.col("id").alias(id_col), "n_words", _covered("spans").alias("n_hit"), "items", "matches")
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text", SHARD_BYTES):
+        yield pa.RecordBatch.from_pydict({"own": batch.column("own"), "id": batch.column("id"), "n_words": pa.array(np.diff(words(batch.column("text"), _LUT).rows), pa.int64())})
 
 
 def _covered(spans: str) -> Column:
@@ -234,22 +254,33 @@ def _covered(spans: str) -> Column:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents, with all their columns, that hold no window of any item; no shuffle."""
-    out = docs
-    bounded_batches(docs.sparkSession)
-    for block in _blocks(items, item_id_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, window))
-        at = out.columns.index(text_col)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, at=at) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names = [f"c{i}" for i in range(batch.num_columns)]
-                names[at] = "text"
-                for part in pieces([pa.RecordBatch.from_arrays(batch.columns, names=names)], "text", SHARD_BYTES):
-                    w = words(part.column("text"), _LUT)
-                    word, _ = sent.value.occurrences(w)
-                    keep = np.ones(part.num_rows, bool)
-                    keep[np.searchsorted(w.rows, word, "right") - 1] = False
-                    yield pa.RecordBatch.from_arrays(part.filter(pa.array(keep)).columns, names=batch.schema.names)
-
-        out = out.mapInArrow(run, docs.schema)
+    rows, blocks = _usable(items, item_id_col, item_text_col)
+    if blocks == 1:
+        return _without_hits(docs, _index(rows, 0, 1, window), text_col)
+    scratch, out = Scratch(docs.sparkSession, "clean"), docs
+    for block in range(blocks):
+        sent, before = _index(rows, block, blocks, window), out
+        out = scratch.keep(_without_hits(before, sent, text_col))
+        sent.destroy()
+        if block:
+            scratch.drop(before)
     return out
+
+
+def _without_hits(docs: DataFrame, sent: Broadcast[ItemIndex], text_col: str) -> DataFrame:
+    """The rows without an occurrence of any window of one block."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [f"c{i}" for i in range(batch.num_columns)]
+            names[at] = "text"
+            for part in pieces([pa.RecordBatch.from_arrays(batch.columns, names=names)], "text", SHARD_BYTES):
+                w = words(part.column("text"), _LUT)
+                word, _ = sent.value.occurrences(w)
+                keep = np.ones(part.num_rows, bool)
+                keep[np.searchsorted(w.rows, word, "right") - 1] = False
+                yield pa.RecordBatch.from_arrays(part.filter(pa.array(keep)).columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,15 +9,19 @@ _SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
  b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark WHERE item_id IS NOT NULL),
- win AS (SELECT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS s FROM b WHERE len(w) > 0),
+ place AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM b WHERE len(w) > 0),
+ win AS (SELECT DISTINCT item_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS s FROM place),
  sizes AS (SELECT DISTINCT n FROM win),
  dw AS (SELECT doc_id, n, unnest(range(1, greatest(1, len(w) - n + 2))) AS i, w FROM d, sizes WHERE len(w) >= n),
  found AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM dw),
- met AS (SELECT f.doc_id, f.i, f.n, x.item_id FROM found f JOIN (SELECT DISTINCT item_id, n, s FROM win) x ON f.n = x.n AND f.s = x.s),
- hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM met) GROUP BY 1),
- its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM met GROUP BY 1)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+ met AS (SELECT f.doc_id, f.i, f.n, x.item_id, x.k FROM found f JOIN win x ON f.n = x.n AND f.s = x.s),
+ hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY 1),
+ its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM met GROUP BY 1),
+ run AS (SELECT doc_id, item_id, i, n, i - k AS shift, i - row_number() OVER (PARTITION BY doc_id, item_id, i - k ORDER BY i) AS island FROM met),
+ lon AS (SELECT doc_id, count(*) AS n_matches, max(size) AS longest_match FROM (SELECT doc_id, max(i) - min(i) + max(n) AS size FROM run GROUP BY doc_id, item_id, shift, island) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+ coalesce(n_matches, 0) AS n_matches, coalesce(longest_match, 0) AS longest_match
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id LEFT JOIN lon ON d.doc_id = lon.doc_id
 """
 
 EMBEDDING_LINKS = """

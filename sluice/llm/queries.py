@@ -15,13 +15,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document against all of benchmark."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, number of longest verbatim matches and words of the longest of every document."""
     from sluice.llm.decontaminate import find_matches
 
     found = find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["n_words"])), F.lit(0).cast("long"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("matches").cast("long").alias("n_matches"), longest.alias("longest_match"),
     )
 
 

@@ -71,7 +71,7 @@ def test_shards(spark, monkeypatch):
 def test_longest_match_and_places(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     docs = [(1, f"lead {item} tail"), (2, "nothing here"), (3, " ".join(item.split()[1:]))]
-    got = find_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"), locations=True)
+    got = find_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
     found = {r.doc_id: [tuple(m) for m in r.matches] for r in got.collect()}
     assert found == {1: [("7", 0, 1, 12)], 2: [], 3: [("7", 1, 0, 11)]}
 
