@@ -52,6 +52,8 @@ GENERATORS = (
 )
 #: Characters around a candidate that its features see.
 BEFORE, AFTER = 28, 8
+#: Code points of the blocks from which a redacted text is put together.
+BLOCK = 1024
 #: Words before a candidate, matched in lower case.
 CONTEXT = {
     "phone_word": r"phone|tel\b|tel[.:]|call|mobile|cell|fax|whatsapp|contact|dial",
@@ -277,21 +279,15 @@ def _selected(trees: list[Tree], threshold: float) -> Callable[[Column], Column]
     return lambda x: sum((t.column(x) for t in trees), F.lit(0.0)) >= threshold
 
 
-def _redacted(kind: str) -> Callable[[Column, Column], Column]:
-    return lambda gap, hit: F.concat(gap, F.when(hit.isNull(), "").when(_valid(kind, hit), f"<{kind}>").otherwise(hit))
-
-
 def _written(kind: str) -> Callable[[Column], Column]:
     return lambda x: F.concat_ws(":", F.lit(kind), x["s"], x["e"])
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, and for each kind an array of spans (s, e in code points, e exclusive): ``base_<kind>``, ``all_<kind>``."""
+def _with_spans(rows: DataFrame) -> DataFrame:
+    """``rows`` has the columns own (any struct) and text (no nulls); arrays ``base_<kind>`` and ``all_<kind>`` are added."""
     trees, thresholds = fitted()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     rows = rows.select(
-        "id", *(_pieces(F.col("text"), *BASE[k]).alias(f"p_{k}") for k in BASE_KINDS),
+        "own", "text", *(_pieces(F.col("text"), *BASE[k]).alias(f"p_{k}") for k in BASE_KINDS),
         *(_pieces(F.col("text"), pattern, needs).alias(f"g_{i}") for i, (_, pattern, needs) in enumerate(GENERATORS)),
     )
     none = F.array().cast("array<struct<s:long,e:long>>")
@@ -303,11 +299,18 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for i, (k, _, _) in enumerate(GENERATORS):
         kept = F.filter(F.transform(_spans(F.col(f"g_{i}")), _with_features(k)), _selected(trees, thresholds[k]))
         more.append(F.when(F.col(f"g_{i}").isNotNull(), F.transform(kept, place)).otherwise(none).alias(f"m_{i}"))
-    found = rows.select("id", *base, *more)
+    found = rows.select("own", "text", *base, *more)
     for k in KINDS:
         own = [F.col(f"base_{k}")] * (k in BASE_KINDS) + [F.col(f"m_{i}") for i, g in enumerate(GENERATORS) if g[0] == k]
         found = found.withColumn(f"all_{k}", F.array_sort(F.array_distinct(F.concat(*own))) if len(own) > 1 else own[0])
-    return found.select(F.col("id").alias(id_col), *(f"base_{k}" for k in BASE_KINDS), *(f"all_{k}" for k in KINDS))
+    return found.select("own", "text", *(f"base_{k}" for k in BASE_KINDS), *(f"all_{k}" for k in KINDS))
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, and for each kind an array of spans (s, e in code points, e exclusive): ``base_<kind>``, ``all_<kind>``."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = _with_spans(docs.select(F.struct(F.col(id_col).alias("id")).alias("own"), text.alias("text")))
+    return found.select(F.col("own.id").alias(id_col), *(f"base_{k}" for k in BASE_KINDS), *(f"all_{k}" for k in KINDS))
 
 
 def spans_text(prefix: str, kinds: tuple[str, ...]) -> Column:
@@ -315,11 +318,44 @@ def spans_text(prefix: str, kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*(F.transform(f"{prefix}_{k}", _written(k)) for k in kinds)), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with base matches in the text replaced by ``<kind>``, wherever the base rules hold."""
-    text = F.col(text_col)
-    for k in BASE_KINDS:
-        pieces = _pieces(text, *BASE[k])
-        parts = F.zip_with(pieces["gaps"], pieces["hits"], _redacted(k))
-        text = F.when(pieces.isNotNull(), F.array_join(parts, "")).otherwise(text)
-    return docs.withColumn(text_col, text)
+def _marked(kind: str) -> Callable[[Column], Column]:
+    return lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("n"), F.lit(kind).alias("kind"))
+
+
+def _joined_spans(spans: Column) -> Column:
+    """Sorted spans (s, n the negative end, kind) as disjoint ones: overlapping spans become one of the first one's kind."""
+    kind = "array<struct<s:long,e:long,kind:string>>"
+    entry = lambda s, e, k: F.struct(s.alias("s"), e.alias("e"), k.alias("kind"))
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        wider = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(entry(last["s"], F.greatest(last["e"], -x["n"]), last["kind"])))
+        return F.when((F.size(acc) > 0) & (x["s"] < F.get(acc, F.size(acc) - 1)["e"]), wider).otherwise(F.concat(acc, F.array(entry(x["s"], -x["n"], x["kind"])))).cast(kind)
+
+    return F.aggregate(spans, F.array().cast(kind), add)
+
+
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows with all selected spans, base ones and those of the trees, replaced by ``<kind>`` in the text.
+
+    Spans are found in the whole text first and replaced at once. Of overlapping spans the one that starts first,
+    of these the longest, names the kind of their union. A null text stays null.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = _with_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), text.alias("text")))
+    spans = _joined_spans(F.array_sort(F.concat(*(F.transform(f"all_{k}", _marked(k)) for k in KINDS))))
+    cut = found.select("own", "text", spans.alias("spans"))
+    # blocks of BLOCK code points, so that a part of a long text is cut out of the blocks that it lies in
+    blocks = F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+    cut = cut.select("own", "spans", blocks.alias("blocks"), F.length("text").cast("long").alias("n"))
+
+    def between(a: Column, b: Column) -> Column:
+        first = F.floor(a / BLOCK).cast("int")
+        inside = F.array_join(F.slice("blocks", first + 1, F.ceil(b / BLOCK).cast("int") - first), "")
+        return F.when(a < b, F.substring(inside, (a % BLOCK + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+    before = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda x: x["e"]))
+    parts = F.transform("spans", lambda x, i: F.concat(between(F.get(before, i), x["s"]), F.lit("<"), x["kind"], F.lit(">")))
+    whole = F.concat(F.array_join(parts, ""), between(F.element_at(before, -1), F.col("n")))
+    replaced = F.when(F.size("spans") > 0, whole).otherwise(F.col(f"own.`{text_col}`"))
+    return cut.select(*(replaced.alias(c) if c == text_col else F.col(f"own.`{c}`").alias(c) for c in docs.columns))
