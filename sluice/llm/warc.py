@@ -5,9 +5,11 @@ gzip-compressed WARC/1.1 files in the order of the rows, on any file system Spar
 an earlier page (the smallest id) has already is a revisit record, which names that page and has no payload.
 
 Reading: a file is one task's stream of lines, from which records are parsed by their Content-Length. A
-payload is passed on as rows of record identifier and chunk number, with at most CHUNK_BYTES (or one line,
-if that is longer) each; the digest is carried from chunk to chunk, so no record is held as a whole. The
-last row of a record has its size and digest, which must equal the header's.
+payload is passed on as rows of record identifier and chunk number, with at most CHUNK_BYTES each; size and
+digest are carried from chunk to chunk, so no record is held as a whole. Each row has the place of its first
+byte and the digest of all bytes up to its end; the last row's digest must equal the header's. ``read_records``
+takes sizes and digests from these rows. A line is one cell of Spark's text source, so a payload without line
+feeds is in memory once as a line, but its rows are cut like all others.
 
 Defined results: a null payload is empty; payloads are equal if their SHA-256 and size are. Rows with the
 smallest id of a payload are all responses, so a repeated row is too; rows with a null id are revisits of a
@@ -31,7 +33,7 @@ CHUNK_BYTES = 1 << 20
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _RECORD = "<urn:x-page:"
-CHUNK_SCHEMA = "record_id string, record_type string, refers_to string, target_uri string, chunk_no long, data binary, is_last boolean, payload_bytes long, payload_digest string"
+CHUNK_SCHEMA = "record_id string, record_type string, refers_to string, target_uri string, chunk_no long, chunk_start long, data binary, digest_so_far string, is_last boolean, original_bytes long, original_digest string"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -68,8 +70,12 @@ def record_lines(records: DataFrame, date: str = "2000-01-01T00:00:00Z") -> Data
         F.when(is_revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name("refers_to"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), block_bytes.cast("string"), F.lit("\r\n\r\n"),
     )
-    text = F.concat(header, http, F.when(is_revisit, "").otherwise(F.col("payload")), F.lit("\r\n\r"))
-    return records.select(F.explode(F.split(text, "\n", -1)).alias("value"))
+    # the payload is cut into lines as it is, without a copy of the whole record
+    head, body = F.split(F.concat(header, http), "\n", -1), F.split(F.when(is_revisit, "").otherwise(F.col("payload")), "\n", -1)
+    lines = records.select(head.alias("head"), body.alias("body"))
+    but_last = lambda c: F.slice(c, F.lit(1), F.size(c) - 1)
+    ending = F.array(F.concat(F.element_at("body", -1), F.lit("\r")), F.lit("\r"))
+    return lines.select(F.explode(F.concat(but_last("head"), but_last("body"), ending)).alias("value"))
 
 
 def write_archives(records: DataFrame, path: str) -> None:
@@ -80,8 +86,7 @@ def write_archives(records: DataFrame, path: str) -> None:
 class _Parser:
     """Streams lines of WARC files and yields chunk rows."""
 
-    def __init__(self, with_data: bool):
-        self.with_data = with_data
+    def __init__(self):
         self.state, self.head, self.left = "head", {}, 0
 
     def feed(self, line: bytes) -> Iterator[tuple]:
@@ -113,58 +118,72 @@ class _Parser:
                 raise ValueError("a record is longer than its Content-Length")
             self.state, self.head = "head", {}
             return
-        part = line + b"\n" if len(line) < self.left else line[: self.left]
-        if len(line) >= self.left and line[self.left :] != b"\r":
-            raise ValueError("a record is longer than its Content-Length")
         closed = len(line) >= self.left
-        self.left -= len(part)
-        self.digest.update(part)
-        self.n += len(part)
-        if self.with_data:
-            self.data.append(part)
-            self.held += len(part)
+        if closed and line[self.left :] != b"\r":
+            raise ValueError("a record is longer than its Content-Length")
+        size = min(len(line), self.left)
+        view = memoryview(line)
+        at = 0
+        while at < size:
+            part = view[at : min(size, at + CHUNK_BYTES - len(self.data))]
+            self._take(part)
+            at += len(part)
+            if len(self.data) == CHUNK_BYTES and self.left:
+                yield self._row(False)
+        if not closed:
+            self._take(b"\n")
+            if len(self.data) == CHUNK_BYTES and self.left:
+                yield self._row(False)
         if not self.left:
             yield self._row(True)
             self.state = "head" if closed else "end"
             self.head = {}
-        elif self.held >= CHUNK_BYTES:
-            yield self._row(False)
+
+    def _take(self, part: bytes | memoryview) -> None:
+        self.left -= len(part)
+        self.digest.update(part)
+        self.data += part
 
     def _begin(self) -> None:
         self.left = int(self.head["content-length"])
-        self.state, self.http, self.digest, self.n, self.chunk, self.data, self.held = "http", {}, hashlib.sha1(), 0, 0, [], 0
+        self.state, self.http, self.digest, self.start, self.chunk, self.data = "http", {}, hashlib.sha1(), 0, 0, bytearray()
         self.kind = self.head["warc-type"]
         self.names = [self.head.get(k, "").removeprefix(_RECORD).removesuffix(">") or None for k in ("warc-record-id", "warc-refers-to")]
 
     def _row(self, last: bool) -> tuple:
-        size = digest = None
+        size = original = None
+        so_far = base64.b32encode(self.digest.digest()).decode()
         if last:
-            digest = self.head["warc-payload-digest"].removeprefix("sha1:")
-            size = self.n if self.kind != "revisit" else int(self.http[b"content-length"])
-            if self.kind != "revisit" and base64.b32encode(self.digest.digest()).decode() != digest:
+            original = self.head["warc-payload-digest"].removeprefix("sha1:")
+            if self.kind == "revisit":
+                size = int(self.http[b"content-length"])
+            elif so_far != original:
                 raise ValueError(f"record {self.names[0]} has another digest than its header")
-        row = (self.names[0], self.kind, self.names[1], self.head.get("warc-target-uri"), self.chunk, b"".join(self.data) if self.with_data else None, last, size, digest)
-        self.chunk, self.data, self.held = self.chunk + 1, [], 0
+        row = (self.names[0], self.kind, self.names[1], self.head.get("warc-target-uri"), self.chunk, self.start, bytes(self.data), so_far, last, size, original)
+        self.chunk, self.start, self.data = self.chunk + 1, self.start + len(self.data), bytearray()
         return row
 
 
-def read_chunks(spark: SparkSession, path: str, with_data: bool = True) -> DataFrame:
-    """Chunk rows of all records under ``path``; without data, one row for each record."""
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunk rows of all records under ``path``. The last row of a revisit has the original's size and digest."""
     bounded_batches(spark)
-    kinds = [("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("chunk_no", pa.int64()), ("data", pa.binary()), ("is_last", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
+    kinds = [
+        ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("chunk_no", pa.int64()), ("chunk_start", pa.int64()),
+        ("data", pa.binary()), ("digest_so_far", pa.string()), ("is_last", pa.bool_()), ("original_bytes", pa.int64()), ("original_digest", pa.string()),
+    ]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, kinds, strict=True)], schema=pa.schema(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser, rows, held = _Parser(with_data), [], 0
+        parser, rows, held = _Parser(), [], 0
         for batch in batches:
-            for line in batch.column(0).to_pylist():
-                for row in parser.feed(line):
+            for line in batch.column(0):
+                for row in parser.feed(line.as_py()):
                     rows.append(row)
-                    held += len(row[5] or b"")
-                    if len(rows) >= 1000 or held >= 8 * CHUNK_BYTES:
+                    held += len(row[6])
+                    if len(rows) >= 1000 or held >= 4 * CHUNK_BYTES:
                         yield out(rows)
                         rows, held = [], 0
         if parser.head:
@@ -176,5 +195,13 @@ def read_chunks(spark: SparkSession, path: str, with_data: bool = True) -> DataF
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, payload_bytes, payload_digest, record_type, refers_to, target_uri of each record."""
-    return read_chunks(spark, path, with_data=False).filter("is_last").select("record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+    """record_id, payload_bytes, payload_digest, record_type, refers_to, target_uri of each record, from its chunk rows.
+
+    The last row of a response says where its bytes start and has the digest of all of them, so rows need not meet.
+    """
+    ended = (F.col("chunk_start") + F.octet_length("data")).cast("long")
+    last = read_chunks(spark, path).filter("is_last")
+    return last.select(
+        "record_id", F.coalesce("original_bytes", ended).alias("payload_bytes"), F.when(F.col("record_type") == "revisit", F.col("original_digest")).otherwise(F.col("digest_so_far")).alias("payload_digest"),
+        "record_type", "refers_to", "target_uri",
+    )

@@ -15,7 +15,7 @@ def digest(text):
 
 PAGES = [
     (5, "http://a/", "one\ntwo"), (3, "http://b/", "one\ntwo"), (9, "http://c/", None), (8, "u r\nl", ""), (1, None, "é\r\n\r\nWARC/1.1\r\n\n"),
-    (2, "x", "line\n"), (4, "x", "\n"), (6, "x", "\r"), (7, "x", "long " * 300_000 + "\n" + "y\n" * 900_000), (3, "http://b/", "one\ntwo"), (None, "n", "one\ntwo"), (None, "n", "alone"),
+    (2, "x", "line\n"), (4, "x", "\n"), (6, "x", "\r"), (7, "x", "long " * 300_000 + "\n" + "y\n" * 900_000), (10, "one line", "zé" * 900_000), (11, "x", "q" * warc.CHUNK_BYTES), (12, "x", "q" * (warc.CHUNK_BYTES - 1) + "\n"), (3, "http://b/", "one\ntwo"), (None, "n", "one\ntwo"), (None, "n", "alone"),
 ]
 
 
@@ -41,7 +41,15 @@ def test_round_trip(spark, tmp_path):
     for r in rows:
         if r.record_type == "response":
             whole.setdefault(r.record_id, []).append(bytes(r.data))
-    assert b"".join(whole["1"]).decode() == PAGES[4][2] and b"".join(whole["7"]).decode() == PAGES[8][2] and len(whole["7"]) == 3
+    for i, n in (("1", 1), ("7", 4), ("10", 3), ("11", 1), ("12", 1)):
+        assert b"".join(whole[i]).decode() == next(t for p, _, t in PAGES if str(p) == i) and len(whole[i]) == n
+        assert all(len(x) == warc.CHUNK_BYTES for x in whole[i][:-1])
+    seen = {}
+    for r in rows:
+        if r.record_id == "10":
+            assert r.chunk_start == len(seen.get("10", b"")) and r.is_last == (r.chunk_no == 2)
+            seen["10"] = seen.get("10", b"") + bytes(r.data)
+            assert r.digest_so_far == base64.b32encode(hashlib.sha1(seen["10"]).digest()).decode()
 
 
 def test_files_are_warc(spark, tmp_path):
