@@ -158,19 +158,79 @@ def on_annotated_path(tag: Column) -> Column:
     return (tag == "0") | F.forall(F.slice(F.split(tag, "\\."), F.lit(2), F.greatest(F.lit(0), F.size(F.split(tag, "\\.")) - 1)), lambda x: x == "1")
 
 
-def visible_pairs(rows: DataFrame, row: str = "row_id") -> DataFrame:
+#: Tokens of a row up to which its visibility is given as pairs.
+MOST_TOKENS = 4096
+
+
+def _token_pairs(rows: DataFrame, row: str) -> DataFrame:
+    """Pairs of a row's tokens: columns of the query token begin with q_, of the key token with k_."""
+    step, block = Window.partitionBy(row, "step"), Window.partitionBy(row, "step", "block")
+    latent = F.when((F.col("kind") == "latent") & F.col("step").isNotNull(), F.col("pos"))
+    marked = rows.select(row, "pos", "valid", "kind", "step", "block", F.min(latent).over(step).alias("first_latent"), F.min("pos").over(block).alias("block_start"))
+    checked = marked.withColumn("pos", F.when(F.col("pos") < MOST_TOKENS, F.col("pos")).otherwise(F.raise_error(F.lit(f"a row has more than {MOST_TOKENS} tokens"))))
+    side = lambda c: checked.select(row, *(F.col(x).alias(f"{c}_{x}") for x in checked.columns if x != row))
+    return side("q").join(side("k"), row)
+
+
+def visible_pairs(
+    rows: DataFrame, row: str = "row_id", keep_images: bool = False, hide_latents: bool = False, hide_question_image: bool = False, latents_see_all: bool = True,
+    observations_see: str | None = None, observations_skip_question_image: bool = False,
+) -> DataFrame:
     """The visibility mask of short sequences as a relation (row, q, k, allowed).
 
-    Token rows have pos, valid, kind (text, image, latent or observation) and step (null outside steps; the
-    question image is an image of no step). Rules in order: causal and valid; a step's image is seen only by
-    itself and its latents. Observations have no rule of their own.
-    Pairs are joined inside a row only; a row with more than 4096 tokens is an error.
+    Token rows have pos, valid, kind (text, question, question_image, question_edge for the tags around it, image,
+    latent, observation), step (null outside steps) and block (of an observation). Without further rules a token sees
+    valid tokens up to itself. A step without latents has no rules. Else
+    - its images are seen by its latents alone, unless ``keep_images``;
+    - its latents see its images and each other up to themselves, and nothing else unless ``latents_see_all``;
+    - a block of observations sees itself up to each token; with ``observations_see`` else only what that names:
+      "question_and_latents" (the question without images, and latents before the block), "latents" or "images"
+      (those of its step); ``observations_skip_question_image`` hides the question's image and its tags from them.
+    ``hide_latents`` hides latents from all tokens behind the step's first one, ``hide_question_image`` the question's
+    image from all but latents of steps. Pairs are joined inside a row only; a row with more than MOST_TOKENS is an error.
     """
-    q = rows.select(row, F.col("pos").alias("q"), F.col("valid").alias("qv"), F.col("kind").alias("qk"), F.col("step").alias("qs"))
-    k = rows.select(row, F.col("pos").alias("k"), F.col("valid").alias("kv"), F.col("kind").alias("kk"), F.col("step").alias("ks"))
-    seen = (F.col("k") <= F.col("q")) & F.col("qv") & F.col("kv")
-    same = F.col("qs").eqNullSafe(F.col("ks"))
-    image = (F.col("kk") == "image") & F.col("ks").isNotNull()
-    allowed = seen & (~image | (same & F.col("qk").isin("image", "latent")))
-    short = F.when(F.col("q") < 4096, F.col("q")).otherwise(F.raise_error(F.lit("a row has more than 4096 tokens")))
-    return q.join(k, row).select(row, short.alias("q"), "k", allowed.alias("allowed"))
+    if observations_see not in (None, "question_and_latents", "latents", "images"):
+        raise ValueError(f"observations cannot be made to see {observations_see}")
+    pairs = _token_pairs(rows, row)
+    col, off, on = F.col, F.lit(False), F.lit(True)
+    causal = col("k_pos") <= col("q_pos")
+    key_in_step = col("k_step").isNotNull() & col("k_first_latent").isNotNull()
+    own = key_in_step & (col("q_step") == col("k_step"))
+    active = col("q_step").isNotNull() & col("q_first_latent").isNotNull()
+    question_image = col("k_kind") == "question_image"
+    seen = causal & col("q_valid") & col("k_valid")
+    if hide_question_image:
+        seen = seen & ~question_image
+    if not keep_images:
+        seen = seen & ~(key_in_step & (col("k_kind") == "image"))
+    hidden = key_in_step & (col("k_kind") == "latent") & (col("q_pos") > col("k_first_latent")) if hide_latents else off
+    seen = seen & ~hidden
+    of_latent = F.when(own & (col("k_kind") == "latent"), causal & ~hidden).when(own & (col("k_kind") == "image"), on)
+    if not latents_see_all:
+        of_latent = of_latent.otherwise(off)
+    elif hide_question_image:
+        of_latent = of_latent.when(question_image, on).otherwise(seen)
+    else:
+        of_latent = of_latent.otherwise(seen)
+    of_observation = F.when(own & (col("k_kind") == "observation") & (col("q_block") == col("k_block")), causal)
+    if observations_see == "question_and_latents":
+        of_observation = of_observation.otherwise((col("k_kind") == "question") | ((col("k_kind") == "latent") & (col("k_pos") < col("q_block_start"))))
+    else:
+        if observations_skip_question_image:
+            of_observation = of_observation.when(question_image | (col("k_kind") == "question_edge"), off)
+        if observations_see == "latents":
+            of_observation = of_observation.otherwise(off if hide_latents else own & (col("k_kind") == "latent"))
+        else:
+            of_observation = of_observation.otherwise(seen if observations_see is None else own & (col("k_kind") == "image"))
+    allowed = F.when(active & (col("q_kind") == "latent"), of_latent).when(active & (col("q_kind") == "observation"), of_observation).otherwise(seen)
+    return pairs.select(row, col("q_pos").alias("q"), col("k_pos").alias("k"), F.coalesce(allowed, off).alias("allowed"))
+
+
+def visible_pairs_without_images(rows: DataFrame, row: str = "row_id", hide_latents: bool = False) -> DataFrame:
+    """The mask of sequences without helper images: valid tokens up to each one; ``hide_latents`` hides a step's
+    latents from its first one on."""
+    col = F.col
+    allowed = (col("k_pos") <= col("q_pos")) & col("q_valid") & col("k_valid")
+    if hide_latents:
+        allowed = allowed & ~F.coalesce((col("k_kind") == "latent") & (col("q_pos") >= col("k_first_latent")), F.lit(False))
+    return _token_pairs(rows, row).select(row, col("q_pos").alias("q"), col("k_pos").alias("k"), allowed.alias("allowed"))

@@ -236,3 +236,18 @@ def extraction_prompt(examples: Column, question: Column, answer: Column, respon
     """The prompt that extracts and judges a response, after its examples."""
     asked = F.concat(F.lit("[Question]: "), question, F.lit("\n[Standard Answer]: "), answer, F.lit("\n[Model Response]: "), response, F.lit("\n[Extracted answer]: "))
     return F.concat(strip(examples, " \n\t\r"), F.lit("\n\n"), asked)
+
+
+def before_box(text: Column, tokens: Column) -> Column:
+    """The tokens before the first box of a text: as many as end before its place, by running lengths, and not the last
+    one; null if the text has no box."""
+    at = lambda mark: F.locate(mark, text) - 1
+    place = F.when(at("\\boxed") >= 0, at("\\boxed")).when(at("\\fbox") >= 0, at("\\fbox"))
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"))
+
+    def add(acc: Column, token: Column) -> Column:
+        size = acc["size"] + F.length(token)
+        return F.struct(size.alias("size"), (acc["n"] + (size < place).cast("int")).alias("n"))
+
+    n = F.aggregate(tokens, start, add, lambda acc: acc["n"])
+    return F.when(place.isNotNull(), F.slice(tokens, F.lit(1), F.least(n, F.size(tokens) - 1)))

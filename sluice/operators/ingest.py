@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.functions import text as t
+from sluice.operators.batch import unflatten_dict
 
 CONTENT = "array<struct<type:string,text:string,image:string>>"
 #: Parts that a path must have and must not have, and the name they mean; the first rule that fits counts.
@@ -198,11 +203,63 @@ def preprocess_questions(df: DataFrame, root: str = "") -> DataFrame:
     return kept.filter(~F.exists("data", early)).withColumn("data", F.transform("data", lambda x: _clean_turn(x, root)))
 
 
+def seeded_place(key: Column, seed: int) -> Column:
+    """A text by which rows are in a pseudo-random order that a seed fixes, the same in any system."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+
+
 def seeded_order(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Rows in a fixed pseudo-random order of their keys."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key)
+    return df.orderBy(seeded_place(F.col(key), seed), key)
+
+
+def sampled_order(df: DataFrame, key: str, seed: int, shuffle: bool) -> DataFrame:
+    """The order in which a loader reads rows: by a seed, or that of their keys."""
+    return seeded_order(df, key, seed) if shuffle else df.orderBy(key)
 
 
 def seeded_pick(members: Column, key: Column, seed: int) -> Column:
     """One member of a list by a hash of the row's key."""
-    return F.get(members, F.pmod(F.xxhash64(F.lit(seed), key), F.greatest(F.size(members), F.lit(1))).cast("int"))
+    number = F.conv(F.substring(seeded_place(key, seed), 1, 8), 16, 10).cast("long")
+    return F.get(members, (number % F.greatest(F.size(members), F.lit(1))).cast("int"))
+
+
+def flatten_struct(df: DataFrame, column: str, sep: str) -> DataFrame:
+    """A struct column replaced by its leaves, named by their paths."""
+
+    def leaves(kind: T.DataType, path: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                yield from leaves(f.dataType, (*path, f.name))
+        else:
+            yield path
+
+    found = [reduce(lambda c, name: c.getField(name), path, F.col(column)).alias(sep.join(path)) for path in leaves(df.schema[column].dataType, ())]
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c != column), *found)
+
+
+def unflatten_struct(df: DataFrame, column: str, sep: str, keep: Sequence[str] = ("event_id",)) -> DataFrame:
+    """Columns named by paths put into one struct column; those in ``keep`` stay."""
+    tree = unflatten_dict({c: F.col(f"`{c}`") for c in df.columns if c not in keep}, sep)
+    build = lambda t: F.struct(*((build(v) if isinstance(v, dict) else v).alias(k) for k, v in t.items()))
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c in keep), build(tree).alias(column))
+
+
+#: Columns that every generation batch takes, and further ones of batches with images by (strategy, mode).
+DENSE, PROMPT, IMAGES = ("input_ids", "attention_mask", "position_ids"), ("raw_prompt_ids",), ("multi_modal_data",)
+FURTHER = {
+    ("greedy", None): (),
+    ("greedy", "train_pre_gen"): ("global_index",),
+    ("greedy", "train_rl_gen"): ("problem", "ground_truth", "prompt_before_processor", "global_index", "correct_solutions_text"),
+    ("monet", None): ("global_index", "problem", "ground_truth"),
+}
+
+
+def generation_columns(columns: Sequence[str], strategy: str, mode: str | None) -> list[str]:
+    """Which columns of a batch go into generation: by what the batch has, the sampling strategy and the mode."""
+    if IMAGES[0] not in columns:
+        return [*DENSE, *PROMPT]
+    rule = FURTHER.get((strategy, mode), FURTHER.get((strategy, None)))
+    if rule is None:
+        raise ValueError(f"no such sampling strategy: {strategy}")
+    return [*DENSE, *PROMPT, *IMAGES, *rule]

@@ -31,13 +31,13 @@ def residual_energy(x: np.ndarray, mean: np.ndarray, basis: np.ndarray, valid: b
     return float((d * d).sum(1).mean())
 
 
-def group_projectors(df: DataFrame, group: str, vector: str, rank: int) -> DataFrame:
-    """group, mu, rank, energy outside the leading subspace of each group (whose vectors fit in one task)."""
+def group_projectors(df: DataFrame, group: str, vector: str, rank: int | None, energy: float | None = None) -> DataFrame:
+    """group, mu, rank, basis (its directions) and energy outside the leading subspace of each group (whose vectors fit in one task)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack([np.asarray(v, float) for v in pdf[vector]])
-        mean, basis, valid = projector(x, rank)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "mu": [mean.tolist()], "rank": [basis.shape[1]], "residual": [residual_energy(x, mean, basis, valid)]})
+        mean, basis, valid = projector(x, rank, energy)
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "mu": [mean.tolist()], "rank": [basis.shape[1]], "basis": [basis.T.tolist()], "residual": [residual_energy(x, mean, basis, valid)]})
 
     kind = df.schema[group].dataType.simpleString()
-    return df.select(group, vector).groupBy(group).applyInPandas(run, f"{group} {kind}, mu array<double>, rank int, residual double")
+    return df.select(group, vector).groupBy(group).applyInPandas(run, f"{group} {kind}, mu array<double>, rank int, basis array<array<double>>, residual double")

@@ -130,3 +130,25 @@ def rope_positions(spans: list[tuple[str, int, int, int]]) -> list[list[int]]:
             r.extend(x)
         start = max((max(x) for x in new if x), default=start - 1) + 1
     return rows
+
+
+def paired(df: DataFrame) -> DataFrame:
+    """``pairs`` (start, end) of each row's row_id, starts and ends."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [pair_tags(list(s), list(e)) for s, e in zip(pdf["starts"], pdf["ends"], strict=True)]
+            yield pd.DataFrame({"row_id": pdf["row_id"], "pairs": [[[int(a), int(b)] for a, b in x] for x in found]})
+
+    return df.select("row_id", "starts", "ends").mapInPandas(run, "row_id long, pairs array<array<long>>")
+
+
+def rope_index(df: DataFrame) -> DataFrame:
+    """Positions in frames, heights and widths of each row's spans (kind, frames, height, width)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [rope_positions([(s["kind"], int(s["frames"]), int(s["height"]), int(s["width"])) for s in x]) for x in pdf["spans"]]
+            yield pd.DataFrame({"row_id": pdf["row_id"]} | {name: [x[k] for x in found] for k, name in enumerate(("frames", "heights", "widths"))})
+
+    return df.select("row_id", "spans").mapInPandas(run, "row_id long, frames array<long>, heights array<long>, widths array<long>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -39,11 +40,14 @@ def a02(spark, d):
     return ingest.read_json_lines(spark, path, "doc_id long, text string")
 
 
-@query("op_a03_json_array", "SELECT 1 AS id, 'a' AS text UNION ALL SELECT 2, 'b'")
+@query("op_a03_json_array", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def a03(spark, d):
-    path = _kept(spark, None, "json")
-    spark.createDataFrame([('[{"id": 1, "text": "a"},\n {"id": 2, "text": "b"}]',)], "value string").coalesce(1).write.text(path)
-    return ingest.read_json_array(spark, path, "id long, text string")
+    # a file is one array, over several lines, of the nations of a region
+    path, fields = _kept(spark, None, "json"), ("n_nationkey", "n_name", "n_regionkey")
+    item = F.to_json(F.struct(*fields))
+    files = table(spark, d, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(item), ",\n"), F.lit("\n]")).alias("value"))
+    files.write.partitionBy("n_regionkey").text(path)
+    return ingest.read_json_array(spark, f"{path}/*", "n_nationkey long, n_name string, n_regionkey long")
 
 
 @query("op_a04_many_files", "SELECT doc_id, 0 AS source_ord FROM documents UNION ALL SELECT doc_id, 1 FROM documents")
@@ -124,37 +128,54 @@ def a16(spark, d):
     return spark.createDataFrame([(step,)], "step long")
 
 
-@query("op_a18_metrics_sink", "SELECT * FROM (VALUES (1, 'a', 0.5e0), (1, 'b', 2e0), (2, 'a', 1e0)) t(step, name, value)")
+_MONTHS = "SELECT CAST(month(o_orderdate) AS BIGINT) AS step, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY 1"
+
+
+@query("op_a18_metrics_sink", f"SELECT step, unnest(['orders', 'most']) AS name, unnest([CAST(n AS DOUBLE), most]) AS value FROM ({_MONTHS})")
 def a18(spark, d):
+    # twelve steps at most, of two metrics each
     path = _kept(spark, None, "metrics")
-    latents.append_metrics(spark, path, 1, {"a": 0.5, "b": 2})
-    latents.append_metrics(spark, path, 2, {"a": 1})
+    months = table(spark, d, "orders").groupBy(F.month("o_orderdate").cast("long").alias("step")).agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("most"))
+    for r in months.orderBy("step").collect():
+        latents.append_metrics(spark, path, r.step, {"orders": r.n, "most": r.most})
     return spark.read.parquet(path)
 
 
-def _frames(spark, d):
-    e = table(spark, d, "events").filter("event_id < 200")
+def _frames(spark, d, first=None):
+    e = table(spark, d, "events")
+    first = F.col("user_id") if first is None else first
     return e.select(
         F.col("event_id").cast("double").alias("ts"), F.lit(1).alias("pid"), (F.col("event_id") % 4).cast("int").alias("rank"), F.expr("cast(event_id div 8 as int)").alias("step"),
         F.array(F.concat((F.col("user_id") % 8).cast("string"), F.lit("_"), F.col("user_id").cast("string"))).alias("req_ids"),
-        F.array(F.when(F.col("event_type") != "error", F.array(F.col("user_id").cast("float"), F.lit(0.5).cast("float")))).alias("latents"),
+        F.array(F.when(F.col("event_type") != "error", F.array(first.cast("float"), F.lit(0.5).cast("float")))).alias("latents"),
     )
 
 
 _RID = "(user_id % 8) || '_' || user_id"
 
 
-@query("op_a21_event_source", f"SELECT {_RID} AS req_id, event_id // 8 AS step, event_id % 4 AS rank FROM events WHERE event_id < 200")
+@query("op_a21_event_source", f"SELECT {_RID} AS req_id, event_id // 8 AS step, event_id % 4 AS rank FROM events")
 def a21(spark, d):
     return _frames(spark, d).select(F.col("req_ids")[0].alias("req_id"), "step", "rank")
 
 
-for _name in ("op_a22_encode_frames", "op_a23_decode_frames"):
+#: A frame's bytes, written out: magic, version, half precision, size, one request, width, step, rank; the request and its vector.
+_FRAME = f"""SELECT lower('415654420201' || '0000' || printf('%08x', 26 + 2 + length(id) + 1 + 2 * dim) || '0001' || printf('%08x', dim) || printf('%08x', step) || printf('%08x', rank)
+  || printf('%04x', length(id)) || hex(id) || CASE dim WHEN 0 THEN '00' ELSE '01' || CASE u % 3 WHEN 0 THEN '003c' WHEN 1 THEN '0040' ELSE '00b4' END || '0038' END) AS frame
+ FROM (SELECT {_RID} AS id, user_id AS u, event_id // 8 AS step, event_id % 4 AS rank, CASE WHEN event_type <> 'error' THEN 2 ELSE 0 END AS dim FROM events)"""
+
+
+@query("op_a22_encode_frames", _FRAME)
+def a22(spark, d):
+    first = F.when(F.col("user_id") % 3 == 0, 1.0).when(F.col("user_id") % 3 == 1, 2.0).otherwise(-0.25)
+    return latents.encode_events(_frames(spark, d, first)).select(F.lower(F.hex("frame")).alias("frame"))
 
-    @query(_name, f"SELECT {_RID} AS req_id, event_id // 8 AS step, event_id % 4 AS rank, CASE WHEN event_type <> 'error' THEN user_id END AS first FROM events WHERE event_id < 200")
-    def a23(spark, d):
-        back = latents.decode_events(latents.encode_events(_frames(spark, d)))
-        return back.select(F.col("req_ids")[0].alias("req_id"), "step", "rank", F.col("latents")[0][0].cast("long").alias("first"))
+
+@query("op_a23_decode_frames", f"SELECT {_RID} AS req_id, event_id // 8 AS step, event_id % 4 AS rank, CASE WHEN event_type <> 'error' THEN user_id % 2048 END AS first FROM events")
+def a23(spark, d):
+    # half precision holds whole numbers up to 2048
+    back = latents.decode_events(latents.encode_events(_frames(spark, d, F.col("user_id") % 2048)))
+    return back.select(F.col("req_ids")[0].alias("req_id"), "step", "rank", F.col("latents")[0][0].cast("long").alias("first"))
 
 
 # chat data
@@ -237,18 +258,57 @@ for _name in ("op_b44_resume_key", "op_b57_resume_key_latents"):
         return _docs(spark, d).select("doc_id", ingest.representation_key("last", F.col("source"), F.col("doc_id").cast("string")).alias("key"))
 
 
-@query("op_b46_generation_columns", "SELECT event_id, event_type FROM events")
+_GENERATION = (("greedy", "validate", True), ("greedy", "train_pre_gen", True), ("greedy", "train_rl_gen", True), ("monet", "any", True), ("greedy", "train_rl_gen", False))
+
+
+@query("op_b46_generation_columns", "SELECT strategy, mode, images, n_columns, count(*) AS n_rows, sum(event_id * has_index) AS places FROM events, (VALUES ('greedy', 'validate', true, 5, 0), ('greedy', 'train_pre_gen', true, 6, 1), ('greedy', 'train_rl_gen', true, 10, 1), ('monet', 'any', true, 8, 1), ('greedy', 'train_rl_gen', false, 4, 0)) t(strategy, mode, images, n_columns, has_index) GROUP BY 1, 2, 3, 4")
 def b46(spark, d):
-    wanted = {("offline", "text"): ["event_id", "event_type"]}[("offline", "text")]
-    return table(spark, d, "events").select(*wanted)
+    names = [*ingest.DENSE, *ingest.PROMPT, *ingest.IMAGES, *ingest.FURTHER["greedy", "train_rl_gen"], "reward"]
+    batch = table(spark, d, "events").select(*(F.col("event_id").alias(c) for c in names))
+
+    def taken(strategy, mode, images):
+        own = batch if images else batch.drop(*ingest.IMAGES)
+        got = own.select(*ingest.generation_columns(own.columns, strategy, mode))
+        places = F.sum("global_index") if "global_index" in got.columns else F.lit(0).cast("long")
+        return got.agg(F.count(F.lit(1)).alias("n_rows"), places.alias("places")).select(F.lit(strategy).alias("strategy"), F.lit(mode).alias("mode"), F.lit(images).alias("images"), F.lit(len(got.columns)).alias("n_columns"), "n_rows", "places")
+
+    return reduce(lambda a, b: a.unionByName(b), (taken(*g) for g in _GENERATION))
+
+
+@query("op_b51_flatten", "SELECT event_id, 'props/k' AS key, CAST(json_extract_string(props, '$.k') AS BIGINT) AS value FROM events UNION ALL SELECT event_id, 'props/user/id', user_id FROM events UNION ALL SELECT event_id, 'size', 3 FROM events")
+def b51(spark, d):
+    # nested columns by their paths, back to the nested form, and flat again
+    k = F.from_json("props", "k long")["k"]
+    nested = table(spark, d, "events").select("event_id", F.struct(F.struct(k.alias("k"), F.struct(F.col("user_id").alias("id")).alias("user")).alias("props"), F.lit(3).cast("long").alias("size")).alias("x"))
+    flat = ingest.flatten_struct(nested, "x", "/")
+    again = ingest.flatten_struct(ingest.unflatten_struct(flat, "x", "/"), "x", "/")
+    return again.unpivot("event_id", [c for c in again.columns if c != "event_id"], "key", "value")
+
+
+_POOL = "SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM events WHERE event_type = 'purchase' GROUP BY 1"
+#: The number that a text has by the first eight digits of its MD5.
+_NUMBER = lambda text: f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
+_PICK = f"ids[1 + {_NUMBER("'42:' || user_id")} % len(ids)]"
+
+
+def _pool(spark, d):
+    return table(spark, d, "events").filter("event_type = 'purchase'").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
 
 
-for _name in ("op_b47_correct_subset", "op_b48_correct_loader", "op_t08_random_member"):
+@query("op_b47_correct_subset", f"SELECT user_id, {_PICK} AS event_id FROM ({_POOL})")
+def b47(spark, d):
+    return _pool(spark, d).select("user_id", ingest.seeded_pick(F.col("ids"), F.col("user_id"), 42).alias("event_id"))
 
-    @query(_name, "SELECT user_id, true AS member FROM events WHERE event_type = 'purchase' GROUP BY 1")
-    def b47(spark, d):
-        pool = table(spark, d, "events").filter("event_type = 'purchase'").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-        return pool.select("user_id", F.array_contains("ids", ingest.seeded_pick(F.col("ids"), F.col("user_id"), 42)).alias("member"))
+
+@query("op_b48_correct_loader", f"SELECT e.event_id, e.user_id, e.value FROM events e JOIN (SELECT {_PICK} AS event_id FROM ({_POOL})) USING (event_id)")
+def b48(spark, d):
+    return table(spark, d, "events").select("event_id", "user_id", "value").join(b47(spark, d).select("event_id"), "event_id", "left_semi")
+
+
+@query("op_t08_random_member", f"SELECT user_id, seed, ids[1 + {_NUMBER("seed || ':' || user_id")} % len(ids)] AS event_id FROM ({_POOL}), (SELECT unnest([1, 2, 3]) AS seed)")
+def t08(spark, d):
+    picks = F.array(*(F.struct(F.lit(seed).alias("seed"), ingest.seeded_pick(F.col("ids"), F.col("user_id"), seed).alias("event_id")) for seed in (1, 2, 3)))
+    return _pool(spark, d).select("user_id", F.explode(picks).alias("x")).select("user_id", "x.*")
 
 
 _PICKED = "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING avg(CASE WHEN event_type = 'purchase' THEN 1e0 ELSE 0e0 END) > 0 AND avg(CASE WHEN event_type = 'purchase' THEN 1e0 ELSE 0e0 END) <= 0.2)"
@@ -265,11 +325,6 @@ def x07(spark, d):
     return metrics.success_rates(table(spark, d, "events").withColumn("ok", F.col("event_type") == "purchase"), "user_id", "ok").select("user_id", F.round("acc", 6).alias("acc"))
 
 
-@query("op_b51_flatten", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS \"props/k\" FROM events")
-def b51(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("props/k"))
-
-
 @query("op_b55_collate_positions", "SELECT user_id, list_filter(range(0, len(ids)), lambda i: ids[i + 1] = 3) AS places FROM (SELECT user_id, list(CASE event_type WHEN 'purchase' THEN 3 ELSE 0 END ORDER BY event_id) AS ids FROM events GROUP BY 1)")
 def b55(spark, d):
     return _ids(spark, d).select("user_id", F.filter(F.transform("ids", lambda x, i: F.when(x == 3, i)), lambda i: i.isNotNull()).alias("places"))
@@ -285,16 +340,21 @@ def b59(spark, d):
 # sampling and balance
 
 
-@query("op_t01_sample_log", "SELECT least(20, count(*)) AS n FROM documents")
+@query("op_t01_sample_log", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r, md5('42:' || text) AS k FROM documents WHERE text IS NOT NULL) WHERE r = 1 ORDER BY k LIMIT 20")
 def t01(spark, d):
-    return ingest.seeded_order(_docs(spark, d), "text", 42).limit(20).agg(F.count(F.lit(1)).alias("n"))
+    first = _docs(spark, d).filter("text IS NOT NULL").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    return ingest.seeded_order(first, "text", 42).limit(20).select("doc_id")
 
 
-for _name in ("op_t02_seeded_shuffle", "op_t03_sampler"):
+@query("op_t02_seeded_shuffle", "SELECT doc_id, md5('42:' || doc_id) AS place FROM documents")
+def t02(spark, d):
+    return ingest.seeded_order(_docs(spark, d).select("doc_id"), "doc_id", 42).select("doc_id", ingest.seeded_place(F.col("doc_id"), 42).alias("place"))
 
-    @query(_name, "SELECT doc_id FROM documents")
-    def t02(spark, d):
-        return ingest.seeded_order(_docs(spark, d).select("doc_id"), "doc_id", 42)
+
+@query("op_t03_sampler", "SELECT * FROM (SELECT 'random' AS sampler, doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 50) UNION ALL SELECT * FROM (SELECT 'sequential', doc_id FROM documents ORDER BY doc_id LIMIT 50)")
+def t03(spark, d):
+    head = lambda name, shuffle: ingest.sampled_order(_docs(spark, d).select("doc_id"), "doc_id", 42, shuffle).limit(50).select(F.lit(name).alias("sampler"), "doc_id")
+    return head("random", True).unionByName(head("sequential", False))
 
 
 @query("op_t04_length_rank", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS r FROM documents")
@@ -317,19 +377,64 @@ def t07(spark, d):
     return _docs(spark, d).groupBy("source").agg(F.min_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"))
 
 
-def _parts(name: str, **options) -> None:
-    @query(name, "SELECT lang, count(*) AS n, sum(n_chars) AS total FROM documents GROUP BY 1")
-    def parts(spark, d):
-        out = balance.assign_parts(_docs(spark, d), "lang", "doc_id", "n_chars", **options)
-        return out.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("total"))
+#: Batches of two, four or five documents, with the documents of a batch from the longest to the shortest.
+def _batches(n: int) -> str:
+    place = "ORDER BY n_chars DESC, doc_id DESC"
+    return f"SELECT doc_id, n_chars, doc_id // {n} AS batch, doc_id % {n} AS i, row_number() OVER (PARTITION BY doc_id // {n} {place}) AS r FROM documents"
+
+
+def _by_rank(n: int) -> str:
+    """One row for each batch: lengths a to d from the longest on."""
+    return "SELECT batch, " + ", ".join(f"coalesce(max(n_chars) FILTER (WHERE r = {k + 1}), 0) AS {c}" for k, c in enumerate("abcd")) + f" FROM ({_batches(n)}) GROUP BY 1"
+
+
+def _assigned(spark, d, n: int, **options):
+    docs = _docs(spark, d).select("doc_id", "n_chars", F.expr(f"doc_id div {n}").alias("batch"))
+    return balance.assign_parts(docs, "batch", "doc_id", "n_chars", **options)
+
+
+# two parts: the two longest are set against each other, and what is left of their difference against the third; the
+# fourth goes to the smaller side, or with the longest if it outweighs the first difference
+@query("op_k01_differencing", f"""WITH s AS (SELECT *, CASE WHEN d > a - b THEN a + d ELSE a END AS x, b + c AS y FROM ({_by_rank(4)})),
+ e AS (SELECT batch, CASE WHEN d > a - b THEN x WHEN x > y THEN x ELSE x + d END AS x, CASE WHEN d > a - b THEN y WHEN x > y THEN y + d ELSE y END AS y FROM s)
+ SELECT batch, greatest(x, y) AS most, least(x, y) AS least FROM e""")
+def k01(spark, d):
+    sums = _assigned(spark, d, 4, k=2).groupBy("batch", "part").agg(F.sum("n_chars").alias("n"))
+    return sums.groupBy("batch").agg(F.max("n").alias("most"), F.min("n").alias("least"))
+
+
+# three parts of four documents: the two shortest share one; parts come from the largest sum to the smallest
+@query("op_k02_state_order", f"SELECT batch, unnest(list_reverse_sort([a, b, c + d])) AS total, unnest([0, 1, 2]) AS part FROM ({_by_rank(4)})")
+def k02(spark, d):
+    return _assigned(spark, d, 4, k=3).groupBy("batch", "part").agg(F.sum("n_chars").alias("total"))
 
 
-_parts("op_k01_differencing", k=4)
-_parts("op_k02_state_order", k=3)
-_parts("op_k03_least_loaded", k=4, method="least_loaded")
-_parts("op_k04_balanced", k=2)
-_parts("op_k05_micro_batches", most=60_000)
-_parts("op_k07_balance_batch", k=5)
+_GREEDY = "SELECT batch, max(n_chars) FILTER (WHERE i = 0) AS a, max(n_chars) FILTER (WHERE i = 1) AS b, max(n_chars) FILTER (WHERE i = 2) AS c FROM ({}) GROUP BY 1".format(_batches(4))
+
+
+@query("op_k03_least_loaded", f"""WITH g AS (SELECT *, CASE WHEN a <= b THEN 0 ELSE 1 END AS p FROM ({_GREEDY})),
+ h AS (SELECT *, CASE WHEN a + CASE p WHEN 0 THEN c ELSE 0 END <= b + CASE p WHEN 1 THEN c ELSE 0 END THEN 0 ELSE 1 END AS q FROM g)
+ SELECT doc_id, CASE i WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN p ELSE q END AS part FROM ({_batches(4)}) JOIN h USING (batch)""")
+def k03(spark, d):
+    return _assigned(spark, d, 4, k=2, method="least_loaded").select("doc_id", "part")
+
+
+@query("op_k04_balanced", f"SELECT doc_id, r - 1 AS part FROM ({_batches(2)})")
+def k04(spark, d):
+    return _assigned(spark, d, 2, k=2, equal_size=True).select("doc_id", "part")
+
+
+@query("op_k05_micro_batches", "SELECT lang, ceil(sum(n_chars) / 60000) AS parts, count(*) AS n, sum(n_chars) AS total FROM documents GROUP BY 1")
+def k05(spark, d):
+    out = balance.assign_parts(_docs(spark, d), "lang", "doc_id", "n_chars", most=60_000)
+    return out.groupBy("lang").agg(F.count_distinct("part").alias("parts"), F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("total"))
+
+
+@query("op_k07_balance_batch", f"SELECT batch, r - 1 AS rank, doc_id, max(n_chars) OVER (PARTITION BY batch) - min(n_chars) OVER (PARTITION BY batch) AS spread FROM ({_batches(5)})")
+def k07(spark, d):
+    out = _assigned(spark, d, 5, k=5).withColumnRenamed("part", "rank")
+    batch = Window.partitionBy("batch")
+    return out.select("batch", "rank", "doc_id", (F.max("n_chars").over(batch) - F.min("n_chars").over(batch)).alias("spread"))
 
 
 @query("op_k06_ceil_div", "SELECT doc_id, (n_chars + 6) // 7 AS n FROM documents")
@@ -349,14 +454,30 @@ def _steps(spark, d):
     return table(spark, d, "embeddings").select(F.col("label").cast("long").alias("sample_id"), F.col("vec_id").alias("ord"), F.col("vec_id").cast("string").alias("text"), "embedding", (F.col("vec_id") % 2 == 0).alias("lead_correct"))
 
 
-for _name, _mode in (("op_l01_leader", "all"), ("op_l02_representatives", "centroid")):
+def _kinds(spark, d):
+    """Events of a user as steps whose vectors are the axis of their kind, half of a click's on the axis of views."""
+    kind = F.array_position(F.array(*map(F.lit, ("view", "click", "signup", "purchase", "error"))), F.col("event_type"))
+    axis = F.array(*(F.when(kind == k + 1, 1.0).otherwise(0.0) for k in range(5)))
+    leaning = F.array(*(F.lit(x) for x in (0.6, 0.8, 0.0, 0.0, 0.0)))
+    vector = F.when(kind == 2, leaning).otherwise(axis)
+    return table(spark, d, "events").select(F.col("user_id").alias("sample_id"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("text"), vector.alias("embedding"), (F.col("value") > 20).alias("lead_correct"))
 
-    def _leader(name, mode):
-        @query(name, "SELECT label AS sample_id, count(*) AS n FROM embeddings GROUP BY 1")
-        def l01(spark, d):
-            return cluster.cluster_steps(_steps(spark, d), 0.3, 0.5, mode).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
 
-    _leader(_name, _mode)
+#: Clusters in the order of their first steps; a step counts as correct by itself if it is the first, else by the share so far.
+_CLUSTERS = """WITH e AS (SELECT user_id, event_id, value > 20 AS ok, {home} AS home FROM events),
+ f AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, home) AS first, avg(CASE WHEN ok THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY user_id, home ORDER BY event_id) AS share FROM e)
+ SELECT user_id AS sample_id, event_id AS ord, dense_rank() OVER (PARTITION BY user_id ORDER BY first) - 1 AS cluster, CASE WHEN event_id = first THEN ok ELSE share > 0.5e0 END AS correct FROM f"""
+
+
+@query("op_l01_leader", _CLUSTERS.format(home="event_type"))
+def l01(spark, d):
+    return cluster.cluster_steps(_kinds(spark, d), 0.7, 0.5, "all").select("sample_id", "ord", "cluster", "correct")
+
+
+# by the first member a click joins the views, or a view the clicks
+@query("op_l02_representatives", _CLUSTERS.format(home="CASE event_type WHEN 'click' THEN 'view' ELSE event_type END"))
+def l02(spark, d):
+    return cluster.cluster_steps(_kinds(spark, d), 0.5, 0.5, "first").select("sample_id", "ord", "cluster", "correct")
 
 
 @query("op_l03_look_up", "SELECT label AS sample_id, CAST(vec_id AS VARCHAR) AS text, vec_id % 2 = 0 AS correct FROM embeddings")
@@ -373,19 +494,60 @@ def l04(spark, d):
 
 # spans
 
-_TAGS = seg.Tags(0, 1, 2, 3, 4, 2, 1, 4)
+#: Tags 1 to 8: image start, end and pad, latent start, end and pad, observation start and end; other tokens are 9.
+_TAGS = seg.Tags(1, 2, 3, 4, 5, 6, 7, 8)
+#: A row of an event with k = event_id % 4: a question with k + 1 image pads, then k steps of an image with two pads (if
+#: images are shown), k + 1 latent pads and an observation of two tokens, and at the end a start without an end.
+_K = "event_id % 4"
+
+
+def _token_rows(spark, d, images: bool):
+    k = F.col("event_id") % 4
+    lit = lambda *x: F.array(*(F.lit(v) for v in x))
+    repeat = lambda x, n: F.array_repeat(F.lit(x), n.cast("int"))
+    step = F.concat(lit(9, *([1, 3, 3, 2] * images), 4), repeat(6, k + 1), lit(5, 8, 7, 9, 9, 8))
+    steps = F.flatten(F.transform(F.sequence(F.lit(0), k.cast("int")), lambda i: F.when(i > 0, step).otherwise(lit(9))))
+    ids = F.concat(lit(9, 1), repeat(3, k + 1), lit(2), steps, lit(4))
+    return table(spark, d, "events").select(F.col("event_id").alias("row_id"), ids.cast("array<int>").alias("ids"))
+
+
+def _segment_sql(images: bool) -> str:
+    """Places of the pads: the question's start at 2; a step begins behind the question, its end tag and the tokens before it."""
+    ahead = 1 + 4 * images
+    return f"""WITH r AS (SELECT event_id AS row_id, {_K} AS k FROM events), s AS (SELECT row_id, k, unnest(range(1, k + 1)) AS n FROM r),
+     p AS (SELECT row_id, n, k, k + 5 + (n - 1) * ({ahead} + 1 + k + 1 + 6) AS o FROM s)
+     SELECT row_id, n, {'[o + 2, o + 3]' if images else '[]::BIGINT[]'} AS image, list_transform(range(k + 1), lambda i: o + {ahead} + 1 + i) AS latent, [[o + {ahead} + k + 5, o + {ahead} + k + 6]] AS observations FROM p
+     UNION ALL SELECT row_id, 0, list_transform(range(k + 1), lambda i: 2 + i), [], [] FROM r"""
 
 
 def _segment_query(name: str, images: bool) -> None:
-    @query(name, "SELECT user_id AS row_id FROM events GROUP BY 1")
+    @query(name, _segment_sql(images))
     def segments(spark, d):
-        return seg.find_segments(_ids(spark, d).select(F.col("user_id").alias("row_id"), "ids"), _TAGS, images).select("row_id")
+        found = seg.find_segments(_token_rows(spark, d, images), _TAGS, images)
+        step = lambda n, image, latent, observations: F.struct(n.cast("long").alias("n"), image.cast("array<long>").alias("image"), latent.cast("array<long>").alias("latent"), observations.cast("array<array<long>>").alias("observations"))
+        none = F.array().cast("array<array<long>>")
+        rows = F.concat(F.array(step(F.lit(0), F.col("question"), F.array().cast("array<long>"), none)), F.transform("steps", lambda s, i: step(i + 1, s["image"], s["latent"], s["observations"])))
+        return found.select("row_id", F.explode(rows).alias("x")).select("row_id", "x.*")
 
 
-_segment_query("op_g08_tag_pairs", True)
 _segment_query("op_g09_segments", True)
 _segment_query("op_g10_segments_without_images", False)
-_segment_query("op_b56_collate_latents", False)
+
+
+@query("op_g08_tag_pairs", "SELECT event_id AS row_id, list_transform(range(event_id % 4), lambda n: [event_id % 4 + 10 + n * (event_id % 4 + 13), 2 * (event_id % 4) + 12 + n * (event_id % 4 + 13)]) AS pairs FROM events")
+def g08(spark, d):
+    # starts of latents with their ends; the last start has none
+    rows = _token_rows(spark, d, True)
+    places = lambda tag: F.filter(F.transform("ids", lambda x, i: F.when(x == tag, i)), lambda i: i.isNotNull())
+    return seg.paired(rows.select("row_id", places(4).alias("starts"), places(5).alias("ends"))).select("row_id", "pairs")
+
+
+@query("op_b56_collate_latents", "SELECT event_id AS row_id, event_id % 4 AS n_steps, 1 + event_id % 4 AS pads, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 4 + 11 END AS first_pad, event_id % 4 * (event_id % 4 + 1) AS n_pads FROM events")
+def b56(spark, d):
+    # of each row: its steps, the question's pads, the place of the first latent pad and the number of all of them
+    found = seg.find_segments(_token_rows(spark, d, True), _TAGS, True)
+    latent = F.flatten(F.transform("steps", lambda s: s["latent"]))
+    return found.select("row_id", F.size("steps").cast("long").alias("n_steps"), F.size("question").cast("long").alias("pads"), F.array_min(latent).cast("long").alias("first_pad"), F.size(latent).cast("long").alias("n_pads"))
 
 
 @query("op_g14_track_observations", "SELECT event_id AS row_id, 'a b' || event_id || ' c d' AS clean_text, [1, 2] AS observed FROM events")
@@ -394,18 +556,40 @@ def g14(spark, d):
     return seg.track_observations(table(spark, d, "events").select(F.col("event_id").alias("row_id"), text.alias("text")))
 
 
-for _name in ("op_n12_projectors", "op_n13_residuals", "op_n14_leading_basis"):
+#: Vectors of a user's events on a line through (1, u, 2) with u = user_id % 5, and a second part of a tenth across it for clicks.
+_LINE = "SELECT user_id, value AS v, CAST(user_id % 5 AS DOUBLE) AS u, CASE WHEN event_type = 'click' THEN 0.1e0 ELSE 0e0 END AS w FROM events"
+
+
+def _lines(spark, d, across: bool):
+    u, v, w = (F.col("user_id") % 5).cast("double"), F.col("value"), F.when((F.col("event_type") == "click") & F.lit(across), 0.1).otherwise(0.0)
+    return table(spark, d, "events").select("user_id", F.array(v + 2 * w, v * u, 2 * v - w).alias("x"))
+
 
-    @query(_name, "SELECT label, 4 AS rank, round(avg(CAST(embedding[1] AS DOUBLE)), 4) AS mu FROM embeddings GROUP BY 1")
-    def n12(spark, d):
-        out = projectors.group_projectors(table(spark, d, "embeddings"), "label", "embedding", 4)
-        return out.select("label", "rank", F.round(F.col("mu")[0], 4).alias("mu"))
+@query("op_n12_projectors", f"SELECT user_id, 1 AS rank, round(avg(v), 6) AS m0, round(avg(v * u), 6) AS m1, round(avg(2 * v), 6) AS m2 FROM ({_LINE}) GROUP BY 1")
+def n12(spark, d):
+    out = projectors.group_projectors(_lines(spark, d, False), "user_id", "x", 2)
+    return out.select("user_id", "rank", *(F.round(F.col("mu")[i], 6).alias(f"m{i}") for i in range(3)))
+
+
+# across the line lies (2, 0, -1), which is at right angles to it: of rank one, the part beyond the line is left
+@query("op_n13_residuals", f"SELECT user_id, CASE WHEN max(w) > 0 THEN 'lost' ELSE 'none' END AS kind, round(var_pop(w) * 5 * (1 - CASE WHEN var_pop(w) > 0 AND var_pop(v) > 0 THEN covar_pop(v, w) * covar_pop(v, w) / (var_pop(v) * var_pop(w)) ELSE 0 END), 2) AS residual FROM ({_LINE}) GROUP BY 1")
+def n13(spark, d):
+    out = projectors.group_projectors(_lines(spark, d, True), "user_id", "x", 1)
+    clicks = table(spark, d, "events").groupBy("user_id").agg(F.when(F.max((F.col("event_type") == "click").cast("int")) > 0, "lost").otherwise("none").alias("kind"))
+    return out.join(clicks, "user_id").select("user_id", "kind", F.round("residual", 2).alias("residual"))
+
+
+@query("op_n14_leading_basis", f"SELECT user_id, round(1 / sqrt(5 + u * u), 6) AS b0, round(u / sqrt(5 + u * u), 6) AS b1, round(2 / sqrt(5 + u * u), 6) AS b2 FROM ({_LINE}) GROUP BY user_id, u")
+def n14(spark, d):
+    # the leading direction up to its sign, by the share of energy that it must have
+    out = projectors.group_projectors(_lines(spark, d, False), "user_id", "x", None, energy=0.99)
+    return out.select("user_id", *(F.round(F.abs(F.col("basis")[0][i]), 6).alias(f"b{i}") for i in range(3)))
 
 
 # stream
 
 
-@query("op_x03_accumulate", f"SELECT CAST(user_id AS VARCHAR) AS parent, user_id % 8 AS sample, count(DISTINCT event_id // 8) AS n FROM events WHERE event_id < 200 AND event_id % 4 = 1 AND event_type <> 'error' GROUP BY 1, 2")
+@query("op_x03_accumulate", f"SELECT CAST(user_id AS VARCHAR) AS parent, user_id % 8 AS sample, count(DISTINCT event_id // 8) AS n FROM events WHERE event_id % 4 = 1 AND event_type <> 'error' GROUP BY 1, 2")
 def x03(spark, d):
     return latents.trajectories(_frames(spark, d), rank=1).select("parent", "sample", F.size("vectors").cast("long").alias("n"))
 
@@ -417,20 +601,22 @@ def x04(spark, d):
     return table(spark, d, "events").select("event_id", latents.parse_request(rid).alias("x")).select("event_id", "x.*")
 
 
-@query("op_x05_read_by_parent", "SELECT CAST(user_id AS VARCHAR) AS parent, user_id % 8 AS sample FROM events WHERE event_id < 200 AND event_type <> 'error' AND user_id = 7 GROUP BY 1, 2")
+@query("op_x05_read_by_parent", "SELECT CAST(user_id AS VARCHAR) AS parent, user_id % 8 AS sample FROM events WHERE event_type <> 'error' AND user_id = 7 GROUP BY 1, 2")
 def x05(spark, d):
     return latents.trajectories(_frames(spark, d)).filter("parent = '7'").select("parent", "sample")
 
 
-@query("op_x08_decode_state", "SELECT user_id, true AS ok FROM events GROUP BY 1")
+#: A request's tokens by its event: before, start, some inside (an end among them for odd events), after.
+@query("op_x08_decode_state", "SELECT event_id, list_transform(range(1, 9), lambda i: i >= 2 AND i < CASE WHEN event_id % 2 = 1 THEN 3 + event_id % 3 ELSE 2 + 1 + event_id % 3 + 1 END AND i <= 5) AS active FROM events")
 def x08(spark, d):
-    from sluice.functions.answers import udf
+    # the latents end at an end token, or after four steps at most
+    k = (F.col("event_id") % 3).cast("int")
+    body = F.when(F.col("event_id") % 2 == 1, F.concat(F.array_repeat(F.lit(0), k), F.array(F.lit(4)))).otherwise(F.concat(F.array_repeat(F.lit(0), k + 1), F.array(F.lit(4))))
+    tokens = F.concat(F.array(F.lit(0), F.lit(1)), body, F.array_repeat(F.lit(0), 8))
+    return latents.decoded_states(table(spark, d, "events").select("event_id", F.slice(tokens, 1, 8).alias("tokens")), "event_id", "tokens", 1, 4, 4).select("event_id", "active")
 
-    states = udf(lambda x: len(latents.decode_states(list(x), 1, 4, 2)) == len(x), "boolean")
-    return _ids(spark, d).select("user_id", states("ids").alias("ok"))
 
-
-@query("op_x01_stream_recorder", "SELECT CAST(user_id AS VARCHAR) AS parent, user_id % 8 AS sample, count(DISTINCT event_id // 8) AS n FROM events WHERE event_id < 200 AND event_id % 4 = 1 AND event_type <> 'error' GROUP BY 1, 2")
+@query("op_x01_stream_recorder", "SELECT CAST(user_id AS VARCHAR) AS parent, user_id % 8 AS sample, count(DISTINCT event_id // 8) AS n FROM events WHERE event_id % 4 = 1 AND event_type <> 'error' GROUP BY 1, 2")
 def x01(spark, d):
     path = _kept(spark, None, "stream")
     _frames(spark, d).write.parquet(f"{path}/in")
@@ -440,9 +626,15 @@ def x01(spark, d):
     return spark.read.schema("parent string, sample int, step int, n int").parquet(f"{path}/out").groupBy("parent", "sample").agg(F.max("n").cast("long").alias("n"))
 
 
-@query("op_w15_rope_index", "SELECT 1 AS ok")
+#: Text of t tokens, an image of two by w, a video of two frames of one by w, and two tokens, by the event.
+@query("op_w15_rope_index", """WITH e AS (SELECT event_id, 1 + event_id % 3 AS t, 2 + event_id % 2 AS w FROM events),
+ p AS (SELECT event_id, t, w, t + greatest(2, w) AS v, t + greatest(2, w) + greatest(2, w) AS z FROM e)
+ SELECT event_id, list_concat(range(t), list_transform(range(2 * w), lambda i: t), list_transform(range(2 * w), lambda i: v + i // w), [z, z + 1]) AS frames,
+  list_concat(range(t), list_transform(range(2 * w), lambda i: t + i // w), list_transform(range(2 * w), lambda i: v), [z, z + 1]) AS heights,
+  list_concat(range(t), list_transform(range(2 * w), lambda i: t + i % w), list_transform(range(2 * w), lambda i: v + i % w), [z, z + 1]) AS widths FROM p""")
 def w15(spark, d):
-    rows = seg.rope_positions([("text", 0, 3, 0), ("image", 1, 2, 2), ("text", 0, 2, 0)])
-    return spark.createDataFrame([(int(rows[0] == [0, 1, 2, 3, 3, 3, 3, 5, 6]),)], "ok int")
-
-
+    t, w = (1 + F.col("event_id") % 3).cast("int"), (2 + F.col("event_id") % 2).cast("int")
+    span = lambda kind, frames, height, width: F.struct(F.lit(kind).alias("kind"), frames.cast("int").alias("frames"), height.cast("int").alias("height"), width.cast("int").alias("width"))
+    n = F.lit
+    spans = F.array(span("text", n(0), t, n(0)), span("image", n(1), n(2), w), span("video", n(2), n(1), w), span("text", n(0), n(2), n(0)))
+    return seg.rope_index(table(spark, d, "events").select(F.col("event_id").alias("row_id"), spans.alias("spans"))).withColumnRenamed("row_id", "event_id")

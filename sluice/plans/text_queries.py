@@ -79,16 +79,57 @@ def j12(spark, d):
     return g.overlap_join(_spans(spark, d), other, "k", 8)
 
 
-@query("op_g11_visibility", """WITH r AS (SELECT user_id AS row_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, event_type <> 'error' AS valid,
-  CASE WHEN event_type = 'view' THEN 'image' WHEN event_type = 'click' THEN 'latent' ELSE 'text' END AS kind, CASE WHEN event_type IN ('view', 'click') THEN event_id // 200 END AS step FROM events WHERE event_id < 600)
- SELECT a.row_id, a.pos AS q, b.pos AS k, b.pos <= a.pos AND a.valid AND b.valid AND (NOT (b.kind = 'image' AND b.step IS NOT NULL) OR (a.step IS NOT DISTINCT FROM b.step AND a.kind IN ('image', 'latent'))) AS allowed FROM r a JOIN r b USING (row_id)""")
-def g11(spark, d):
-    kind = F.when(F.col("event_type") == "view", "image").when(F.col("event_type") == "click", "latent").otherwise("text")
-    rows = table(spark, d, "events").filter("event_id < 600").select(
-        F.col("user_id").alias("row_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("pos"), (F.col("event_type") != "error").alias("valid"),
-        kind.alias("kind"), F.when(kind != "text", F.expr("event_id div 200")).alias("step"),
-    )
-    return g.visible_pairs(rows)
+#: Each user's events as tokens: the first five are a question, then steps of eight tokens, in which the sign-ups of each half are a block.
+_TOKENS = """r AS (SELECT user_id AS row_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events),
+ t AS (SELECT row_id, pos, event_type <> 'error' AS valid, CASE WHEN pos < 5 THEN NULL ELSE (pos - 5) // 8 END AS step, CASE WHEN pos < 5 THEN NULL ELSE (pos - 5) // 4 END AS block,
+  CASE WHEN pos IN (0, 2) THEN 'question_edge' WHEN pos = 1 THEN 'question_image' WHEN pos < 5 THEN 'question' WHEN event_type = 'view' THEN 'image' WHEN event_type = 'click' THEN 'latent'
+  WHEN event_type = 'signup' THEN 'observation' ELSE 'text' END AS kind FROM r),
+ s AS (SELECT row_id, step, min(pos) AS head FROM t WHERE kind = 'latent' GROUP BY 1, 2),
+ o AS (SELECT row_id, block, min(pos) AS opens FROM t WHERE step IS NOT NULL GROUP BY 1, 2),
+ f AS (SELECT t.*, s.head, o.opens FROM t LEFT JOIN s ON t.row_id = s.row_id AND t.step = s.step LEFT JOIN o ON t.row_id = o.row_id AND t.block = o.block)"""
+
+
+def _tokens(spark, d):
+    pos, kind = F.col("pos"), F.col("event_type")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("row_id"), "event_type", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("pos"))
+    named = F.when(pos.isin(0, 2), "question_edge").when(pos == 1, "question_image").when(pos < 5, "question").when(kind == "view", "image").when(kind == "click", "latent").when(kind == "signup", "observation").otherwise("text")
+    part = lambda n: F.when(pos >= 5, F.floor((pos - 5) / n))
+    return rows.select("row_id", "pos", (kind != "error").alias("valid"), named.alias("kind"), part(8).alias("step"), part(4).alias("block"))
+
+
+def _visibility(name: str, sql: str, **options) -> None:
+    text = f"""WITH {_TOKENS}, p AS (SELECT q.row_id, q.pos AS q, k.pos AS k, q.kind AS qk, k.kind AS kk, q.head AS qh, k.head AS kh, q.opens, coalesce(q.step = k.step, false) AS own, coalesce(q.block = k.block, false) AS mate,
+      k.pos <= q.pos AS past, k.pos <= q.pos AND q.valid AND k.valid AS base FROM f q JOIN f k USING (row_id))
+     SELECT row_id, q, k, coalesce({sql}, false) AS allowed FROM p"""
+
+    @query(name, text)
+    def visibility(spark, d):
+        return g.visible_pairs(_tokens(spark, d), **options)
+
+
+_SHOWN = "base AND NOT (kk = 'image' AND kh IS NOT NULL)"
+_visibility("op_g11_visibility", f"CASE WHEN qk = 'latent' AND own AND kk = 'image' THEN true WHEN (qk = 'latent' AND own AND kk = 'latent') OR (qk = 'observation' AND qh IS NOT NULL AND kk = 'observation' AND mate) THEN past ELSE {_SHOWN} END")
+_visibility(
+    "op_g11_hidden_latents", f"CASE WHEN qk = 'latent' AND own AND kk = 'image' THEN true WHEN qk = 'latent' AND kk = 'question_image' THEN true WHEN kk = 'latent' AND q > kh THEN false WHEN qk = 'latent' AND own AND kk = 'latent' THEN past"
+    f" WHEN qk = 'observation' AND qh IS NOT NULL AND kk = 'observation' AND mate THEN past WHEN kk = 'question_image' THEN false ELSE {_SHOWN} END", hide_latents=True, hide_question_image=True,
+)
+_visibility(
+    "op_g11_question_and_latents", "CASE WHEN qk = 'latent' THEN own AND (kk = 'image' OR (kk = 'latent' AND past)) WHEN qk = 'observation' AND qh IS NOT NULL THEN (kk = 'observation' AND mate AND past) OR (kk <> 'observation' AND (kk = 'question' OR (kk = 'latent' AND k < opens)))"
+    f" ELSE {_SHOWN} END", latents_see_all=False, observations_see="question_and_latents",
+)
+_visibility(
+    "op_g11_observations_see_latents", "CASE WHEN qk = 'latent' AND own AND kk IN ('image', 'latent') THEN kk = 'image' OR past WHEN qk = 'observation' AND qh IS NOT NULL THEN own AND ((kk = 'observation' AND mate AND past) OR kk = 'latent') ELSE base END",
+    keep_images=True, observations_see="latents",
+)
+_visibility(
+    "op_g11_no_question_image", f"CASE WHEN qk = 'latent' AND own AND kk IN ('image', 'latent') THEN kk = 'image' OR past WHEN qk = 'observation' AND qh IS NOT NULL THEN CASE WHEN kk = 'observation' AND mate THEN past WHEN kk IN ('question_image', 'question_edge') THEN false ELSE {_SHOWN} END ELSE {_SHOWN} END",
+    observations_skip_question_image=True,
+)
+
+
+@query("op_g12_visibility_without_images", f"WITH {_TOKENS} SELECT q.row_id, q.pos AS q, k.pos AS k, k.pos <= q.pos AND q.valid AND k.valid AND NOT (k.kind = 'latent' AND q.pos >= coalesce(k.head, 0)) AS allowed FROM f q JOIN f k USING (row_id)")
+def g12(spark, d):
+    return g.visible_pairs_without_images(_tokens(spark, d), hide_latents=True)
 
 
 @query("op_g15_steps", "SELECT event_id, ['first ' || event_id, 'then b', 'end'] AS steps FROM events")
@@ -218,11 +259,19 @@ def s09(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(t.tighten(F.col("html"))).alias("n"))
 
 
-@query("op_s16_before_boxed", "SELECT doc_id, len(list_filter(range(1, len(w) + 1), lambda i: length(array_to_string(w[1:i], '')) < 40)) AS kept FROM (SELECT doc_id, string_split(text, ' ')[1:60] AS w FROM documents WHERE n_chars > 500)")
+#: A box after some characters; every third text has none.
+_BOXED = r"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE substr(text, 1, doc_id % 7 * 40) || CASE WHEN doc_id % 3 = 1 THEN '\boxed{' ELSE '\fbox{' END || substr(text, doc_id % 7 * 40 + 1) END AS x FROM documents WHERE text IS NOT NULL"
+
+
+@query("op_s16_before_boxed", rf"""WITH b AS ({_BOXED}), p AS (SELECT doc_id, string_split(x, ' ') AS w, CASE WHEN strpos(x, '\boxed') > 0 THEN strpos(x, '\boxed') - 1 WHEN strpos(x, '\fbox') > 0 THEN strpos(x, '\fbox') - 1 END AS place FROM b),
+ u AS (SELECT doc_id, place, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM p), c AS (SELECT doc_id, place, n, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM u)
+ SELECT doc_id, CASE WHEN any_value(place) IS NOT NULL THEN least(count(*) FILTER (WHERE upto < place), any_value(n) - 1) END AS kept FROM c GROUP BY 1""")
 def s16(spark, d):
-    words = table(spark, d, "documents").filter("n_chars > 500").select("doc_id", F.posexplode(F.slice(F.split("text", " ", -1), 1, 60)).alias("i", "w"))
-    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return words.withColumn("upto", F.sum(F.length("w")).over(w)).groupBy("doc_id").agg(F.sum((F.col("upto") < 40).cast("long")).alias("kept"))
+    cut, third = (F.col("doc_id") % 7 * 40).cast("int"), F.col("doc_id") % 3
+    box = F.when(third == 1, F.lit("\\boxed{")).otherwise(F.lit("\\fbox{"))
+    text = F.when(third == 0, F.col("text")).otherwise(F.concat(F.substring(F.col("text"), F.lit(1), cut), box, F.substring(F.col("text"), cut + 1, F.length("text"))))
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", text.alias("x"))
+    return docs.select("doc_id", F.size(t.before_box(F.col("x"), F.split("x", " ", -1))).cast("long").alias("kept"))
 
 
 @query("op_b30_render", "SELECT item_id, 2 AS n_parts, trim(text) || ' You FIRST think about the reasoning process as an internal monologue and then provide the final answer.\\nRemember: 1. Solve the problem step by step.\\n2. You MUST put the final answer in \\boxed{}.' AS tail FROM benchmark")

@@ -152,6 +152,16 @@ def decode_states(tokens: list[int], start: int, end: int, size: int) -> list[bo
     return out
 
 
+def decoded_states(df: DataFrame, key: str, tokens: str, start: int, end: int, size: int) -> DataFrame:
+    """``active`` of each row: whether latent decoding is on at each of its tokens."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "active": [decode_states(list(x), start, end, size) for x in pdf[tokens]]})
+
+    return df.select(key, tokens).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, active array<boolean>")
+
+
 def online_selection(rollouts: DataFrame, key: str, correct: str, threshold: float, least_keys: int) -> DataFrame:
     """Whole groups of a macro-batch whose success rate is above 0 and at most the threshold; none if too few keys."""
     from sluice.operators.metrics import select_by_difficulty

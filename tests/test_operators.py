@@ -190,7 +190,7 @@ def test_ingest_errors(spark, tmp_path):
 
 
 def test_visible_pairs_raises_on_long_rows(spark):
-    made = lambda last: spark.createDataFrame([(1, p, True, "text", None) for p in (0, last)], "row_id long, pos long, valid boolean, kind string, step long")
+    made = lambda last: spark.createDataFrame([(1, p, True, "text", None, None) for p in (0, last)], "row_id long, pos long, valid boolean, kind string, step long, block long")
     assert g.visible_pairs(made(4095)).count() == 4
     with pytest.raises(PySparkException, match="more than 4096 tokens"):
         g.visible_pairs(made(4096)).collect()
