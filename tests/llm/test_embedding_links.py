@@ -15,7 +15,7 @@ def brute(rows, threshold=0.9):
 
     for k, (i, a) in enumerate(usable):
         for j, b in usable[:k]:
-            if len(a) == len(b) and a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) >= threshold:
+            if len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= threshold:
                 links[i], links[j] = links.get(i, 0) + 1, links.get(j, 0) + 1
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
@@ -42,10 +42,48 @@ def test_against_all_pairs(spark, monkeypatch):
     found = got(spark, rows)
     assert {i: x for i, x in found.items() if i < 2008} == want
     assert found[2008] == found[2009] and found[2008][0] >= 1
-    monkeypatch.setattr(embedding_links, "TILE", 60)
+    monkeypatch.setattr(embedding_links, "LEAST_TILE", 60)
+    monkeypatch.setattr(embedding_links, "BLOCK", 16)
     assert {i: x for i, x in got(spark, rows).items() if i < 2008} == want
 
 
+def test_wide_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = made(rng, 60, dim=2500)
+    assert got(spark, rows) == brute(rows)
+    # all components at the largest value: sums beyond what single precision holds exactly
+    q = np.full((2, 3 * embedding_links.DIMS + 7), 127, np.float32)
+    q[1, ::2] = -126
+    want = q.astype(np.int64) @ q.astype(np.int64).T
+    assert (embedding_links.integer_products(q, q) == want).all()
+    flat = [(i, (np.ones(3000) + (k == 1) * 1e-3 * rng.standard_normal(3000)).tolist()) for i, k in enumerate([0, 1, 1, 1])]
+    assert got(spark, flat) == brute(flat)
+
+
+def test_one_hot_group_and_pairs_at_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(embedding_links, "LEAST_TILE", 50)
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(8)
+    rows = [(i, (centre + 0.25 * rng.standard_normal(8)).tolist()) for i in range(300)]
+    # exactly 0.9 in double precision: 9 of 10 equal units of length
+    rows += [(1000, [9.0, 1.0] + [0.0] * 6), (1001, [1.0] + [0.0] * 7), (1002, [3.0, 1.0] + [0.0] * 6), (1003, [0.9, 0.19**0.5] + [0.0] * 6)]
+    assert got(spark, rows) == brute(rows)
+    assert embedding_links.TILES and got(spark, rows) == got(spark, rows[::-1])
+
+
+def test_labels_of_edges():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 80):
+        label, root = np.arange(n), list(range(n))
+        for _ in range(4):
+            u, v = rng.integers(0, n, (2, n // 4))
+            embedding_links.join(label, u, v)
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+        assert label.tolist() == root
+
+
 def test_error_bound():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 24)) * rng.choice([1, 10], (300, 24))
