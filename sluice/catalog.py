@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules whose import registers queries.
-MODULES = tuple(f"sluice.plans.{m}" for m in ("flagship", "batch_queries", "numeric_queries", "text_queries", "metric_queries", "data_queries"))
+MODULES = tuple(f"sluice.plans.{m}" for m in ("flagship", "batch_queries", "numeric_queries", "text_queries", "metric_queries", "data_queries", "config_queries"))
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

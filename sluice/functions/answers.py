@@ -2,7 +2,7 @@
 
 Rules that regular expressions cannot state (balanced braces, recursive comparison) are Python functions over
 single answers, run as Arrow UDFs by ``udf``; plain predicates are column expressions.
-Symbolic equality is left to a callable that the caller may inject; without one, such answers are unequal.
+Symbolic equality is by a normal form of rational functions; a caller may inject another rule.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sluice.functions import text as t
+from sluice.functions.symbolic import symbolic_equal
 
 Symbolic = Callable[[str, str], bool]
 LETTERS = "ABCDE"
@@ -309,7 +310,7 @@ def set_as_matrix(text: str) -> str:
     return ", ".join("\\begin{pmatrix}" + m.strip("{}").replace(",", "\\") + "\\end{pmatrix}" for m in re.findall(r"\{.*,.*\}", text.strip()))
 
 
-def math_equal(pred: str | None, truth: str | None, percent: bool = True, symbolic: Symbolic | None = None) -> bool:
+def math_equal(pred: str | None, truth: str | None, percent: bool = True, symbolic: Symbolic | None = symbolic_equal) -> bool:
     """Equality of answers in stages: text, choice, number, brackets, tuples, matrices, equations, symbolic."""
     if pred is None or truth is None:
         return False
@@ -372,7 +373,7 @@ def literal_check(pred: str, truth: str) -> bool | None:
     return None
 
 
-def number_check(pred: str, truth: str, symbolic: Symbolic | None = None) -> bool | None:
+def number_check(pred: str, truth: str, symbolic: Symbolic | None = symbolic_equal) -> bool | None:
     """Integers compare exactly, other numbers to a thousandth; null with commas or without numbers."""
     if "," in pred or "," in truth:
         return None
@@ -381,7 +382,7 @@ def number_check(pred: str, truth: str, symbolic: Symbolic | None = None) -> boo
         try:
             values.append(float(_plain_trim(_plain_right(x))))
         except ValueError:
-            return symbolic(pred, truth) if symbolic else None
+            return True if symbolic and symbolic(pred, truth) else None
     if all(math.isfinite(v) and math.isclose(int(v), v, rel_tol=1e-9) for v in values):
         return int(values[0]) == int(values[1])
     return math.isclose(*values, rel_tol=1e-3)
@@ -399,7 +400,7 @@ def _structured(x: str) -> bool:
     return bool(re.search(r"[()\[\]\\<>,xyz]", x))
 
 
-def latex_check(pred: str | None, truth: str, aggressive: bool = True, symbolic: Symbolic | None = None) -> bool:
+def latex_check(pred: str | None, truth: str, aggressive: bool = True, symbolic: Symbolic | None = symbolic_equal) -> bool:
     """Literal stage, then single numbers if ``aggressive``, then the whole texts as numbers."""
     if pred is None:
         return False

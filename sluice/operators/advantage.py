@@ -164,3 +164,27 @@ def advantage(name: str, score: Column, group: str, baseline: Column | None = No
     if name not in ESTIMATORS:
         raise NotImplementedError(f"no such estimator: {name}")
     return ESTIMATORS[name](score, group, baseline)
+
+
+#: Estimators by name and, for group-relative ones, by the sampling strategy.
+BY_STRATEGY = {("grpo", "greedy"): "grpo", ("grpo", "monet"): "grpo_latent"}
+
+
+def compute_advantage(batch: DataFrame, estimator: str, strategy: str = "greedy", gamma: float = 1.0, lam: float = 1.0) -> DataFrame:
+    """Array columns ``advantages`` and ``returns`` by the estimator's name: gae, grpo, reinforce_plus_plus, remax or rloo.
+
+    Rows have uid, rewards and mask (arrays of a length), and for gae values, for remax reward_baseline. A row's score is
+    the sum of its rewards; gae and reinforce_plus_plus are whitened over all masked positions. Other names, and
+    strategies without a rule, are errors.
+    """
+    if estimator == "gae":
+        scanned = gae(batch, gamma, lam)
+        return whiten_arrays(scanned, "raw", "mask", "advantages").drop("raw")
+    if estimator == "reinforce_plus_plus":
+        scanned = whiten_arrays(discounted_returns(batch, gamma), "returns", "mask", "white")
+        return scanned.withColumn("advantages", F.zip_with("white", "mask", lambda x, m: x * m)).drop("white")
+    name = BY_STRATEGY.get((estimator, strategy)) if estimator == "grpo" else estimator
+    score = F.aggregate("rewards", F.lit(0.0), lambda a, x: a + x)
+    value = advantage(name or f"{estimator} by {strategy}", score, "uid", F.col("reward_baseline") if "reward_baseline" in batch.columns else None)
+    out = batch.withColumn("advantages", to_tokens(value, "mask"))
+    return out.withColumn("returns", F.col("advantages"))

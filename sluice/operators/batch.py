@@ -254,9 +254,15 @@ def append_to_dict(lists: dict[str, list], values: dict) -> None:
         lists.setdefault(k, []).append(v)
 
 
-def check_group_sizes(train_batch: int, rollouts: int, mini_batch: int, estimator: str) -> None:
-    """The configuration's divisibility rules, and at least two rollouts for group-relative estimators."""
-    if train_batch % mini_batch:
-        raise ValueError("the rollout batch does not divide by the mini-batch")
+def check_group_sizes(train_batch: int, rollouts: int, mini_batch: int, estimator: str, micro_batch: int = 1, critic_mini_batch: int | None = None, critic_micro_batch: int = 1) -> None:
+    """The configuration's divisibility rules, and at least two rollouts for group-relative estimators.
+
+    A critic's rules hold only if it is used, that is if ``critic_mini_batch`` is given.
+    """
+    for name, mini, micro in (("actor", mini_batch, micro_batch), ("critic", critic_mini_batch, critic_micro_batch)):
+        if mini is not None and train_batch % mini:
+            raise ValueError(f"the rollout batch does not divide by the {name}'s mini-batch")
+        if mini is not None and train_batch * rollouts % micro:
+            raise ValueError(f"the rollouts do not divide by the {name}'s micro-batch for experience")
     if estimator in {"grpo", "grpo_latent", "grpo_step", "rloo"} and rollouts < 2:
         raise ValueError(f"{estimator} needs at least two rollouts of a prompt")

@@ -203,6 +203,30 @@ def preprocess_questions(df: DataFrame, root: str = "") -> DataFrame:
     return kept.filter(~F.exists("data", early)).withColumn("data", F.transform("data", lambda x: _clean_turn(x, root)))
 
 
+#: Preprocessing by task. The names.
+TASKS = {"mm-reasoning": preprocess_chat}
+
+
+def preprocess(task: str, df: DataFrame, **options) -> DataFrame:
+    """The samples as a task's preprocessing makes them; an unknown task is an error."""
+    if task not in TASKS:
+        raise KeyError(f"no such task: {task}")
+    return TASKS[task](df, **options)
+
+
+def save_position(spark: SparkSession, path: str, step: int, read: int) -> None:
+    """Keep how many rows a loader has read by a step, in the folder of that step."""
+    spark.createDataFrame([(step, read)], "step long, read long").coalesce(1).write.mode("overwrite").parquet(f"{path}/global_step_{step}")
+
+
+def resumed(spark: SparkSession, df: DataFrame, position: str, path: str, step: int) -> DataFrame:
+    """The rows that a loader has still to read when it goes on from a step; all of them if that step kept no position."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/global_step_{step}")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return df
+    return df.filter(F.col(position) >= spark.read.parquet(folder.toString()).first().read)
+
+
 def seeded_place(key: Column, seed: int) -> Column:
     """A text by which rows are in a pseudo-random order that a seed fixes, the same in any system."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))

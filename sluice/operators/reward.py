@@ -118,9 +118,8 @@ def with_accepted(f: Callable, **optional) -> Callable:
     return partial(f, **{k: v for k, v in optional.items() if k in inspect.signature(f).parameters})
 
 
-#: Reward functions by name, and preprocessing by task.
+#: Reward functions by name.
 REWARDS: dict[str, Callable] = {}
-TASKS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
 def register_reward(name: str) -> Callable[[Callable], Callable]:

@@ -238,9 +238,32 @@ def h09(spark, d):
     return _e(spark, d).select("event_id", r.judgement_format(x).alias("ok"))
 
 
-@query("op_h10_judge_or_rule", f"SELECT event_id, coalesce(CASE WHEN len % 2 = 0 THEN fmt END, acc) AS verdict FROM {_ROLL}")
+#: The answer that is asked for: that of the text for even events, a far one for odd events.
+_EVEN = "event_id % 2 = 0"
+
+
+def _wanted():
+    return F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(2 * F.col("event_id") + 7).cast("string")
+
+
+def _graded(f, around: str = "{}"):
+    """``f`` of a text and the answer that is asked for, which is put into ``around``."""
+    before, after = around.split("{}")
+    return lambda x: q.udf(f, "boolean")(x, F.concat(F.lit(before), _wanted(), F.lit(after)))
+
+
+@query("op_h10_judge_or_rule", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 0e0 ELSE CASE WHEN event_id % 2 = 0 THEN 1e0 ELSE 0e0 END END AS verdict FROM events")
 def h10(spark, d):
-    return _roll(spark, d).select("event_id", F.coalesce(F.when(F.col("len") % 2 == 0, F.col("fmt")), F.col("acc")).alias("verdict"))
+    # the judge says yes, says no, or fails, and then the rule grades
+    def judge(question, pred, gt):
+        if question == "2":
+            raise ConnectionError("no answer")
+        return "yes" if question == "0" else "no"
+
+    rows = _e(spark, d).select("event_id", (F.col("event_id") % 3).cast("string").alias("question"), F.col("event_id").cast("string").alias("pred"), _wanted().alias("gt"))
+    asked = r.judge_rows(rows, judge)
+    api = F.when(F.col("reply") == "yes", 1.0).when(F.col("reply") == "no", 0.0)
+    return asked.select("event_id", F.coalesce(api, r.rule_judge(F.col("pred"), F.col("gt"))).alias("verdict"))
 
 
 @query("op_h08_batch_judge", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END AS reply FROM events")
@@ -259,10 +282,18 @@ for _name in ("op_h11_rule_judge", "op_h12_distributed_judge"):
         return _e(spark, d).select("event_id", r.rule_judge(pred, F.lit("70")).alias("verdict"))
 
 
-@query("op_h04_batch_reward", "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 1e0 ELSE 0e0 END AS reward FROM events")
+@query("op_h04_batch_reward", "SELECT event_id, source, CASE source WHEN 'single_step_rewards' THEN value WHEN 'full_step_rewards' THEN 2 * value WHEN 'correctness' THEN CASE WHEN event_type = 'purchase' THEN 1e0 ELSE 0e0 END ELSE CASE WHEN event_id % 2 = 0 THEN 1e0 ELSE 0e0 END END AS reward FROM events, (SELECT unnest(['single_step_rewards', 'full_step_rewards', 'correctness', 'ground_truth']) AS source)")
 def h04(spark, d):
-    rows = _e(spark, d).select("event_id", (F.col("event_type") == "purchase").cast("double").alias("correctness"))
-    return rows.select("event_id", F.col(r.reward_source(rows)).alias("reward"))
+    # batches that have ever fewer of the columns by which rows can be scored
+    rows = _e(spark, d).select("event_id", F.col("event_id").cast("string").alias("response"), F.col("value").alias("single_step_rewards"), (2 * F.col("value")).alias("full_step_rewards"), (F.col("event_type") == "purchase").cast("double").alias("correctness"), _wanted().alias("ground_truth"))
+    out = None
+    for k in range(len(r.REWARD_SOURCES)):
+        batch = rows.drop(*r.REWARD_SOURCES[:k])
+        source = r.reward_source(batch)
+        reward = r.rule_judge(F.col("response"), F.col(source)) if source == "ground_truth" else F.col(source)
+        scored = batch.select("event_id", F.lit(source).alias("source"), reward.alias("reward"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 @query("op_h05_row_reward", "SELECT event_id, 0.5e0 + CASE WHEN event_id % 2 = 0 THEN 0.5e0 ELSE 0e0 END AS reward FROM events")
@@ -282,6 +313,24 @@ def _u(f, kind="string"):
     return lambda x: q.udf(f, kind)(x)
 
 
+def _spelled(n):
+    """Thousands up to 99 and units up to 19 in words."""
+    units = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+    tens = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+    word = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    top, low = n % 100, n % 20
+    thousands = F.when(top < 20, word(units, F.least(top, F.lit(19)))).when(top % 10 == 0, word(tens, F.greatest(top / 10 - 2, F.lit(0)))).otherwise(
+        F.concat(word(tens, F.greatest(F.floor(top / 10) - 2, F.lit(0))), F.lit(" "), word(units, top % 10))
+    )
+    return F.when(top == 0, word(units, low)).when(low == 0, F.concat(thousands, F.lit(" thousand"))).otherwise(F.concat(thousands, F.lit(" thousand "), word(units, low)))
+
+
+def _shaped(x):
+    """A plain number, a pair, an equation or a plain word."""
+    k = F.col("event_id") % 4
+    return F.when(k == 0, x).when(k == 1, F.concat(F.lit("("), x, F.lit(",2)"))).when(k == 2, F.concat(F.lit("x = "), x)).otherwise("word")
+
+
 _case("op_s13_tag_accuracy", ("<answer>", None, "</answer>"), lambda x: q.udf(q.tagged_accuracy, "double")(x, F.col("event_id").cast("string")), "1e0")
 _case("op_s14_last_box", ("a \\boxed{0} b \\boxed{x{", None, "}} c"), _u(q.last_box), f"'\\boxed{{x{{' || {_ID} || '}}}}'")
 _case("op_s15_last_box_pair", ("\\fbox{", None, "} end"), _u(q.last_box), f"'\\fbox{{' || {_ID} || '}}'")
@@ -293,27 +342,44 @@ _case("op_s24_all_boxes", ("\\boxed{", None, "} \\mbox{b}"), _u(q.box_contents,
 _case("op_s27_bracket_groups", ("f(1,", None, ") {2} [a,b]"), _u(q.bracket_groups, "array<string>"), f"['(1,' || {_ID} || ')', '[a,b]']")
 _case("op_s30_text_boxes", ("a\\text{x}^2 ", None), _u(q.drop_text_boxes), f"'a ' || {_ID}")
 _case("op_q01_normalise", ("x = \\dfrac{", None, "}{3} \\text{ cm}"), _u(q.normalise_answer), f"'\\frac{{' || {_ID} || '}}{{3}}'")
-_case("op_q02_number_words", ("twenty one thousand and ", None), lambda x: q.udf(q.words_to_number, "string")(F.when(F.col("event_id") < 0, x).otherwise("twenty one thousand and seven")), "'21007'")
+_case("op_q02_number_words", ("", None), lambda x: q.udf(q.words_to_number, "string")(_spelled(x.cast("long"))), "CAST(event_id % 100 * 1000 + event_id % 20 AS VARCHAR)")
 _case("op_q03_braced_root", ("\\sqrt", None), q.braced_root, f"'\\sqrt{{' || {_ID} || '}}'")
 _case("op_q04_fractions", ("\\frac12+", None), _u(q.braced_fractions), f"'\\frac{{1}}{{2}}+' || {_ID}")
 _case("op_q05_slash", ("", None, "/7"), q.slash_fraction_column, f"'\\frac{{' || {_ID} || '}}{{7}}'")
 _case("op_q06_old_slash", ("", None, "/7"), _u(q.slash_fraction), f"'\\frac{{' || {_ID} || '}}{{7}}'")
-_case("op_q07_equivalent", ("x=", None, ".00 cm"), lambda x: q.udf(q.equivalent, "boolean")(x, F.col("event_id").cast("string")), "true")
-_case("op_q08_math_equal", ("(1, ", None, ")"), lambda x: q.udf(q.math_equal, "boolean")(x, F.concat(F.lit("(1.0,"), F.col("event_id").cast("string"), F.lit(".0)"))), "true")
+_case("op_q07_equivalent", ("x=", None, ".00 cm"), _graded(q.equivalent), _EVEN)
+_case("op_q08_math_equal", ("(1, ", None, ")"), _graded(q.math_equal, "(1.0,{}.0)"), _EVEN)
 _case("op_q09_parsed_number", ("1,", None, "%"), lambda x: F.round(q.parsed_number(x), 6), f"round(CAST('1' || {_ID} AS DOUBLE) / 100, 6)")
 _case("op_q10_numeric_equal", _NUM, lambda x: q.numeric_equal(x.cast("double"), F.col("value") / 1.0), "abs(CAST(x AS DOUBLE) - (SELECT value FROM events v WHERE v.event_id = CAST(x AS BIGINT))) <= 1e-4 * greatest(abs(CAST(x AS DOUBLE)), abs((SELECT value FROM events v WHERE v.event_id = CAST(x AS BIGINT))))")
 _case("op_q13_set_matrix", ("{1,", None, "}"), _u(q.set_as_matrix), f"'\\begin{{pmatrix}}1\\' || {_ID} || '\\end{{pmatrix}}'")
-_case("op_q14_literal", ("a, ", None), lambda x: q.literal_equal(x, F.concat(F.lit("a"), F.col("event_id").cast("string"))), "true")
-_case("op_q15_number_equal", _NUM, lambda x: q.number_equal(x, F.concat(F.col("event_id").cast("string"), F.lit(".0"))), "true")
-_case("op_q16_number_check", ("y = ", None, ". "), lambda x: q.udf(q.number_check, "boolean")(x, F.col("event_id").cast("string")), "true")
-_case("op_q17_latex_check", ("$", None, "$ meters"), lambda x: q.udf(q.latex_check, "boolean")(x, F.col("event_id").cast("string")), "true")
-_case("op_q18_structure", ("2 + ", None), lambda x: F.struct(q.has_numbers(x).alias("n"), q.has_structure(x).alias("s"))["s"], "false")
-_case("op_q20_check_answer", ("", None, " apples"), lambda x: q.udf(q.check_answer, "boolean")(x, F.col("event_id").cast("string")), "true")
-_case("op_q21_attempts", ("the result is: ", None), lambda x: q.udf(q.check_attempts, "boolean")(x, F.col("event_id").cast("string")), "true")
-_case("op_q22_grade", ("(b) ", None), lambda x: q.udf(lambda t, p: q.grade(t, p, ["1", "zz", "3"]), "boolean")(F.lit("zz"), x), "true")
-_case("op_q23_grade_any", _NUM, lambda x: q.udf(lambda p: q.grade_any(["-1", p + ".0"], p), "boolean")(x), "true")
-_case("op_q24_multi_choice", ("AB", None), lambda x: q.is_multi_choice(F.substring(x, 1, 2)), "true")
+_case("op_q14_literal", ("a, ", None), lambda x: F.coalesce(q.literal_equal(x, F.concat(F.lit("a"), _wanted())), F.lit(False)), _EVEN)
+_case("op_q15_number_equal", _NUM, lambda x: q.number_equal(x, F.concat(_wanted(), F.lit(".0"))), _EVEN)
+_case("op_q16_number_check", ("y = ", None, ". "), _graded(q.number_check), _EVEN)
+_case("op_q17_latex_check", ("$", None, "$ meters"), _graded(q.latex_check), _EVEN)
+_case("op_q18_structure", ("", None, ""), lambda x: 2 * q.has_numbers(_shaped(x)).cast("int") + q.has_structure(_shaped(x)).cast("int"), "CASE event_id % 4 WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 3 END")
+_case("op_q20_check_answer", ("", None, " apples"), _graded(q.check_answer), _EVEN)
+_case("op_q21_attempts", ("the result is \\boxed{it is: ", None, "}"), _graded(q.check_attempts), _EVEN)
+_case("op_q22_grade", ("(b) ", None), lambda x: q.udf(lambda t, p: q.grade(t, p, ["1", "zz", "3"]), "boolean")(F.when(F.col("event_id") % 2 == 0, "zz").otherwise("3"), x), _EVEN)
+_case("op_q23_grade_any", _NUM, lambda x: q.udf(lambda p, w: q.grade_any(["-1", w + ".0"], p), "boolean")(x, _wanted()), _EVEN)
+_case("op_q24_multi_choice", ("", None), lambda x: q.is_multi_choice(F.when(F.col("event_id") % 3 == 0, "ACE").when(F.col("event_id") % 3 == 1, "AF").otherwise(x)), "event_id % 3 = 0")
 _case("op_q25_single_dollar", ("$", None, "$"), q.single_dollar, _ID)
-_case("op_q26_is_float", ("", None, "e3"), q.is_float, "true")
-_case("op_q27_extract_and_check", ("so \\boxed{", None, "}"), lambda x: q.udf(q.extract_and_check, "boolean")(x, F.col("event_id").cast("string")), "true")
+_case("op_q26_is_float", ("", None, "e3"), lambda x: q.is_float(F.when(F.col("event_id") % 2 == 0, x).otherwise(F.concat(x, F.lit("x")))), _EVEN)
+_case("op_q27_extract_and_check", ("so \\boxed{", None, "}"), _graded(q.extract_and_check), _EVEN)
 _case("op_q28_accuracy_reward", ("so \\boxed{", None, "}"), lambda x: q.udf(lambda p: float(q.extract_and_check(p, "7")), "double")(x), "CASE WHEN event_id IN (7, 700) THEN 1e0 ELSE 0e0 END")
+
+
+# formulas: a square written out, with one more in the middle term for odd events; an equation turned round
+
+@query("op_q11_symbolic", "SELECT event_id, event_id % 2 = 0 AS equal FROM events")
+def q11(spark, d):
+    middle = F.when(F.col("event_id") % 2 == 0, 2 * F.col("event_id")).otherwise(2 * F.col("event_id") + 1)
+    squared = F.concat(F.lit("x^2 + "), middle.cast("string"), F.lit(" x + "), (F.col("event_id") * F.col("event_id")).cast("string"))
+    return _e(spark, d).select("event_id", q.udf(q.math_equal, "boolean")(F.concat(F.lit("(x + "), F.col("event_id").cast("string"), F.lit(")^2")), squared).alias("equal"))
+
+
+@query("op_q19_symbolic_check", "SELECT event_id, event_id % 3 <> 2 AS equal FROM events")
+def q19(spark, d):
+    n, k = (F.col("event_id") + 1).cast("string"), F.col("event_id") % 3
+    pred = F.when(k == 0, F.concat(F.lit("\\frac{2y}{4} + \\sqrt{"), n, F.lit("}"))).when(k == 1, F.concat(F.lit("\\frac{y + "), n, F.lit("}{2}"))).otherwise(F.concat(F.lit("y + "), n))
+    truth = F.when(k == 0, F.concat(F.lit("y/2 + "), n, F.lit("/\\sqrt{"), n, F.lit("}"))).when(k == 1, F.concat(F.lit("0.5(y + "), n, F.lit(")"))).otherwise(F.concat(F.lit("y - "), n))
+    return _e(spark, d).select("event_id", F.coalesce(q.udf(q.number_check, "boolean")(pred, truth), F.lit(False)).alias("equal"))
