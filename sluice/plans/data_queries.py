@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import socket
+import threading
 from functools import reduce
 
 from pyspark.sql import Window
@@ -14,6 +16,7 @@ from sluice.operators import balance, cluster, ingest, metrics, projectors
 from sluice.operators import segments as seg
 from sluice.plans.text_queries import _ids
 from sluice.session import shared_dir, table
+from sluice.sources.events import EventSource
 from sluice.streaming import latents
 
 
@@ -154,9 +157,35 @@ def _frames(spark, d, first=None):
 _RID = "(user_id % 8) || '_' || user_id"
 
 
-@query("op_a21_event_source", f"SELECT {_RID} AS req_id, event_id // 8 AS step, event_id % 4 AS rank FROM events")
+def _served(frames, host: str) -> int:
+    """Send the bytes of each row to whom connects first, in a thread that reads rows one partition at a time; the port."""
+    server = socket.create_server((host, 0))
+
+    def send() -> None:
+        with server:
+            server.settimeout(120)
+            with server.accept()[0] as peer:
+                for r in frames.toLocalIterator():
+                    peer.sendall(bytes(r[0]))
+
+    threading.Thread(target=send, daemon=True).start()
+    return server.getsockname()[1]
+
+
+@query("op_a21_event_source", f"SELECT protocol, {_RID} AS req_id, event_id // 8 AS step, event_id % 4 AS rank, CASE WHEN event_type <> 'error' THEN user_id % 2048 END AS first FROM events, (SELECT unnest(['tcp_binary', 'tcp_json']) AS protocol)")
 def a21(spark, d):
-    return _frames(spark, d).select(F.col("req_ids")[0].alias("req_id"), "step", "rank")
+    # all events as binary frames and as JSON lines, sent by the driver and read by the source
+    spark.dataSource.register(EventSource)
+    rows, host = _frames(spark, d, F.col("user_id") % 2048), spark.conf.get("spark.driver.host", "127.0.0.1")
+    line = F.concat(F.to_json(F.struct("ts", "pid", "rank", "step", "req_ids", "latents"), {"ignoreNullFields": "false"}), F.lit("\n")).cast("binary")
+    out = None
+    for protocol, frames in (("tcp_binary", latents.encode_events(rows)), ("tcp_json", rows.select(line))):
+        path = _kept(spark, None, "received")
+        port = _served(frames, host)
+        spark.read.format("latent_events").option("protocol", protocol).option("host", host).option("port", port).option("mode", "connect").option("idle", 60).load().write.parquet(path)
+        read = spark.read.parquet(path).select(F.lit(protocol).alias("protocol"), F.col("req_ids")[0].alias("req_id"), "step", "rank", F.col("latents")[0][0].cast("long").alias("first"))
+        out = read if out is None else out.unionByName(read)
+    return out
 
 
 #: A frame's bytes, written out: magic, version, half precision, size, one request, width, step, rank; the request and its vector.

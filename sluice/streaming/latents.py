@@ -6,6 +6,7 @@ deduplicated on request and step, so replays do not change a trajectory.
 
 from __future__ import annotations
 
+import bisect
 import struct
 from collections.abc import Iterator
 
@@ -120,22 +121,51 @@ def trajectories(events: DataFrame, rank: int | None = None) -> DataFrame:
     return rows.groupBy("id.parent", "id.sample").agg(F.transform(ordered, lambda x: x["latent"]).alias("vectors"))
 
 
-def stream_trajectories(events: DataFrame, rank: int | None = None) -> DataFrame:
-    """The recorder as a stateful stream: (parent, sample, step, n): the count of vectors after each new step."""
+#: Milliseconds without an event after which a request's state goes.
+IDLE = 3_600_000
+
+
+def add_step(ranges: list[int], step: int) -> bool:
+    """Add a step to sorted half-open ranges, given as start, end, start, end; whether it is new."""
+    k = bisect.bisect_right(ranges, step)
+    if k % 2:
+        return False
+    joins_left, joins_right = k > 0 and ranges[k - 1] == step, k < len(ranges) and ranges[k] == step + 1
+    if joins_left and joins_right:
+        del ranges[k - 1 : k + 1]
+    elif joins_left:
+        ranges[k - 1] = step + 1
+    elif joins_right:
+        ranges[k] = step
+    else:
+        ranges[k:k] = [step, step + 1]
+    return True
+
+
+def stream_trajectories(events: DataFrame, rank: int | None = None, idle: int = IDLE) -> DataFrame:
+    """The recorder as a stateful stream: (parent, sample, step, n): the count of vectors after each new step.
+
+    A request's state is the ranges of its steps, so it does not grow while they follow each other; it goes when no
+    event has come for ``idle`` milliseconds, after which a step that comes again counts anew.
+    """
     rows = exploded(events, rank).select("id.parent", "id.sample", "step", "ts")
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = set(state.get[0]) if state.exists else set()
-        out = []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ranges = list(state.get[0]) if state.exists else []
+        n, out = sum(ranges[1::2]) - sum(ranges[::2]), []
         for pdf in batches:
             for step in pdf.sort_values(["step", "ts"])["step"]:
-                if int(step) not in seen:
-                    seen.add(int(step))
-                    out.append((key[0], int(key[1]), int(step), len(seen)))
-        state.update((sorted(seen),))
+                if add_step(ranges, int(step)):
+                    n += 1
+                    out.append((key[0], int(key[1]), int(step), n))
+        state.update((ranges,))
+        state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=["parent", "sample", "step", "n"])
 
-    return rows.groupBy("parent", "sample").applyInPandasWithState(advance, "parent string, sample int, step int, n int", "steps array<int>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("parent", "sample").applyInPandasWithState(advance, "parent string, sample int, step int, n int", "steps array<int>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def decode_states(tokens: list[int], start: int, end: int, size: int) -> list[bool]:
