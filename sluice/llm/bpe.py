@@ -12,6 +12,7 @@ ids each give a row. Memory: a batch of texts, and remembered results for a boun
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,6 +27,8 @@ from sluice.llm.base import map_texts, pieces
 _NEVER = 1 << 60
 #: Bytes of text that are handled at a time.
 PIECE_BYTES = 512 << 10
+#: Ids that are decoded at a time.
+DECODED = 1 << 16
 #: Remembered pairs of adjacent tokens; beyond, they start anew.
 MOST_PAIRS = 400_000
 
@@ -36,14 +39,20 @@ class BytePairCodec:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self._sizes = {rank: len(token) for token, rank in ranks.items()}
+        order = sorted(self.tokens)
+        # all tokens' bytes in one array, and where those of each rank begin and end in it
+        self._bytes = np.frombuffer(b"".join(map(self.tokens.__getitem__, order)), np.uint8)
+        self._ends = np.zeros(order[-1] + 2, np.int64)
+        self._ends[np.array(order) + 1] = [len(self.tokens[r]) for r in order]
+        self._ends = np.cumsum(self._ends)
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
         self._shorter: dict[int, int] = {}
-        self._memo: dict[str, bytes] = {}
-        self._memo_bytes = 0
+        self._pieces, self._chunks = pretokens.Memo(pretokens.MEMO_ENTRIES), pretokens.Memo(pretokens.MEMO_CHUNKS)
         self._matcher = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self._matcher.add_word(token.decode("latin-1"), (rank, len(token)))
+            self._matcher.add_word(token.decode("latin-1"), rank)
         self._matcher.make_automaton()
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -77,13 +86,13 @@ class BytePairCodec:
             token, until = parts[1 if right else 0], token
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether merging the bytes of both tokens keeps the border between them."""
-        key = (a, b)
+        """Whether both are tokens that merging makes, and merging their bytes keeps the border between them."""
+        key = a << 32 | b
         known = self._compatible.get(key)
         if known is None:
             if len(self._compatible) >= MOST_PAIRS:
                 self._compatible.clear()
-            known = self._compatible[key] = self._keeps_border(a, b)
+            known = self._compatible[key] = self.usable(a) and self.usable(b) and self._keeps_border(a, b)
         return known
 
     def _keeps_border(self, a: int, b: int) -> bool:
@@ -111,53 +120,101 @@ class BytePairCodec:
         """Ids of one pre-token; one that is a token itself is that token."""
         if data in self.ranks:
             return [self.ranks[data]]
-        longest = [-1] * len(data)
-        length = [0] * len(data)
-        for end, (rank, n) in self._matcher.iter(data.decode("latin-1")):
-            if n > length[end - n + 1]:
-                longest[end - n + 1], length[end - n + 1] = rank, n
-        closed = bytearray(len(data) + 1)
-        out: list[int] = []
-        at, token = 0, longest[0]
-        while at < len(data):
-            last = out[-1] if out else -1
+        text = data.decode("latin-1")
+        # the longest match at each position, one after the other, of which more than a third of pre-tokens consist
+        matches = self._matcher.iter_long(text)
+        greedy = [rank for _, rank in matches]
+        known, last = self._compatible.get, -1
+        for i, token in enumerate(greedy):
+            if last >= 0:
+                fits = known(last << 32 | token)
+                if not (self.compatible(last, token) if fits is None else fits):
+                    return self._backtracked(text, greedy, i)
+            last = token
+        if sum(map(self._sizes.__getitem__, greedy)) != len(text) or not self.usable(greedy[0]):
+            return self._backtracked(text, greedy, 0)
+        return greedy
+
+    def _backtracked(self, text: str, greedy: list[int], right: int) -> list[int]:
+        """The encoding, given the longest matches one after the other, of which the first ``right`` fit together."""
+        sizes, n = self._sizes, len(text)
+        longest: dict[int, int] = {}
+        at = start = 0
+        for i, token in enumerate(greedy):
+            if i == right:
+                start = at
+            longest[at] = token
+            at += sizes[token]
+        if at != n:  # a byte that is no token
+            raise ValueError("the vocabulary has no encoding for these bytes")
+        closed: set[int] = set()
+        out = greedy[:right]
+        known, shorter = self._compatible.get, self._shorter.get
+        at, token, last = start, greedy[right], out[-1] if out else -1
+        while at < n:
             while token >= 0:
-                end = at + len(self.tokens[token])
-                if not closed[end] and self.usable(token) and (last < 0 or self.compatible(last, token)):
-                    break
-                token = self.shorter(token)
+                end = at + sizes[token]
+                if end not in closed:
+                    fits = known(last << 32 | token) if last >= 0 else self.usable(token)
+                    if fits or (fits is None and self.compatible(last, token)):
+                        break
+                less = shorter(token)
+                token = self.shorter(token) if less is None else less
             if token >= 0:
                 out.append(token)
-                at = end
-                token = longest[at] if at < len(data) else -1
+                at, last = end, token
+                if at < n:
+                    token = longest.get(at, -1)
+                    if token < 0:
+                        token = longest[at] = next(self._matcher.iter_long(text, at))[1]
             else:
-                closed[at] = 1
+                closed.add(at)
                 if not out:
                     raise ValueError("the vocabulary has no encoding for these bytes")
                 token = out.pop()
-                at -= len(self.tokens[token])
+                at -= sizes[token]
+                last = out[-1] if out else -1
+                less = shorter(token)
+                token = self.shorter(token) if less is None else less
         return out
 
-    def packed(self, piece: str) -> bytes:
-        """Ids of one pre-token as little-endian unsigned 32-bit integers; remembered."""
-        got = self._memo.get(piece)
+    def _piece(self, piece: str) -> bytes:
+        """Packed ids of one pre-token: little-endian unsigned 32-bit integers."""
+        got = self._pieces.get(piece)
         if got is None:
-            got = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
-            if len(piece) <= 64:
-                if len(self._memo) >= pretokens.MEMO_ENTRIES or self._memo_bytes > pretokens.MEMO_BYTES:
-                    self._memo.clear()
-                    self._memo_bytes = 0
-                self._memo[piece] = got
-                self._memo_bytes += len(piece) + len(got)
+            ids = self.encode_piece(piece.encode())
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            self._pieces.keep(piece, got, len(got))
+        return got
+
+    def _part(self, part: str) -> bytes:
+        """Packed ids of a part of a text, cut by the pattern."""
+        return b"".join(map(self._piece, pretokens.split(part)))
+
+    def _after_space(self, part: str) -> bytes:
+        """Packed ids of a space and a part."""
+        got = self._part(" " + part)
+        self._chunks.keep(part, got, len(got))
         return got
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text."""
-        return b"".join(map(self.packed, pretokens.split(text)))
+        whole, others = pretokens.chunks(text)
+        out = list(map(self._part, whole))
+        known = self._chunks.get
+        for part in others:
+            out.append(known(part) or self._after_space(part))
+        return b"".join(out)
 
     def decode(self, packed: bytes) -> bytes:
-        """The bytes of packed ids."""
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        """The bytes of packed ids, from blocks of ids whose bytes' places are held at a time."""
+        ids, out = np.frombuffer(packed, "<u4").astype(np.int64), []
+        for at in range(0, len(ids), DECODED):
+            part = ids[at : at + DECODED]
+            start, size = self._ends[part], self._ends[part + 1] - self._ends[part]
+            end = np.cumsum(size)
+            out.append(self._bytes[np.arange(end[-1]) + np.repeat(start - end + size, size)].tobytes())
+        return b"".join(out)
 
 
 _CODECS: dict[int, BytePairCodec] = {}
