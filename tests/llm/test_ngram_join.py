@@ -10,13 +10,13 @@ from sluice.llm.ngram_join import join_documents, keep_one_of_each
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shingles(text):
+def shingles(text, size=4):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set())
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
 
 
-def brute(docs):
-    sets = [(i, shingles(t)) for i, t in docs]
+def brute(docs, size=4, percent=85):
+    sets = [(i, shingles(t, size)) for i, t in docs]
     root = {i: i for i, _ in docs}
 
     def find(x):
@@ -26,7 +26,7 @@ def brute(docs):
 
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return {i: (len(a), find(i)) for i, a in sets}
