@@ -299,7 +299,8 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = scratch.keep(tokens.join(least, "bucket"))
     scratch.drop(sketches)
     least = buckets.groupBy("id").agg(F.min("c").alias("v")).filter("id <> v").select(F.col("id").alias("u"), "v")
-    links = _exact(scratch.keep(_screened(least, bitmaps, percent)), docs, scratch, id_col, text_col, size, percent)
+    likely = scratch.keep(_screened(least, bitmaps, percent))
+    links = _exact(likely, docs, scratch, id_col, text_col, size, percent)
     roots = connected_components(links, scratch).withColumnsRenamed({"node": "id", "root": "comp"})
     placed = buckets.join(roots, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
     # of buckets with the same members one is enough
@@ -318,6 +319,8 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = scratch.keep(_screened(small, bitmaps, percent).unionByName(large).distinct())
     more = _exact(pairs, docs, scratch, id_col, text_col, size, percent)
     roots = connected_components(links.unionByName(more), scratch).withColumnRenamed("node", "rep")
+    # the result reads members, others and roots alone
+    scratch.drop(bitmaps, buckets, likely, links, rows, small, pairs, more)
     found = members.join(roots, "rep", "left").select("id", F.coalesce("root", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
     out = members.select("id", "n").join(found, "id").unionByName(others.withColumn("component", F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
