@@ -40,7 +40,9 @@ PIECE_BYTES = 1 << 20
 #: Offset of the Zipf law of the starting scores.
 ZIPF_OFFSET = 2.7
 #: Distinct chunks that a learning task adds up before it passes them on, and bytes of the texts that they come from.
-COUNTED_CHUNKS, COUNTED_BYTES = 200_000, 64 << 20
+COUNTED_CHUNKS, COUNTED_BYTES = 400_000, 64 << 20
+#: Pre-tokens and chunks whose counts a worker remembers (each a short text and a small number), and the bytes of these texts.
+KNOWN_PIECES, KNOWN_CHUNKS, KNOWN_BYTES = 1_000_000, 500_000, 32 << 20
 #: Counts of pre-tokens and of tokens are one number, the former in the upper bits.
 _TOKENS = 40
 
@@ -112,9 +114,9 @@ class UnigramTrie:
     def counts(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """(pre-tokens, tokens) of each text."""
         # what is remembered may go only between batches
-        if len(self._pieces) > pretokens.MEMO_ENTRIES or len(self._chunks) > pretokens.MEMO_CHUNKS or self._nbytes > 2 * pretokens.MEMO_BYTES:
-            if len(self._pieces) > pretokens.MEMO_ENTRIES or self._nbytes > 2 * pretokens.MEMO_BYTES:
-                self._pieces, self._nbytes = {}, 0
+        if len(self._pieces) > KNOWN_PIECES or self._nbytes > KNOWN_BYTES:
+            self._pieces, self._chunks, self._nbytes = {}, {}, 0
+        elif len(self._chunks) > KNOWN_CHUNKS:
             self._chunks = {}
         cut = [pretokens.chunks(t or "") for t in texts]
         new = set().union(*(others for _, others in cut)).difference(self._chunks)

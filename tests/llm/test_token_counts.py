@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 
-from sluice.llm import pretokens
+from sluice.llm import pretokens, token_counts
 from sluice.llm.token_counts import UnigramTrie, count_tokens, learn_scores, zipf_scores
 
 RANKS = pretokens.read_ranks(open(P.path("byte_bpe_50k.tiktoken"), "rb").read())
@@ -57,10 +57,10 @@ def test_whole_table_and_empty(spark):
 
 def test_memory_is_bounded():
     trie = UnigramTrie(ZIPF)
-    trie._pieces.update({str(i): 1 for i in range(pretokens.MEMO_ENTRIES + 1)})
+    trie._pieces.update({str(i): 1 for i in range(token_counts.KNOWN_PIECES + 1)})
     assert trie.counts(["hello there"]) == [(2, 2)]
     assert len(trie._pieces) <= 2
-    trie._chunks.update({str(i): 1 for i in range(pretokens.MEMO_CHUNKS + 1)})
+    trie._chunks.update({str(i): 1 for i in range(token_counts.KNOWN_CHUNKS + 1)})
     assert trie.counts(["hello there"]) == [(2, 2)] and len(trie._chunks) == 1
     tracemalloc.start()
     assert trie.counts(["x" * 300_000])[0][0] == 1
