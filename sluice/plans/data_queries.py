@@ -650,7 +650,7 @@ def x01(spark, d):
     path = _kept(spark, None, "stream")
     _frames(spark, d).write.parquet(f"{path}/in")
     events = spark.readStream.schema(latents.EVENT).parquet(f"{path}/in")
-    run = latents.stream_trajectories(events, rank=1).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
+    run = latents.stream_trajectories(events, rank=1, idle=None).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
     run.awaitTermination()
     return spark.read.schema("parent string, sample int, step int, n int").parquet(f"{path}/out").groupBy("parent", "sample").agg(F.max("n").cast("long").alias("n"))
 

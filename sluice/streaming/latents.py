@@ -142,13 +142,15 @@ def add_step(ranges: list[int], step: int) -> bool:
     return True
 
 
-def stream_trajectories(events: DataFrame, rank: int | None = None, idle: int = IDLE) -> DataFrame:
+def stream_trajectories(events: DataFrame, rank: int | None = None, idle: int | None = IDLE) -> DataFrame:
     """The recorder as a stateful stream: (parent, sample, step, n): the count of vectors after each new step.
 
     A request's state is the ranges of its steps, so it does not grow while they follow each other; it goes when no
-    event has come for ``idle`` milliseconds, after which a step that comes again counts anew.
+    event has come for ``idle`` milliseconds, after which a step that comes again counts anew. A query that ends with its
+    input (``availableNow``) takes None for ``idle``: with timeouts Spark always runs another batch.
     """
     rows = exploded(events, rank).select("id.parent", "id.sample", "step", "ts")
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -162,10 +164,11 @@ def stream_trajectories(events: DataFrame, rank: int | None = None, idle: int =
                     n += 1
                     out.append((key[0], int(key[1]), int(step), n))
         state.update((ranges,))
-        state.setTimeoutDuration(idle)
+        if idle is not None:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=["parent", "sample", "step", "n"])
 
-    return rows.groupBy("parent", "sample").applyInPandasWithState(advance, "parent string, sample int, step int, n int", "steps array<int>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("parent", "sample").applyInPandasWithState(advance, "parent string, sample int, step int, n int", "steps array<int>", "append", timeout)
 
 
 def decode_states(tokens: list[int], start: int, end: int, size: int) -> list[bool]:
