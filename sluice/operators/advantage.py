@@ -167,7 +167,7 @@ def advantage(name: str, score: Column, group: str, baseline: Column | None = No
 
 
 #: Estimators by name and, for group-relative ones, by the sampling strategy.
-BY_STRATEGY = {("grpo", "greedy"): "grpo", ("grpo", "monet"): "grpo_latent"}
+BY_STRATEGY = {("grpo", "greedy"): "grpo", ("grpo", "latent"): "grpo_latent"}
 
 
 def compute_advantage(batch: DataFrame, estimator: str, strategy: str = "greedy", gamma: float = 1.0, lam: float = 1.0) -> DataFrame:

@@ -275,7 +275,7 @@ FURTHER = {
     ("greedy", None): (),
     ("greedy", "train_pre_gen"): ("global_index",),
     ("greedy", "train_rl_gen"): ("problem", "ground_truth", "prompt_before_processor", "global_index", "correct_solutions_text"),
-    ("monet", None): ("global_index", "problem", "ground_truth"),
+    ("latent", None): ("global_index", "problem", "ground_truth"),
 }
 
 

@@ -75,7 +75,7 @@ def b54(spark, d):
 _GAE = """SELECT event_id, round((x - mu) / sqrt(var + 1e-8), 4) AS adv FROM a, q"""
 _PLAIN = """SELECT event_id, round({} * m, 4) AS adv FROM (SELECT event_id, m, u, s, sum(s) OVER w / count(s) OVER w AS mu, stddev_samp(CASE WHEN pos = 0 THEN s END) OVER w AS sd, count(CASE WHEN pos = 0 THEN 1 END) OVER w AS k,
   sum(CASE WHEN pos = 0 THEN s END) OVER w AS total FROM (SELECT event_id, m, pos, user_id % 5 AS u, sum(r) OVER (PARTITION BY user_id) AS s FROM t) WINDOW w AS (PARTITION BY u))"""
-_ESTIMATORS = (("gae", "greedy"), ("grpo", "greedy"), ("grpo", "monet"), ("reinforce_plus_plus", "greedy"), ("remax", "greedy"), ("rloo", "greedy"))
+_ESTIMATORS = (("gae", "greedy"), ("grpo", "greedy"), ("grpo", "latent"), ("reinforce_plus_plus", "greedy"), ("remax", "greedy"), ("rloo", "greedy"))
 
 
 def _estimator_sql() -> str:

@@ -287,10 +287,10 @@ for _name in ("op_b44_resume_key", "op_b57_resume_key_latents"):
         return _docs(spark, d).select("doc_id", ingest.representation_key("last", F.col("source"), F.col("doc_id").cast("string")).alias("key"))
 
 
-_GENERATION = (("greedy", "validate", True), ("greedy", "train_pre_gen", True), ("greedy", "train_rl_gen", True), ("monet", "any", True), ("greedy", "train_rl_gen", False))
+_GENERATION = (("greedy", "validate", True), ("greedy", "train_pre_gen", True), ("greedy", "train_rl_gen", True), ("latent", "any", True), ("greedy", "train_rl_gen", False))
 
 
-@query("op_b46_generation_columns", "SELECT strategy, mode, images, n_columns, count(*) AS n_rows, sum(event_id * has_index) AS places FROM events, (VALUES ('greedy', 'validate', true, 5, 0), ('greedy', 'train_pre_gen', true, 6, 1), ('greedy', 'train_rl_gen', true, 10, 1), ('monet', 'any', true, 8, 1), ('greedy', 'train_rl_gen', false, 4, 0)) t(strategy, mode, images, n_columns, has_index) GROUP BY 1, 2, 3, 4")
+@query("op_b46_generation_columns", "SELECT strategy, mode, images, n_columns, count(*) AS n_rows, sum(event_id * has_index) AS places FROM events, (VALUES ('greedy', 'validate', true, 5, 0), ('greedy', 'train_pre_gen', true, 6, 1), ('greedy', 'train_rl_gen', true, 10, 1), ('latent', 'any', true, 8, 1), ('greedy', 'train_rl_gen', false, 4, 0)) t(strategy, mode, images, n_columns, has_index) GROUP BY 1, 2, 3, 4")
 def b46(spark, d):
     names = [*ingest.DENSE, *ingest.PROMPT, *ingest.IMAGES, *ingest.FURTHER["greedy", "train_rl_gen"], "reward"]
     batch = table(spark, d, "events").select(*(F.col("event_id").alias(c) for c in names))
