@@ -100,6 +100,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from written token files."""
+    from sluice.llm.token_files import checksums, read_token_files, write_token_files
+
+    path = Scratch(spark, "tokens").path()
+    write_token_files(table(spark, sf_dir, "documents"), path)
+    return checksums(read_token_files(spark, path)).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     """All queries of the subpackage."""
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
