@@ -54,3 +54,46 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
  array_to_string(list_transform(list_transform(range(8), lambda i: CAST('0x' || substr(x, 5 * i + 1, 5) AS INTEGER)), lambda v: {_DIGITS}), '') AS payload_digest,
  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM h
 """
+
+_HAND_OVER = "list_reduce(list_prepend({start}, {steps}), lambda c, b: {step})"
+_CRC_TABLE = "list_transform(range(256), lambda x: " + _HAND_OVER.format(start="x", steps="range(8)", step="CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END") + ")"
+_CRC = "xor(" + _HAND_OVER.format(start="4294967295", steps="bytes", step="xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])") + ", 4294967295)"
+
+SPELLING_VARIANTS = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+ each_run AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY 1, 2),
+ coded AS (SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END)) AS bytes FROM each_run),
+ summed AS (SELECT run, n, {_CRC} AS h FROM coded, (SELECT {_CRC_TABLE} AS crc_table)),
+ changed AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed),
+ w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+ del AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS x FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+ pairs AS (SELECT a.word AS u, b.word AS v FROM del a JOIN del b ON a.x = b.x AND a.i = b.i AND a.word <> b.word UNION SELECT word, x FROM del SEMI JOIN w ON x = w.word UNION SELECT x, del.word FROM del SEMI JOIN w ON x = w.word),
+ ranked AS (SELECT u, v, b.n AS form_n, count(*) OVER (PARTITION BY u) AS n_near, row_number() OVER (PARTITION BY u ORDER BY b.n DESC, v) AS k FROM pairs JOIN w b ON b.word = v),
+ f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN v END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n FROM w LEFT JOIN ranked ON u = w.word AND k = 1),
+ walk AS (SELECT word, word AS place FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.place = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.place AS root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.word = f.word JOIN f l ON l.word = walk.place AND l.form IS NULL
+"""
+
+
+def _nearest(k: int) -> str:
+    off = "list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c)"
+    return f"a{k} AS (SELECT rid, p, any_value(x) AS x, min({{'d': {off}, 'e': e}}) AS best FROM part JOIN b{k} USING (p) GROUP BY rid, p)"
+
+
+def _means(k: int) -> str:
+    places = f"(SELECT p, best.e AS e, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{k})"
+    return f"""s{k} AS (SELECT p, e, list(y ORDER BY i) AS c FROM (SELECT p, e, i, floor(sum(y) / count(*)) AS y FROM {places} GROUP BY ALL) GROUP BY ALL),
+ b{k + 1} AS (SELECT p, e, coalesce(s{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN s{k} USING (p, e))"""
+
+
+# integers below 2^53 are exact in doubles
+VECTOR_CODES = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * CAST(x AS DOUBLE))) AS q FROM embeddings
+   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ part AS MATERIALIZED (SELECT rid, p, q[p * len(q) // 8 + 1:(p + 1) * len(q) // 8] AS x FROM k, (SELECT unnest(range(8)) AS p)),
+ b0 AS MATERIALIZED (SELECT p, rid AS e, x AS c FROM part WHERE rid < 16),
+ {", ".join(f"{_nearest(r)}, {_means(r)}" for r in range(6))}, {_nearest(6)},
+ done AS (SELECT rid, CAST(sum(best.d) AS BIGINT) AS error, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code FROM a6 GROUP BY rid),
+ books AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS y, unnest(range(len(c))) AS i FROM b6))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN done USING (rid), books
+"""

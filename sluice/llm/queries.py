@@ -109,6 +109,21 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(read_token_files(spark, path)).withColumnRenamed("id", "doc_id")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of every frequent word, after misspellings planted by hash."""
+    from sluice.llm.spelling import count_words, group_variants
+
+    return group_variants(count_words(table(spark, sf_dir, "documents"), noise=199))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, code, error, label_error, codebooks_sha256 of every usable vector."""
+    from sluice.llm.vector_codes import codebooks_digest, compress
+
+    coded, books = compress(table(spark, sf_dir, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(codebooks_digest(books)))
+
+
 def queries() -> dict[str, Query]:
     """All queries of the subpackage."""
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
@@ -116,4 +131,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that it can express; the others are tested against brute force, round trips or held-out rows."""
-    return {"op1_decontamination": oracles.DECONTAMINATION, "op3_embedding_links": oracles.EMBEDDING_LINKS, "op4_ngram_jaccard": oracles.NGRAM_JACCARD, "op7_warc": oracles.WARC}
+    return {"op1_decontamination": oracles.DECONTAMINATION, "op3_embedding_links": oracles.EMBEDDING_LINKS, "op4_ngram_jaccard": oracles.NGRAM_JACCARD, "op7_warc": oracles.WARC, "op12_spelling_variants": oracles.SPELLING_VARIANTS, "op13_vector_codes": oracles.VECTOR_CODES}
