@@ -13,9 +13,10 @@ Spark writes and reads the files, so a lost executor's tasks are repeated and on
 dealt over partitions by ranges of ids and sorted once; the order is total (id, hash of the text, place in the input), so
 a repeated task writes the same rows. One row for each file reaches the driver, whatever the number of documents.
 
-The tokenizers library encodes. Texts are cut where that cannot change its matches (see ``pretokens``), each distinct
-chunk is encoded once in a while, and a worker remembers a bounded number of them. Strings of special tokens in a text
-are ordinary text.
+The tokenizers library encodes. Texts are cut at spaces where that cannot change its pre-tokens, and a batch's distinct
+chunks are looked at once. Chunks of signs whose kind is the same in all versions of Unicode are cut into words, of which
+a worker remembers the ids of a bounded number and has the tokenizer's model encode the others; other chunks go to the
+whole tokenizer as they are. Strings of special tokens in a text are ordinary text.
 
 Defined results: a null or empty text has the end id alone. Rows with a null id come first. Rows of equal id are in the
 order of the hash of their texts; repeated rows each have tokens of their own. Extra columns are not read, unless
@@ -27,12 +28,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,16 +47,44 @@ from sluice.session import ship_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Bytes of text that are handled at a time.
-PIECE_BYTES = 512 << 10
-#: Chunks that a worker remembers, and bytes of these and their ids.
-MOST_CHUNKS, MOST_BYTES = 400_000, 24 << 20
+#: Bytes of text that are handled at a time, and chunks whose ids are brought together at a time.
+PIECE_BYTES, GATHERED = 4 << 20, 1 << 18
+#: Words after which a worker starts to remember anew, and their bytes.
+MOST_WORDS, MOST_BYTES = 400_000, 16 << 20
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 128 << 10, 1000
 ENCODINGS = ("dictionary", "delta")
 
 
+#: Without a space before what is white space by some version of Unicode, a text can be cut before each space; else before one
+#: between two characters that are white space by none.
+_RUN = re.compile(r" (?:[\s\x00-\x20\u180e\u200b]|\Z)")
+_CUT = re.compile(r"(?<=[^\s\x00-\x20\u180e\u200b]) (?=[^\s\x00-\x20\u180e\u200b])")
+#: Chunks of characters that are letters, digits, white space or other signs in every version of Unicode.
+_PLAIN = r"\A[\t\n\r!-~\x{a1}-\x{24f}\x{2010}-\x{2027}]*\z"
+
+
+def byte_level() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: visible Latin-1 for itself, others from 256 on."""
+    out, more = {}, 256
+    for byte in range(256):
+        visible = 33 <= byte <= 126 or 161 <= byte <= 172 or 174 <= byte <= 255
+        out[byte] = chr(byte if visible else more)
+        more += not visible
+    return out
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
+    """The runs of ``flat`` one after the other, made in blocks."""
+    out = []
+    for at in range(0, len(starts), GATHERED):
+        size = sizes[at : at + GATHERED]
+        first = np.cumsum(size) - size
+        out.append(flat[np.arange(size.sum()) + np.repeat(starts[at : at + GATHERED] - first, size)].tobytes())
+    return b"".join(out)
+
+
 class ChunkEncoder:
-    """Packed ids (little-endian, 32 bits) of texts by the tokenizers library, which sees each remembered chunk once."""
+    """Packed ids (little-endian, 32 bits) of texts by the tokenizers library, which sees each remembered word once."""
 
     def __init__(self, definition: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
@@ -60,34 +92,97 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_buffer(definition)
         self.tokenizer.encode_special_tokens = True
-        step = json.loads(definition).get("pre_tokenizer") or {}
+        stated = json.loads(definition)
+        step = stated.get("pre_tokenizer") or {}
         # only the byte-level pattern lets texts be cut
-        self.cuts = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not json.loads(definition).get("normalizer")
-        self._pieces: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {}
-        self._nbytes = 0
+        self.cuts = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not stated.get("normalizer")
+        self._model, self._map = self.tokenizer.model, byte_level()
+        self._forget()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        # the place of each word, where its ids end, and all ids
+        self.words: dict[str, int] = {}
+        self._ends, self._store, self._nbytes = array("q"), array("I"), 0
 
-    def _learn(self, known: dict[str, bytes], parts: set[str], before: str) -> None:
-        new = list(parts.difference(known))
-        for part, ids in zip(new, self._ids([before + p for p in new]), strict=True):
-            known[part] = ids
-            self._nbytes += len(part) + len(ids)
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of new words."""
+        tokenize, ends, store = self._model.tokenize, self._ends, self._store
+        self.words.update(zip(words, range(len(ends), len(ends) + len(words)), strict=True))
+        for word in words:
+            # of visible ASCII, only a space has another character
+            stands = word.replace(" ", self._map[32]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self._map)
+            store.extend([t.id for t in tokenize(stands)])
+            ends.append(len(store))
+        self._nbytes += sum(map(len, words))
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids, start, size) of distinct chunks and the space before each."""
+        plain = pc.match_substring_regex(chunks, _PLAIN)
+        starts, sizes = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        flat = b""
+        easy = chunks.filter(plain).to_pylist()
+        if easy:
+            # a plain chunk has no space, so each word that begins with one begins a chunk
+            words = pa.array(pretokens.split(" " + " ".join(easy)), pa.string()).dictionary_encode()
+            distinct, known = words.dictionary.to_pylist(), self.words
+            self._learn([w for w in distinct if w not in known])
+            place = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+            ends = np.frombuffer(self._ends, np.int64)
+            first = np.concatenate([[0], ends[:-1]])[place]
+            size = ends[place] - first
+            index = words.indices.to_numpy()
+            begins = np.flatnonzero(pc.starts_with(words.dictionary, " ").to_numpy(zero_copy_only=False)[index])
+            flat = _gathered(np.frombuffer(self._store, "<u4"), first[index], size[index])
+            sizes[plain.to_numpy(zero_copy_only=False)] = np.add.reduceat(size[index], begins)
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        more = self._ids([" " + c for c in chunks.take(pa.array(odd)).to_pylist()])
+        at = len(flat) // 4
+        mask = np.ones(len(chunks), bool)
+        mask[odd] = False
+        starts[mask] = np.cumsum(sizes[mask]) - sizes[mask]
+        sizes[odd] = [len(m) // 4 for m in more]
+        starts[odd] = at + np.cumsum(sizes[odd]) - sizes[odd]
+        return np.frombuffer(flat + b"".join(more), "<u4"), starts, sizes
+
+    def _joined(self, firsts: list[str], chunks: pa.Array, counts: np.ndarray, lasts: list[str]) -> list[bytes]:
+        """Packed ids of texts of a first part, so many chunks and a last part."""
+        coded = chunks.dictionary_encode()
+        flat, starts, sizes = self._chunk_ids(coded.dictionary)
+        index = coded.indices.to_numpy()
+        packed = _gathered(flat, starts[index], sizes[index])
+        cuts = 4 * np.concatenate([[0], np.cumsum(sizes[index])])[np.concatenate([[0], np.cumsum(counts)])]
+        parts = [*firsts, *lasts]
+        distinct = list(dict.fromkeys(parts))
+        edge = dict(zip(distinct, self._ids(distinct), strict=True))
+        return [edge[a] + packed[i:j] + edge[b] for a, b, i, j in zip(firsts, lasts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         if not self.cuts:
             return self._ids(texts)
-        # what is remembered may go only between batches
-        if len(self._pieces) + len(self._chunks) > MOST_CHUNKS or self._nbytes > MOST_BYTES:
-            self._pieces, self._chunks, self._nbytes = {}, {}, 0
-        cut = [(sum(map(pretokens.split, whole), []), others) for whole, others in map(pretokens.chunks, texts)]
-        self._learn(self._pieces, set().union(*(x for x, _ in cut)), "")
-        self._learn(self._chunks, set().union(*(x for _, x in cut)), " ")
-        piece, chunk = self._pieces.__getitem__, self._chunks.__getitem__
-        return [b"".join([*map(piece, x), *map(chunk, y)]) for x, y in cut]
+        if len(self.words) > MOST_WORDS or self._nbytes > MOST_BYTES:
+            self._forget()
+        out: list[bytes] = [b""] * len(texts)
+        runs = [_RUN.search(t) is not None for t in texts]
+        simple, others = [i for i, r in enumerate(runs) if not r], [i for i, r in enumerate(runs) if r]
+        if simple:
+            cut = pc.split_pattern(pa.array([texts[i] for i in simple], pa.large_string()), " ")
+            offsets = np.asarray(cut.offsets, np.int64)
+            rest = np.ones(len(cut.values), bool)
+            rest[offsets[:-1]] = False
+            firsts = cut.values.take(pa.array(offsets[:-1])).to_pylist()
+            for i, ids in zip(simple, self._joined(firsts, cut.values.filter(pa.array(rest)), np.diff(offsets) - 1, [""] * len(simple)), strict=True):
+                out[i] = ids
+        if others:
+            cut = [_CUT.split(texts[i]) for i in others]
+            lasts = [" " + c.pop() if len(c) > 1 else "" for c in cut]
+            chunks = pa.array([x for c in cut for x in c[1:]], pa.large_string())
+            for i, ids in zip(others, self._joined([c[0] for c in cut], chunks, np.array([len(c) - 1 for c in cut]), lasts), strict=True):
+                out[i] = ids
+        return out
 
 
 _ENCODERS: dict[int, ChunkEncoder] = {}
@@ -141,7 +236,7 @@ def write_token_files(
     schema = f"part int, id {kind['id']}, start long, n_tokens long, ids array<int>" + (f", meta {kind['meta']}" if meta else "")
     tokens = map_texts(dealt, run, schema, id=F.col("id"), text=F.col("text"), **{k: F.col(k) for k in meta})
     options = {
-        "compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": str(encoding == "dictionary").lower(),
+        "compression": "snappy", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": str(encoding == "dictionary").lower(),
         "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "parquet.page.size.row.check.min": 10,
     }
     tokens.write.options(**options).parquet(f"{path}/tokens")

@@ -1,4 +1,5 @@
 import glob
+import random
 import tempfile
 import zlib
 
@@ -108,9 +109,19 @@ def test_empty_table(spark):
 
 
 def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(token_files, "MOST_CHUNKS", 5)
+    monkeypatch.setattr(token_files, "MOST_WORDS", 5)
+    monkeypatch.setattr(token_files, "GATHERED", 3)
     encoder = token_files.ChunkEncoder(open(P.path("byte_bpe_50k.json"), "rb").read())
     for k in range(4):
-        text = " ".join(f"w{k}{i}" for i in range(9))
+        text = " ".join(f"w{chr(97 + k)}{chr(97 + i)}" for i in range(9)) + " again"
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == whole(text)[:-1]
-        assert len(encoder._chunks) + len(encoder._pieces) <= 10  # eight chunks, a word of two pre-tokens
+        assert len(encoder.words) <= 9
+
+
+def test_cuts_change_nothing():
+    rng = random.Random(8)
+    encoder = token_files.ChunkEncoder(open(P.path("byte_bpe_50k.json"), "rb").read())
+    signs = " \n\t\r\x0b\x1c\x1f\x85\xa0\u180e\u200b\u2003\u3000ab'sé日½Ⅷ́.<|9\x00\x7f\U0001f600"
+    texts = ["".join(rng.choices(signs, weights=[12, 3] + [1] * (len(signs) - 2), k=rng.randint(0, 60))) for _ in range(4000)]
+    texts += [f"ab{c}{d}{e}cd {c}ef{d} g" for c in signs for d in signs for e in " \nx"]
+    assert [np.frombuffer(p, "<u4").tolist() for p in encoder.encode(texts)] == [whole(t)[:-1] for t in texts]
