@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.catalog import query
 from sluice.functions import arrays as g
+from sluice.functions import masks
 from sluice.functions import text as t
 from sluice.session import table
 
@@ -97,6 +98,20 @@ def _tokens(spark, d):
     return rows.select("row_id", "pos", (kind != "error").alias("valid"), named.alias("kind"), part(8).alias("step"), part(4).alias("block"))
 
 
+#: The pairs of a mask as ranges of keys for each token.
+_AS_RANGES = """SELECT f.row_id, f.pos AS q, coalesce(n, 0) AS n_keys, coalesce(ranges, '') AS ranges FROM f LEFT JOIN
+ (SELECT row_id, q, CAST(sum(size) AS BIGINT) AS n, string_agg(begins || '-' || ends, ',' ORDER BY begins) AS ranges FROM
+  (SELECT row_id, q, min(k) AS begins, max(k) + 1 AS ends, count(*) AS size FROM (SELECT *, k - row_number() OVER (PARTITION BY row_id, q ORDER BY k) AS island FROM p WHERE allowed) GROUP BY row_id, q, island) GROUP BY row_id, q) x
+ ON x.row_id = f.row_id AND x.q = f.pos"""
+
+
+def _range_rows(found: DataFrame) -> DataFrame:
+    """Ranges as text, with the number of keys."""
+    text = F.array_join(F.transform("ranges", lambda r: F.concat_ws("-", r["start"], r["end"])), ",")
+    n = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    return found.select("row_id", "q", n.alias("n_keys"), text.alias("ranges"))
+
+
 def _visibility(name: str, sql: str, **options) -> None:
     text = f"""WITH {_TOKENS}, p AS (SELECT q.row_id, q.pos AS q, k.pos AS k, q.kind AS qk, k.kind AS kk, q.head AS qh, k.head AS kh, q.opens, coalesce(q.step = k.step, false) AS own, coalesce(q.block = k.block, false) AS mate,
       k.pos <= q.pos AS past, k.pos <= q.pos AND q.valid AND k.valid AS base FROM f q JOIN f k USING (row_id))
@@ -106,6 +121,12 @@ def _visibility(name: str, sql: str, **options) -> None:
     def visibility(spark, d):
         return g.visible_pairs(_tokens(spark, d), **options)
 
+    ranges = text.replace(", p AS (", ", pairs AS (").replace("SELECT row_id, q, k, coalesce", ", p AS (SELECT row_id, q, k, coalesce").replace("FROM p", "FROM pairs)")
+
+    @query(f"{name}_ranges", ranges + _AS_RANGES)
+    def visibility_ranges(spark, d):
+        return _range_rows(masks.visible_ranges(_tokens(spark, d), **options))
+
 
 _SHOWN = "base AND NOT (kk = 'image' AND kh IS NOT NULL)"
 _visibility("op_g11_visibility", f"CASE WHEN qk = 'latent' AND own AND kk = 'image' THEN true WHEN (qk = 'latent' AND own AND kk = 'latent') OR (qk = 'observation' AND qh IS NOT NULL AND kk = 'observation' AND mate) THEN past ELSE {_SHOWN} END")
@@ -127,11 +148,19 @@ _visibility(
 )
 
 
-@query("op_g12_visibility_without_images", f"WITH {_TOKENS} SELECT q.row_id, q.pos AS q, k.pos AS k, k.pos <= q.pos AND q.valid AND k.valid AND NOT (k.kind = 'latent' AND q.pos >= coalesce(k.head, 0)) AS allowed FROM f q JOIN f k USING (row_id)")
+_WITHOUT_IMAGES = "SELECT q.row_id, q.pos AS q, k.pos AS k, k.pos <= q.pos AND q.valid AND k.valid AND NOT (k.kind = 'latent' AND q.pos >= coalesce(k.head, 0)) AS allowed FROM f q JOIN f k USING (row_id)"
+
+
+@query("op_g12_visibility_without_images", f"WITH {_TOKENS} {_WITHOUT_IMAGES}")
 def g12(spark, d):
     return g.visible_pairs_without_images(_tokens(spark, d), hide_latents=True)
 
 
+@query("op_g12_ranges_without_images", f"WITH {_TOKENS}, p AS ({_WITHOUT_IMAGES}) {_AS_RANGES}")
+def g12_ranges(spark, d):
+    return _range_rows(masks.visible_ranges_without_images(_tokens(spark, d), hide_latents=True))
+
+
 @query("op_g15_steps", "SELECT event_id, ['first ' || event_id, 'then b', 'end'] AS steps FROM events")
 def g15(spark, d):
     text = F.concat(F.lit("first "), F.col("event_id").cast("string"), F.lit(" ### Step 2: then b### Step 3.1: end\n"))

@@ -32,15 +32,19 @@ def get_session(app: str = "sluice", cores: int | None = None, **conf: object) -
 WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
+#: The temporary folder of a local master without ``spark.checkpoint.dir``, which cannot be set in a running session.
+_local_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where it is unset on a local master (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one of this process only where it is unset on a local master (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         master = spark.sparkContext.master
         if not re.match(r"local($|\[)", master):
             raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        found = "file://" + tempfile.mkdtemp(prefix="sluice-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        global _local_dir
+        _local_dir = found = _local_dir or "file://" + tempfile.mkdtemp(prefix="sluice-shared-")
     return found.rstrip("/")
 
 
