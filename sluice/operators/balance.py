@@ -5,9 +5,13 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.session import scratch_path, ship_path
+
 
 def largest_differencing(lengths: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
     """k-way number partitioning by largest differences (Karmarkar and Karp).
@@ -85,6 +89,83 @@ def assign_parts(rows: DataFrame, batch: str, row: str, length: str, k: int | No
     return rows.select(batch, F.col(row).cast("long"), F.col(length).cast("long")).groupBy(batch).applyInPandas(run, schema)
 
 
+#: Budgets of tokens, and rows, that one block of rows for local packing holds on average.
+BLOCK_PARTS, BLOCK_ROWS = 64, 50_000
+
+
+def first_fit_decreasing(lengths: list[int], most: int) -> list[int]:
+    """A part for each item, none above ``most``: the longest first, each to the first part with room.
+
+    All parts but one are more than half full. Parts that are still open are in a tree of their room, so an item takes
+    logarithmic time; of items of equal length the earlier one goes first.
+    """
+    n = len(lengths)
+    leaves = 1 << max(0, n - 1).bit_length()
+    room = [most] * (2 * leaves)
+    parts = [0] * n
+    for i in sorted(range(n), key=lambda i: (-lengths[i], i)):
+        if lengths[i] > most:
+            raise ValueError("an item is longer than a part may be")
+        at = 1
+        while at < leaves:
+            at = 2 * at if room[2 * at] >= lengths[i] else 2 * at + 1
+        parts[i] = at - leaves
+        room[at] -= lengths[i]
+        while at > 1:
+            at //= 2
+            room[at] = max(room[2 * at], room[2 * at + 1])
+    return parts
+
+
+def pack_by_budget(rows: DataFrame, row: str, length: str, most: int, key: str | None = None, oversize: str = "own", block_parts: int = BLOCK_PARTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All columns of ``rows`` and ``part``, a number from 0 on inside each key (of the whole table without one): no part
+    holds more than ``most`` of ``length``, but a row above that has a part of its own, or is an error if ``oversize`` is
+    "error".
+
+    Rows are dealt by a hash of ``row`` over blocks of a key, as many as its tokens and rows need, so that no key is one
+    task. A block is packed in its task, and prefix sums over the blocks' counts make the numbers. Each block has at
+    most one part that is not more than half full, so a key's parts are at most 2 x tokens / ``most`` and one for each
+    block and each long row; a block has about ``block_parts`` budgets.
+
+    Null lengths count as 0, null keys are one key; rows with equal ``row`` are in one block, where each is packed for
+    itself. A column ``part`` that is already there is replaced.
+    """
+    if most < 1:
+        raise ValueError("a part must hold at least one token")
+    if oversize not in ("own", "error"):
+        raise ValueError("oversize must be own or error")
+    spark = rows.sparkSession
+    ship_path(spark)
+    names = [c for c in rows.columns if c != "part"]
+    size = F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0))
+    if oversize == "error":
+        size = F.when(size > most, F.raise_error(F.lit(f"a row is longer than the budget of {most}"))).otherwise(size)
+    marked = rows.select(*(F.col(f"`{c}`") for c in names), (F.col(key) if key else F.lit(0)).alias("_key"), size.alias("_size"))
+    totals = marked.groupBy("_key").agg(F.sum(F.when(F.col("_size") <= most, F.col("_size")).otherwise(0)).alias("tokens"), F.count("*").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("tokens") / (block_parts * most)), F.ceil(F.col("n") / block_rows), F.lit(1))
+    totals = totals.select(F.col("_key").alias("_of"), blocks.cast("long").alias("_blocks"))
+    dealt = marked.join(totals, F.col("_key").eqNullSafe(F.col("_of"))).withColumn("_block", F.pmod(F.xxhash64(row), "_blocks")).drop("_of", "_blocks")
+
+    def pack(block: pa.Table) -> pa.Table:
+        block = block.append_column("_above", pc.cast(pc.greater(block.column("_size"), most), pa.int8()))
+        block = block.take(pc.sort_indices(block, sort_keys=[("_above", "ascending"), (row, "ascending"), ("_size", "ascending")]))
+        sizes, alone = block.column("_size").to_pylist(), pc.sum(block.column("_above")).as_py()
+        parts = first_fit_decreasing(sizes[: len(sizes) - alone], most)
+        first = max(parts, default=-1) + 1
+        return block.drop_columns("_above").append_column("_part", pa.array([*parts, *range(first, first + alone)], pa.int32()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", _part int"
+    path = scratch_path(spark, "packed")
+    dealt.groupBy("_key", "_block").applyInArrow(pack, schema).write.parquet(path)
+    packed = spark.read.schema(schema).parquet(path)
+    # one row for each block
+    counts = packed.groupBy("_key", "_block").agg((F.max("_part") + 1).alias("parts"))
+    before = F.sum("parts").over(Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select(F.col("_key").alias("_of"), F.col("_block").alias("_in"), F.coalesce(before, F.lit(0)).alias("_base"))
+    out = packed.join(bases, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_in")))
+    return out.select(*(F.col(f"`{c}`") for c in names), (F.col("_base") + F.col("_part")).alias("part"))
+
+
 def ceil_div(a, b):
     """Ceiling of a quotient of integers."""
     return -(-a // b)

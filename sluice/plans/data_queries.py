@@ -15,20 +15,22 @@ from sluice.functions import numeric as n
 from sluice.operators import balance, cluster, ingest, metrics, projectors
 from sluice.operators import segments as seg
 from sluice.plans.text_queries import _ids
-from sluice.session import shared_dir, table
+from sluice.session import scratch_path, table
 from sluice.sources.events import EventSource
 from sluice.streaming import latents
 
 
+#: Characters of a micro-batch.
+BUDGET = 20_000
+
+
 def _docs(spark, d):
     return table(spark, d, "documents")
 
 
 def _kept(spark, df, name: str) -> str:
-    """A folder below the shared one that holds the rows, written anew."""
-    import uuid
-
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one, deleted at the end."""
+    return scratch_path(spark, name)
 
 
 @query("op_a01_parquet_scan", "SELECT doc_id, lang FROM documents")
@@ -453,10 +455,16 @@ def k04(spark, d):
     return _assigned(spark, d, 2, k=2, equal_size=True).select("doc_id", "part")
 
 
-@query("op_k05_micro_batches", "SELECT lang, ceil(sum(n_chars) / 60000) AS parts, count(*) AS n, sum(n_chars) AS total FROM documents GROUP BY 1")
+#: A document's part is above the budget exactly if the document is; parts are numbered from 0 on and at most twice as many as needed.
+@query("op_k05_micro_batches", f"SELECT doc_id, lang, n_chars > {BUDGET} AS own, count(*) OVER l AS n, sum(n_chars) OVER l AS total, true AS counted, true AS few FROM documents WINDOW l AS (PARTITION BY lang)")
 def k05(spark, d):
-    out = balance.assign_parts(_docs(spark, d), "lang", "doc_id", "n_chars", most=60_000)
-    return out.groupBy("lang").agg(F.count_distinct("part").alias("parts"), F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("total"))
+    out = balance.pack_by_budget(_docs(spark, d).select("doc_id", "lang", "n_chars"), "doc_id", "n_chars", BUDGET, key="lang", block_parts=16)
+    loads = out.groupBy("lang", "part").agg(F.sum("n_chars").alias("load"), F.count("*").alias("rows"))
+    own = F.col("load") > BUDGET
+    short = F.sum(F.when(~own, F.col("load")).otherwise(0))
+    blocks = F.ceil(short / (16 * BUDGET)) + F.ceil(F.sum("rows") / balance.BLOCK_ROWS)
+    langs = loads.groupBy("lang").agg(F.sum("rows").alias("n"), F.sum("load").alias("total"), (F.max("part") + 1 == F.count("*")).alias("counted"), (F.count_if(~own) <= 2 * short / BUDGET + blocks).alias("few"))
+    return out.join(loads.select("lang", "part", own.alias("own")), ["lang", "part"]).join(langs, "lang").select("doc_id", "lang", "own", "n", "total", "counted", "few")
 
 
 @query("op_k07_balance_batch", f"SELECT batch, r - 1 AS rank, doc_id, max(n_chars) OVER (PARTITION BY batch) - min(n_chars) OVER (PARTITION BY batch) AS spread FROM ({_batches(5)})")
