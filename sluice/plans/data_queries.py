@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import socket
 import threading
 from functools import reduce
 
+import pyarrow.dataset as ds
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -159,32 +161,49 @@ def _frames(spark, d, first=None):
 _RID = "(user_id % 8) || '_' || user_id"
 
 
-def _served(frames, host: str) -> int:
-    """Send the bytes of each row to whom connects first, in a thread that reads rows one partition at a time; the port."""
-    server = socket.create_server((host, 0))
+#: Senders of the event source's query.
+SENDERS = 4
 
-    def send() -> None:
-        with server:
-            server.settimeout(120)
-            with server.accept()[0] as peer:
-                for r in frames.toLocalIterator():
-                    peer.sendall(bytes(r[0]))
 
-    threading.Thread(target=send, daemon=True).start()
-    return server.getsockname()[1]
+def _served(frames, host: str, spark) -> str:
+    """Endpoints that send the bytes of written rows, each those of its part of the files, from a thread that holds one batch
+    of rows at a time. An endpoint sends all of its rows anew to whoever connects, so a repeated task gets them too."""
+    path = _kept(spark, None, "frames")
+    frames.toDF("data").write.parquet(path)
+    files = sorted(ds.dataset(path, format="parquet").files)
+    fs = ds.dataset(path, format="parquet").filesystem
+
+    def send(server: socket.socket, own: list[str]) -> None:
+        with server:
+            server.settimeout(300)
+            while True:
+                try:
+                    peer = server.accept()[0]
+                except TimeoutError:
+                    return
+                with peer, contextlib.suppress(ConnectionError):
+                    for batch in ds.dataset(own, format="parquet", filesystem=fs).to_batches(batch_size=1000) if own else ():
+                        peer.sendall(b"".join(batch.column(0).to_pylist()))
+
+    out = []
+    for k in range(SENDERS):
+        server = socket.create_server((host, 0))
+        threading.Thread(target=send, args=(server, files[k::SENDERS]), daemon=True).start()
+        out.append(f"{host}:{server.getsockname()[1]}")
+    return ",".join(out)
 
 
 @query("op_a21_event_source", f"SELECT protocol, {_RID} AS req_id, event_id // 8 AS step, event_id % 4 AS rank, CASE WHEN event_type <> 'error' THEN user_id % 2048 END AS first FROM events, (SELECT unnest(['tcp_binary', 'tcp_json']) AS protocol)")
 def a21(spark, d):
-    # all events as binary frames and as JSON lines, sent by the driver and read by the source
+    # all events as binary frames and as JSON lines, from senders that each hold a part of them, read in a task for each sender
     spark.dataSource.register(EventSource)
-    rows, host = _frames(spark, d, F.col("user_id") % 2048), spark.conf.get("spark.driver.host", "127.0.0.1")
+    rows, host = _frames(spark, d, F.col("user_id") % 2048).repartition(SENDERS, "ts"), spark.conf.get("spark.driver.host", "127.0.0.1")
     line = F.concat(F.to_json(F.struct("ts", "pid", "rank", "step", "req_ids", "latents"), {"ignoreNullFields": "false"}), F.lit("\n")).cast("binary")
     out = None
     for protocol, frames in (("tcp_binary", latents.encode_events(rows)), ("tcp_json", rows.select(line))):
         path = _kept(spark, None, "received")
-        port = _served(frames, host)
-        spark.read.format("latent_events").option("protocol", protocol).option("host", host).option("port", port).option("mode", "connect").option("idle", 60).load().write.parquet(path)
+        found = spark.read.format("latent_events").option("protocol", protocol).option("endpoints", _served(frames, host, spark)).option("mode", "connect").option("idle", 60).load()
+        found.write.parquet(path)
         read = spark.read.parquet(path).select(F.lit(protocol).alias("protocol"), F.col("req_ids")[0].alias("req_id"), "step", "rank", F.col("latents")[0][0].cast("long").alias("first"))
         out = read if out is None else out.unionByName(read)
     return out
@@ -626,9 +645,26 @@ def n14(spark, d):
 # stream
 
 
-@query("op_x03_accumulate", f"SELECT CAST(user_id AS VARCHAR) AS parent, user_id % 8 AS sample, count(DISTINCT event_id // 8) AS n FROM events WHERE event_id % 4 = 1 AND event_type <> 'error' GROUP BY 1, 2")
+def _recorded(where: str) -> str:
+    """Each request's vectors, of a step the earliest event's, as the text of their first components in order."""
+    return f"""SELECT CAST(user_id AS VARCHAR) AS parent, user_id % 8 AS sample, count(*) AS n, string_agg(CAST(id % 2048 AS VARCHAR), ',' ORDER BY step) AS firsts
+ FROM (SELECT user_id, event_id // 8 AS step, min(event_id) AS id FROM events WHERE event_type <> 'error'{where} GROUP BY 1, 2) GROUP BY 1, 2"""
+
+
+def _vectors(found):
+    """The text of the vectors' first components, if their second ones are right."""
+    right = F.forall("vectors", lambda v: (F.size(v) == 2) & (v[1] == 0.5))
+    firsts = F.array_join(F.transform("vectors", lambda v: v[0].cast("long").cast("string")), ",")
+    return found.select("parent", "sample", F.size("vectors").cast("long").alias("n"), F.when(right, firsts).alias("firsts"))
+
+
+def _latent_events(spark, d):
+    return _frames(spark, d, F.col("event_id") % 2048)
+
+
+@query("op_x03_accumulate", _recorded(" AND event_id % 4 = 1"))
 def x03(spark, d):
-    return latents.trajectories(_frames(spark, d), rank=1).select("parent", "sample", F.size("vectors").cast("long").alias("n"))
+    return _vectors(latents.trajectories(_latent_events(spark, d), rank=1))
 
 
 @query("op_x04_parse_request", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN 'abc' ELSE CAST(event_id AS VARCHAR) END AS parent, CASE event_id % 3 WHEN 0 THEN 7 ELSE 0 END AS sample FROM events")
@@ -638,9 +674,12 @@ def x04(spark, d):
     return table(spark, d, "events").select("event_id", latents.parse_request(rid).alias("x")).select("event_id", "x.*")
 
 
-@query("op_x05_read_by_parent", "SELECT CAST(user_id AS VARCHAR) AS parent, user_id % 8 AS sample FROM events WHERE event_type <> 'error' AND user_id = 7 GROUP BY 1, 2")
+@query("op_x05_read_by_parent", f"SELECT parent, sum(n)::BIGINT AS n, string_agg(sample || ':' || firsts, ';' ORDER BY sample) AS samples FROM ({_recorded('')}) GROUP BY 1")
 def x05(spark, d):
-    return latents.trajectories(_frames(spark, d)).filter("parent = '7'").select("parent", "sample")
+    rows = _vectors(latents.trajectories(_latent_events(spark, d)))
+    samples = F.array_sort(F.collect_list(F.struct("sample", "firsts")))
+    text = F.array_join(F.transform(samples, lambda x: F.concat_ws(":", x["sample"], x["firsts"])), ";")
+    return rows.groupBy("parent").agg(F.sum("n").alias("n"), text.alias("samples"))
 
 
 #: A request's tokens by its event: before, start, some inside (an end among them for odd events), after.
@@ -653,14 +692,36 @@ def x08(spark, d):
     return latents.decoded_states(table(spark, d, "events").select("event_id", F.slice(tokens, 1, 8).alias("tokens")), "event_id", "tokens", 1, 4, 4).select("event_id", "active")
 
 
-@query("op_x01_stream_recorder", "SELECT CAST(user_id AS VARCHAR) AS parent, user_id % 8 AS sample, count(DISTINCT event_id // 8) AS n FROM events WHERE event_id % 4 = 1 AND event_type <> 'error' GROUP BY 1, 2")
+@query("op_x01_stream_recorder", _recorded(" AND event_id % 4 = 1"))
 def x01(spark, d):
+    # a stream of several batches, then what its state has; some files repeat events
+    path = _kept(spark, None, "stream")
+    rows = _latent_events(spark, d)
+    rows.unionByName(rows.filter(F.col("ts") % 5 == 0)).repartition(6, "ts").write.parquet(f"{path}/in")
+    events = spark.readStream.schema(latents.EVENT).option("maxFilesPerTrigger", 3).parquet(f"{path}/in")
+    before = {k: spark.conf.get(k, None) for k in latents.STATE_STORE}
+    for k, v in latents.STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        run = latents.record_trajectories(events, rank=1).writeStream.format("noop").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    return _vectors(latents.stored_trajectories(spark, f"{path}/state"))
+
+
+#: The counts after each new step, of the recorder that keeps steps alone.
+@query("op_x01_stream_counts", "SELECT CAST(user_id AS VARCHAR) AS parent, user_id % 8 AS sample, step, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT DISTINCT user_id, event_id // 8 AS step FROM events WHERE event_id % 4 = 1 AND event_type <> 'error')")
+def x01_counts(spark, d):
     path = _kept(spark, None, "stream")
     _frames(spark, d).write.parquet(f"{path}/in")
     events = spark.readStream.schema(latents.EVENT).parquet(f"{path}/in")
     run = latents.stream_trajectories(events, rank=1, idle=None).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
     run.awaitTermination()
-    return spark.read.schema("parent string, sample int, step int, n int").parquet(f"{path}/out").groupBy("parent", "sample").agg(F.max("n").cast("long").alias("n"))
+    out = spark.read.schema("parent string, sample int, step int, n int").parquet(f"{path}/out")
+    last = F.max("n").over(Window.partitionBy("parent", "sample")).cast("long")
+    return out.select("parent", "sample", "step", last.alias("n"))
 
 
 #: Text of t tokens, an image of two by w, a video of two frames of one by w, and two tokens, by the event.

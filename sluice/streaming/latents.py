@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 EVENT = "ts double, pid int, rank int, step int, req_ids array<string>, latents array<array<float>>"
 #: Fixed values of the frame format: magic, big-endian headers of both versions.
@@ -114,11 +115,84 @@ def exploded(events: DataFrame, rank: int | None = None) -> DataFrame:
     return flat.filter(F.size("latent") > 0).withColumn("id", parse_request(F.col("req_id")))
 
 
-def trajectories(events: DataFrame, rank: int | None = None) -> DataFrame:
-    """parent, sample, vectors in order of step and time: the batch form of the recorder."""
-    rows = exploded(events, rank).dropDuplicates(["req_id", "step"])
+def _steps(events: DataFrame, rank: int | None) -> DataFrame:
+    """parent, sample, step, ts, latent of each request and step: of events that say the same step, the one with the least time,
+    then the least vector."""
+    first = F.min(F.struct("ts", "latent")).alias("x")
+    return exploded(events, rank).groupBy("id.parent", "id.sample", "step").agg(first).select("parent", "sample", "step", "x.ts", "x.latent")
+
+
+def _in_order(steps: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("step", "ts", "latent")))
-    return rows.groupBy("id.parent", "id.sample").agg(F.transform(ordered, lambda x: x["latent"]).alias("vectors"))
+    return steps.groupBy("parent", "sample").agg(F.transform(ordered, lambda x: x["latent"]).alias("vectors"))
+
+
+def trajectories(events: DataFrame, rank: int | None = None) -> DataFrame:
+    """parent, sample, vectors in order of steps: the batch form of the recorder."""
+    return _in_order(_steps(events, rank))
+
+
+#: The state store that a recording stream needs, for keyed state of several variables.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+_RECORD = "parent string, sample int, step int, ts double, latent array<float>"
+
+
+class _Recorder(StatefulProcessor):
+    """Keeps a vector for each step of a request, as a map in the state store, of which a batch reads only the steps that it has."""
+
+    def __init__(self, ttl: int | None):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.steps = handle.getMapState("steps", "step int", "ts double, latent array<float>", self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple] = {}
+        for pdf in rows:
+            for step, ts, latent in zip(pdf["step"], pdf["ts"], pdf["latent"], strict=True):
+                # what has no time is before what has one, as in the batch form
+                found = (None if ts is None or ts != ts else float(ts), [float(x) for x in latent])
+                if int(step) not in best or _earlier(found, best[int(step)]):
+                    best[int(step)] = found
+        new = []
+        for step, found in sorted(best.items()):
+            before = self.steps.getValue((step,)) if self.steps.containsKey((step,)) else None
+            if before is None:
+                new.append((key[0], int(key[1]), step, *found))
+            if before is None or _earlier(found, (before[0], list(before[1]))):
+                self.steps.updateValue((step,), found)
+        yield pd.DataFrame(new, columns=["parent", "sample", "step", "ts", "latent"])
+
+    def close(self) -> None:
+        pass
+
+
+def _earlier(a: tuple, b: tuple) -> bool:
+    rank = lambda x: (x[0] is not None, x[0] or 0.0, x[1])
+    return rank(a) < rank(b)
+
+
+def record_trajectories(events: DataFrame, rank: int | None = None, ttl: int | None = None) -> DataFrame:
+    """The recorder as a stream: a row (parent, sample, step, ts, latent) when a request's step is seen for the first time.
+
+    The vectors are in the state store, one entry for each step of a request, so a request may have any number of them and
+    a batch touches only its own. An event that comes late but has an earlier time replaces the step's vector there, so
+    ``stored_trajectories`` gives what ``trajectories`` gives for the same events, in whatever order and batches they
+    came, also with some of them twice. Entries that nothing has written for ``ttl`` milliseconds go; without it a
+    query may end with its input. The session needs the settings of ``STATE_STORE``.
+    """
+    rows = exploded(events, rank).select("id.parent", "id.sample", "step", "ts", "latent")
+    grouped = rows.groupBy("parent", "sample")
+    return grouped.transformWithStateInPandas(_Recorder(ttl), _RECORD, "append", "None" if ttl is None else "ProcessingTime")
+
+
+def stored_trajectories(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """parent, sample, vectors in order of steps, from the state that a recording stream's checkpoint has after its last, or a given, batch."""
+    read = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "steps")
+    state = (read if batch is None else read.option("batchId", batch)).load()
+    # with a lifetime, the vector is in a field beside its end
+    value = "user_map_value.value" if "ttlExpirationMs" in state.schema["user_map_value"].dataType.names else "user_map_value"
+    return _in_order(state.select("key.parent", "key.sample", F.col("user_map_key.step").alias("step"), f"{value}.ts", f"{value}.latent"))
 
 
 #: Milliseconds without an event after which a request's state goes.
