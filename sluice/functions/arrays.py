@@ -135,22 +135,43 @@ def merge_spans(spans: DataFrame, key: str, start: str = "start", end: str = "en
     return islands.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
-def overlaps(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
-    """Whether half-open spans share a place."""
-    return F.greatest(s1, s2) < F.least(e1, e2)
+def dyadic_cells(start: Column, end: Column, levels: Column | int) -> Column:
+    """The cells (level, cell) of a grid of powers of two that together are exactly [start, end): at most two of each level.
 
-
-def overlap_join(a: DataFrame, b: DataFrame, key: str, width: int) -> DataFrame:
-    """Pairs of spans (start, end and other, other_end) of a key that overlap.
-
-    Each span goes to the cells of ``width`` it touches, so the join is on key and cell; a pair is returned in
-    the cell where its overlap begins.
+    At level k a cell is 2^k places wide. Of what whole cells of that level the span has, the first one is taken if its
+    number is odd, and the last one if it is even, as those do not fill a cell of the next level.
+    """
+    level = lambda k: F.struct(k.alias("level"), (-F.call_function("shiftright", -start, k)).alias("a"), F.call_function("shiftright", end, k).alias("b"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(levels) if isinstance(levels, int) else levels), level)
+    cell = lambda x, c: F.struct(x["level"].alias("level"), c.cast("long").alias("cell"))
+    odd = lambda x: x.bitwiseAND(F.lit(1).cast("long"))
+    first = lambda x: F.when((odd(x["a"]) == 1) & (x["a"] < x["b"]), cell(x, x["a"]))
+    last = lambda x: F.when((odd(x["b"]) == 1) & (x["a"] + odd(x["a"]) < x["b"]), cell(x, x["b"] - 1))
+    return F.filter(F.flatten(F.transform(at, lambda x: F.array(first(x), last(x)))), lambda c: c.isNotNull())
+
+
+def _stabbed(points: DataFrame, at: str, spans: DataFrame, start: Column, end: Column, key: str, levels: int) -> DataFrame:
+    """Pairs of a point and a span of the same key that holds it: the point is in exactly one of the span's cells."""
+    ups = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col(at).cast("long"), k).alias("cell")))
+    places = points.withColumn("_c", F.explode(ups)).select("*", "_c.level", "_c.cell").drop("_c")
+    cut = spans.withColumn("_c", F.explode(dyadic_cells(start.cast("long"), end.cast("long"), levels))).select("*", "_c.level", "_c.cell").drop("_c")
+    return places.join(cut, [key, "level", "cell"]).drop("level", "cell")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Pairs of half-open spans of integers (start, end and other, other_end) of a key that overlap.
+
+    Of two spans that overlap, either ``start`` lies in the other span, or ``other`` lies behind ``start`` in the first
+    one, never both. A span is cut into cells of a dyadic grid, of which a length L has at most 2 log2 L, and a point
+    looks in one cell of each level up to that of the longest span. Whatever meets in a cell is a pair, each once, so the
+    join makes no candidates that are dropped. Empty spans, and null keys or ends, are in no pair.
     """
-    cells = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width)))
-    left = a.filter("end > start").withColumn("cell", cells("start", "end"))
-    right = b.filter("other_end > other").withColumn("cell", cells("other", "other_end"))
-    met = left.join(right, [key, "cell"]).filter(overlaps(F.col("start"), F.col("end"), F.col("other"), F.col("other_end")))
-    return met.filter(F.floor(F.greatest("start", "other") / width) == F.col("cell")).drop("cell")
+    a, b = a.filter("end > start"), b.filter("other_end > other")
+    most = [df.agg(F.max(F.col(e).cast("long") - F.col(s)).alias("n")).first().n or 1 for df, s, e in ((a, "start", "end"), (b, "other", "other_end"))]
+    inside = _stabbed(a, "start", b, F.col("other"), F.col("other_end"), key, most[1].bit_length() - 1)
+    behind = _stabbed(b, "other", a, F.col("start") + 1, F.col("end"), key, most[0].bit_length() - 1)
+    columns = [key, *(c for c in a.columns if c != key), *(c for c in b.columns if c != key)]
+    return inside.select(*columns).unionAll(behind.select(*columns))
 
 
 def on_annotated_path(tag: Column) -> Column:

@@ -77,7 +77,21 @@ def g13(spark, d):
 @query("op_j12_overlap_join", f'SELECT a.k, a.s AS start, a.e AS "end", b.other, b.other_end FROM {_SPANS} a JOIN (SELECT user_id AS k, event_id % 60 AS other, event_id % 60 + 3 AS other_end FROM events) b ON a.k = b.k AND a.s < b.other_end AND b.other < a.e')
 def j12(spark, d):
     other = table(spark, d, "events").select(F.col("user_id").alias("k"), (F.col("event_id") % 60).alias("other"), (F.col("event_id") % 60 + 3).alias("other_end"))
-    return g.overlap_join(_spans(spark, d), other, "k", 8)
+    return g.overlap_join(_spans(spark, d), other, "k")
+
+
+@query("op_j12_overlap_long_spans", """WITH a AS (SELECT c_nationkey AS k, c_custkey AS id, CAST(c_custkey * 1000003 % 5000000 AS BIGINT) - 2500000 AS s, CASE c_custkey % 3 WHEN 0 THEN 3000000000 WHEN 1 THEN c_custkey ELSE 100000 END AS n FROM customer),
+ b AS (SELECT s_nationkey AS k, s_suppkey AS place, CAST(s_suppkey * 700001 % 6000000 AS BIGINT) - 3000000 AS s, CASE s_suppkey % 2 WHEN 0 THEN 1 ELSE 500000 END AS n FROM supplier)
+ SELECT a.k, a.id, b.place FROM a JOIN b ON a.k = b.k AND a.s < b.s + b.n AND b.s < a.s + a.n""")
+def j12_long(spark, d):
+    # spans from one place to three thousand million, on both sides of zero
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    n = F.when(F.col("c_custkey") % 3 == 0, F.lit(3_000_000_000)).when(F.col("c_custkey") % 3 == 1, F.col("c_custkey")).otherwise(100_000)
+    a = c.select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"), (F.col("c_custkey") * 1000003 % 5000000 - 2500000).cast("long").alias("start"), n.cast("long").alias("n"))
+    m = F.when(F.col("s_suppkey") % 2 == 0, 1).otherwise(500_000)
+    b = s.select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("place"), (F.col("s_suppkey") * 700001 % 6000000 - 3000000).cast("long").alias("other"), m.cast("long").alias("m"))
+    met = g.overlap_join(a.withColumn("end", F.col("start") + F.col("n")), b.withColumn("other_end", F.col("other") + F.col("m")), "k")
+    return met.select("k", "id", "place")
 
 
 #: Each user's events as tokens: the first five are a question, then steps of eight tokens, in which the sign-ups of each half are a block.
