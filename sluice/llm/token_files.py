@@ -50,7 +50,7 @@ END_ID = 2
 #: Bytes of text that are handled at a time, and chunks whose ids are brought together at a time.
 PIECE_BYTES, GATHERED = 4 << 20, 1 << 18
 #: Words after which a worker starts to remember anew, and their bytes.
-MOST_WORDS, MOST_BYTES = 400_000, 16 << 20
+MOST_WORDS, MOST_BYTES = 800_000, 24 << 20
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 128 << 10, 1000
 ENCODINGS = ("dictionary", "delta")
 
@@ -100,9 +100,9 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        # the place of each word, where its ids end, and all ids
+        # the place of each word, where its ids end, whether it begins with a space, and all ids
         self.words: dict[str, int] = {}
-        self._ends, self._store, self._nbytes = array("q"), array("I"), 0
+        self._ends, self._spaced, self._store, self._nbytes = array("q"), array("b"), array("I"), 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -110,6 +110,7 @@ class ChunkEncoder:
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of new words."""
         tokenize, ends, store = self._model.tokenize, self._ends, self._store
+        self._spaced.extend([w[0] == " " for w in words])
         self.words.update(zip(words, range(len(ends), len(ends) + len(words)), strict=True))
         for word in words:
             # of visible ASCII, only a space has another character
@@ -123,20 +124,21 @@ class ChunkEncoder:
         plain = pc.match_substring_regex(chunks, _PLAIN)
         starts, sizes = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         flat = b""
-        easy = chunks.filter(plain).to_pylist()
-        if easy:
+        easy = chunks.filter(plain)
+        if len(easy):
             # a plain chunk has no space, so each word that begins with one begins a chunk
-            words = pa.array(pretokens.split(" " + " ".join(easy)), pa.string()).dictionary_encode()
-            distinct, known = words.dictionary.to_pylist(), self.words
-            self._learn([w for w in distinct if w not in known])
-            place = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+            words = pretokens.split(" " + pc.binary_join(pa.ListArray.from_arrays([0, len(easy)], easy), " ")[0].as_py())
+            place = list(map(self.words.get, words))
+            if None in place:
+                self._learn(list(dict.fromkeys(w for w, p in zip(words, place, strict=True) if p is None)))
+                place = list(map(self.words.__getitem__, words))
+            place = np.array(place, np.int64)
             ends = np.frombuffer(self._ends, np.int64)
-            first = np.concatenate([[0], ends[:-1]])[place]
+            first = np.where(place > 0, ends[place - 1], 0)
             size = ends[place] - first
-            index = words.indices.to_numpy()
-            begins = np.flatnonzero(pc.starts_with(words.dictionary, " ").to_numpy(zero_copy_only=False)[index])
-            flat = _gathered(np.frombuffer(self._store, "<u4"), first[index], size[index])
-            sizes[plain.to_numpy(zero_copy_only=False)] = np.add.reduceat(size[index], begins)
+            begins = np.flatnonzero(np.frombuffer(self._spaced, np.int8)[place])
+            flat = _gathered(np.frombuffer(self._store, "<u4"), first, size)
+            sizes[plain.to_numpy(zero_copy_only=False)] = np.add.reduceat(size, begins)
         odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
         more = self._ids([" " + c for c in chunks.take(pa.array(odd)).to_pylist()])
         at = len(flat) // 4
