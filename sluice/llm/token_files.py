@@ -171,7 +171,7 @@ class ChunkEncoder:
         runs = [_RUN.search(t) is not None for t in texts]
         simple, others = [i for i, r in enumerate(runs) if not r], [i for i, r in enumerate(runs) if r]
         if simple:
-            cut = pc.split_pattern(pa.array([texts[i] for i in simple], pa.large_string()), " ")
+            cut = pc.split_pattern(pa.array([texts[i] for i in simple], pa.string()), " ")
             offsets = np.asarray(cut.offsets, np.int64)
             rest = np.ones(len(cut.values), bool)
             rest[offsets[:-1]] = False
@@ -181,7 +181,7 @@ class ChunkEncoder:
         if others:
             cut = [_CUT.split(texts[i]) for i in others]
             lasts = [" " + c.pop() if len(c) > 1 else "" for c in cut]
-            chunks = pa.array([x for c in cut for x in c[1:]], pa.large_string())
+            chunks = pa.array([x for c in cut for x in c[1:]], pa.string())
             for i, ids in zip(others, self._joined([c[0] for c in cut], chunks, np.array([len(c) - 1 for c in cut]), lasts), strict=True):
                 out[i] = ids
         return out
