@@ -11,26 +11,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.types import LongType, StructField, StructType
+
+from sluice.session import scratch_path
 
 ROW = "row_id"
-#: Rows aimed at in a bucket of ``positions``.
+#: Rows aimed at in a range of ``positions``.
 BUCKET_ROWS = 100_000
 
 
 def positions(df: DataFrame, key: str, name: str = ROW) -> DataFrame:
-    """Number rows from 0 in the order of a unique numeric key, without sorting all rows in one task.
+    """Number rows from 0 in the order of a unique key of any type that sorts, without sorting all rows in one task.
 
-    Keys are cut into buckets of equal width; a row's position is the number of rows in lower buckets, from a
-    small table of counts, plus its rank inside its bucket.
+    Rows are dealt over ranges of the key that Spark bounds by sampled quantiles, so each has about as many rows however
+    the keys lie, and sorted there. A row's position is the number of rows in lower ranges, from a small table of counts,
+    plus its place in its range. The ranges are written once, so that both steps see the same ones.
     """
-    low, high, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    width = max(1.0, (float(high) - float(low) + 1) / max(1, -(-n // BUCKET_ROWS))) if n else 1.0
-    bucketed = df.withColumn("_bucket", F.floor((F.col(key) - F.lit(low if n else 0)) / F.lit(width)).cast("long"))
-    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # as many rows as buckets: n / BUCKET_ROWS if keys are even
-    before = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
-    return bucketed.join(before, "_bucket").withColumn(name, (F.col("_before") + rank).cast("long")).drop("_bucket", "_before")
+    spark = df.sparkSession
+    path = scratch_path(spark, "positions")
+    ranges = max(1, -(-df.count() // BUCKET_ROWS))
+    dealt = df.repartitionByRange(ranges, F.col(key)).sortWithinPartitions(key)
+    # an id has its range in the upper bits and counts from 0 in it
+    dealt.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark.read.schema(StructType([*df.schema.fields, StructField("_id", LongType())])).parquet(path)
+    kept = kept.withColumn("_range", F.shiftright("_id", 33))
+    counts = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.join(before, "_range").withColumn(name, (F.col("_before") + place).cast("long")).drop("_id", "_range", "_before")
 
 
 def count_rows(df: DataFrame) -> int:

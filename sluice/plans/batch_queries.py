@@ -287,11 +287,12 @@ def j08(spark, d):
     return rule.join(asked, "doc_id", "left").select("doc_id", F.coalesce("api", "rule").alias("verdict"))
 
 
-@query("op_j09_grid", "WITH m AS (SELECT max(user_id) AS top FROM events), g AS (SELECT p, s FROM (SELECT unnest(range(top + 1)) AS p FROM m), (SELECT unnest(range(8)) AS s)) SELECT p * 8 + s AS slot, n FROM g LEFT JOIN (SELECT user_id AS p, event_id % 8 AS s, count(*) AS n FROM events GROUP BY 1, 2) e USING (p, s)")
+@query("op_j09_grid", "SELECT u.p * 8 + s AS slot, n FROM (SELECT DISTINCT user_id AS p FROM events) u CROSS JOIN (SELECT unnest(range(8)) AS s) LEFT JOIN (SELECT user_id AS p, event_id % 8 AS s, count(*) AS n FROM events GROUP BY 1, 2) e USING (p, s)")
 def j09(spark, d):
+    # the eight slots of each user that there is, whatever its number
     events = table(spark, d, "events")
-    top = events.agg(F.max("user_id")).first()[0]
-    grid = spark.range(((-1 if top is None else top) + 1) * 8).select(F.col("id").alias("slot"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.col("user_id") * 8 + k)
+    grid = events.select("user_id").distinct().select(F.explode(slots).alias("slot"))
     seen = events.groupBy((F.col("user_id") * 8 + F.col("event_id") % 8).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     return grid.join(seen, "slot", "left")
 

@@ -606,9 +606,13 @@ def b56(spark, d):
     return found.select("row_id", F.size("steps").cast("long").alias("n_steps"), F.size("question").cast("long").alias("pads"), F.array_min(latent).cast("long").alias("first_pad"), F.size(latent).cast("long").alias("n_pads"))
 
 
-@query("op_g14_track_observations", "SELECT event_id AS row_id, 'a b' || event_id || ' c d' AS clean_text, [1, 2] AS observed FROM events")
+@query("op_g14_track_observations", """SELECT event_id AS row_id, CASE WHEN event_id % 5 = 0 THEN 'a b' || event_id || ' d' ELSE 'a b' || event_id || repeat(' w', event_id % 3) || ' c d' || CASE WHEN event_id % 5 = 1 THEN ' e' ELSE '' END END AS clean_text,
+ CASE WHEN event_id % 5 = 0 THEN [] ELSE list_concat(range(1, 3 + event_id % 3), CASE WHEN event_id % 5 = 1 THEN [4 + event_id % 3] ELSE [] END) END AS observed FROM events""")
 def g14(spark, d):
-    text = F.concat(F.lit("a <observation>b"), F.col("event_id").cast("string"), F.lit(" c</observation> d"))
+    # no observation, one of several words, or a second one that does not close
+    k, n = F.col("event_id") % 5, (F.col("event_id") % 3).cast("int")
+    one = F.concat(F.lit("a <observation>b"), F.col("event_id").cast("string"), F.call_function("repeat", F.lit(" w"), n), F.lit(" c</observation> d"))
+    text = F.when(k == 0, F.concat(F.lit("a b"), F.col("event_id").cast("string"), F.lit(" d"))).when(k == 1, F.concat(one, F.lit(" <observation>e"))).otherwise(one)
     return seg.track_observations(table(spark, d, "events").select(F.col("event_id").alias("row_id"), text.alias("text")))
 
 

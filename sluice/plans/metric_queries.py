@@ -9,7 +9,7 @@ from sluice.functions import answers as q
 from sluice.functions import numeric as n
 from sluice.operators import metrics as m
 from sluice.operators import reward as r
-from sluice.plans.text_queries import _case
+from sluice.plans.text_queries import _case, _forms
 from sluice.session import table
 
 
@@ -88,9 +88,9 @@ for _name in ("op_c15_look_up", "op_c16_step_look_up"):
         return found.select("user_id", unseen.alias("unseen"), F.when(unseen, -1.0).otherwise(F.col("min_len")).alias("min_len"), F.round("mean_len", 5).alias("mean_len"))
 
 
-@query("op_c17_sticky_flag", "SELECT user_id, bool_or(event_type = 'purchase') AS correct FROM events GROUP BY 1")
+@query("op_c17_sticky_flag", "SELECT user_id, bool_or(event_id % 97 = 0) AS correct FROM events GROUP BY 1")
 def c17(spark, d):
-    return _e(spark, d).groupBy("user_id").agg(F.bool_or(F.col("event_type") == "purchase").alias("correct"))
+    return _e(spark, d).groupBy("user_id").agg(F.bool_or(F.col("event_id") % 97 == 0).alias("correct"))
 
 
 @query("op_c18_state_read", "SELECT user_id, count(*) AS n FROM events WHERE user_id = 7 GROUP BY 1")
@@ -331,7 +331,7 @@ def _shaped(x):
     return F.when(k == 0, x).when(k == 1, F.concat(F.lit("("), x, F.lit(",2)"))).when(k == 2, F.concat(F.lit("x = "), x)).otherwise("word")
 
 
-_case("op_s13_tag_accuracy", ("<answer>", None, "</answer>"), lambda x: q.udf(q.tagged_accuracy, "double")(x, F.col("event_id").cast("string")), "1e0")
+_forms("op_s13_tag_accuracy", [("<answer>", None, "</answer>"), ("", None), ("<answer>", None, "1</answer>"), ("no ", None, " <answer> ", None, ".0 </answer>"), ("7", None, "7")], lambda x: q.udf(q.tagged_accuracy, "double")(x, F.col("event_id").cast("string")), ["1e0", "1e0", "0e0", "1e0", "0e0"])
 _case("op_s14_last_box", ("a \\boxed{0} b \\boxed{x{", None, "}} c"), _u(q.last_box), f"'\\boxed{{x{{' || {_ID} || '}}}}'")
 _case("op_s15_last_box_pair", ("\\fbox{", None, "} end"), _u(q.last_box), f"'\\fbox{{' || {_ID} || '}}'")
 _case("op_s17_boxed_content", ("a \\boxed{0} b \\boxed{x{", None, "}} c"), _u(q.boxed_content), f"'x{{' || {_ID} || '}}'")
@@ -350,7 +350,8 @@ _case("op_q06_old_slash", ("", None, "/7"), _u(q.slash_fraction), f"'\\frac{{' |
 _case("op_q07_equivalent", ("x=", None, ".00 cm"), _graded(q.equivalent), _EVEN)
 _case("op_q08_math_equal", ("(1, ", None, ")"), _graded(q.math_equal, "(1.0,{}.0)"), _EVEN)
 _case("op_q09_parsed_number", ("1,", None, "%"), lambda x: F.round(q.parsed_number(x), 6), f"round(CAST('1' || {_ID} AS DOUBLE) / 100, 6)")
-_case("op_q10_numeric_equal", _NUM, lambda x: q.numeric_equal(x.cast("double"), F.col("value") / 1.0), "abs(CAST(x AS DOUBLE) - (SELECT value FROM events v WHERE v.event_id = CAST(x AS BIGINT))) <= 1e-4 * greatest(abs(CAST(x AS DOUBLE)), abs((SELECT value FROM events v WHERE v.event_id = CAST(x AS BIGINT))))")
+# off by none, 60 or 120 millionths, upwards and downwards
+_case("op_q10_numeric_equal", _NUM, lambda x: q.numeric_equal(x.cast("double"), F.col("event_id") * (1 + (F.col("event_id") % 5 - 2) * F.lit(6e-5))), "abs(CAST(x AS DOUBLE) - event_id * (1 + (event_id % 5 - 2) * 6e-5)) <= 1e-4 * greatest(abs(CAST(x AS DOUBLE)), abs(event_id * (1 + (event_id % 5 - 2) * 6e-5)))")
 _case("op_q13_set_matrix", ("{1,", None, "}"), _u(q.set_as_matrix), f"'\\begin{{pmatrix}}1\\' || {_ID} || '\\end{{pmatrix}}'")
 _case("op_q14_literal", ("a, ", None), lambda x: F.coalesce(q.literal_equal(x, F.concat(F.lit("a"), _wanted())), F.lit(False)), _EVEN)
 _case("op_q15_number_equal", _NUM, lambda x: q.number_equal(x, F.concat(_wanted(), F.lit(".0"))), _EVEN)

@@ -48,12 +48,15 @@ def g04(spark, d):
 
 
 def _between(name: str, skip: int) -> None:
-    sql = f"SELECT user_id, flatten(list_transform(list_zip([1, 5, 9], [3, 6, 12]), lambda p: range(p[1] + {skip}, p[2]))) AS places FROM {_IDS}"
+    # spans differ by the user; the second one is empty, or has nothing left behind the skipped place, for some
+    begins, ends = "[1 + user_id % 2, 5, 9 + user_id % 4]", "[3, 6 - user_id % 2, 12 + user_id % 3]"
+    sql = f"SELECT user_id, flatten(list_transform(list_zip({begins}, {ends}), lambda p: range(p[1] + {skip}, p[2]))) AS places FROM {_IDS}"
 
     @query(name, sql)
     def between(spark, d):
-        ends = F.array(F.lit(3), F.lit(6), F.lit(12))
-        return _ids(spark, d).select("user_id", g.positions_between(F.array(F.lit(1), F.lit(5), F.lit(9)), ends, skip).alias("places"))
+        u = lambda k: (F.col("user_id") % k).cast("int")
+        starts, ends = F.array(1 + u(2), F.lit(5), 9 + u(4)), F.array(F.lit(3), 6 - u(2), 12 + u(3))
+        return _ids(spark, d).select("user_id", g.positions_between(starts, ends, skip).alias("places"))
 
 
 _between("op_g05_observation_stage1", 0)
@@ -257,9 +260,24 @@ def _case(name: str, parts: tuple, f, sql: str) -> None:
     _text(name, lambda: _lit(*parts), _sql(*parts), f, sql)
 
 
+def _forms(name: str, forms: list[tuple], f, sql: str | list[str]) -> None:
+    """Like ``_case`` over several forms of text, dealt by the event's id; ``sql`` is over x, or states each form's result."""
+    pick = lambda texts: "CASE event_id % {} {} END".format(len(forms), " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(texts)))
+
+    def made():
+        out = _lit(*forms[0])
+        for k, parts in enumerate(forms[1:], 1):
+            out = F.when(F.col("event_id") % len(forms) == k, _lit(*parts)).otherwise(out)
+        return out
+
+    _text(name, made, pick([_sql(*p) for p in forms]), f, sql if isinstance(sql, str) else pick(sql))
+
+
 _A = ("a <abs_vis_token>one\n", None, "</abs_vis_token> b <abs_vis_token></abs_vis_token>")
+#: Latents with content and without, none, one that does not close, a close alone, and one inside another.
+_LATENTS = [_A, ("plain ", None), ("<abs_vis_token>open ", None), ("x</abs_vis_token> ", None, " <abs_vis_token>y</abs_vis_token>"), ("<abs_vis_token>a<abs_vis_token>", None, "</abs_vis_token>b</abs_vis_token>")]
 for _name in ("op_s01_latent_placeholder", "op_s02_latent_placeholder_reward", "op_s03_latent_placeholder_inference"):
-    _case(_name, _A, t.latent_placeholder, r"regexp_replace(x, '(<abs_vis_token>)(.*?)(</abs_vis_token>)', '\1<latent>\3', 'gs')")
+    _forms(_name, _LATENTS, t.latent_placeholder, r"regexp_replace(x, '(<abs_vis_token>)(.*?)(</abs_vis_token>)', '\1<latent>\3', 'gs')")
 _Q = ("q <abs_vis_token></abs_vis_token> <|vision_start|><|image_pad|><|vision_end|>", None)
 _case("op_s05_question_images", _Q, t.question_images, "CASE WHEN contains(x, '<abs_vis_token></abs_vis_token>') THEN replace(replace(x, '<|vision_start|><|image_pad|><|vision_end|>', ''), '<abs_vis_token></abs_vis_token>', '<|vision_start|><|image_pad|><|vision_end|>') ELSE x END")
 _T = ("q <|vision_start|><|image_pad|><|vision_end|>", None, "<|im_start|>assistant z<|vision_start|><|image_pad|><|vision_end|> <abs_vis_token></abs_vis_token>y")
@@ -269,27 +287,29 @@ _IMG = "'<|vision_start|><|image_pad|><|vision_end|>'"
 _case("op_s04_placeholders_to_images", _T, t.placeholders_to_images, _HEAD + f"replace(replace(string_split(x, '<|im_start|>assistant')[2], {_IMG}, ''), '<abs_vis_token></abs_vis_token>', {_IMG})")
 _case("op_s06_images_to_latents", _T2, lambda x: t.images_to_latents(x, 3), _HEAD + f"replace(string_split(x, '<|im_start|>assistant')[2], {_IMG}, '<abs_vis_token>' || repeat('<abs_vis_token_pad>', 3) || '</abs_vis_token>')")
 _case("op_s07_latents_after_images", _T2, lambda x: t.latents_after_images(x, 2), _HEAD + f"replace(string_split(x, '<|im_start|>assistant')[2], {_IMG}, {_IMG} || '<abs_vis_token>' || repeat('<abs_vis_token_pad>', 2) || '</abs_vis_token>')")
-_case("op_s08_count_markers", _A, lambda x: t.occurrences(x, t.LATENT_OPEN), "(length(x) - length(replace(x, '<abs_vis_token>', ''))) // 15")
-_case("op_s10_boxed_format", ("so \\boxed{", None, "}"), t.boxed_format, r"CASE WHEN regexp_matches(x, '\\boxed\{.*?\}', 's') THEN 1e0 ELSE 0e0 END")
-_case("op_s11_latent_use", _A, t.uses_latent, "CASE WHEN contains(x, '<abs_vis_token>') THEN 1e0 ELSE 0e0 END")
-_case("op_s12_think_format", ("<think>\n", None, "</think>\n<answer>x</answer>"), t.think_format, r"CASE WHEN regexp_full_match(x, '<think>.*</think>\s*<answer>.*</answer>', 's') THEN 1e0 ELSE 0e0 END")
+_forms("op_s08_count_markers", _LATENTS, lambda x: t.occurrences(x, t.LATENT_OPEN), "(length(x) - length(replace(x, '<abs_vis_token>', ''))) // 15")
+_forms("op_s10_boxed_format", [("so \\boxed{", None, "}"), ("so boxed{", None, "}"), ("\\boxed{", None), ("\\boxed{\n", None, "\n} }"), ("\\boxed ", None, "{}")], t.boxed_format, r"CASE WHEN regexp_matches(x, '\\boxed\{.*?\}', 's') THEN 1e0 ELSE 0e0 END")
+_forms("op_s11_latent_use", _LATENTS, t.uses_latent, "CASE WHEN contains(x, '<abs_vis_token>') THEN 1e0 ELSE 0e0 END")
+_forms(
+    "op_s12_think_format", [("<think>\n", None, "</think>\n<answer>x</answer>"), ("<think>", None, "</think> so <answer>x</answer>"), ("<answer>", None, "</answer>"), ("<think>a</think><answer>", None, "</answer>"), ("<think>a</think><answer>", None, "</answer>."), (" <think></think><answer>", None, "</answer>")],
+     t.think_format, r"CASE WHEN regexp_full_match(x, '<think>.*</think>\s*<answer>.*</answer>', 's') THEN 1e0 ELSE 0e0 END")
 _case("op_s19_after_is", ("This is it: the answer is ", None, "</answer> ok"), t.last_number_before_close, "regexp_extract(x, '(?is)^.*is(.*?)</answer>', 1)")
-_case("op_s22_angle_brackets", ("a <b", None, "> c <d> e"), t.without_angles, "trim(regexp_replace(x, '<[^<>]*>', '', 'g'))")
+_forms("op_s22_angle_brackets", [("a <b", None, "> c <d> e"), (" no ", None, " marks "), ("x <a <b> ", None, " c> y"), ("5 < ", None, " only"), ("<", None, "> > <")], t.without_angles, "trim(regexp_replace(regexp_replace(x, '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'))")
 _case("op_s28_comma_list", ("1,", None), t.comma_list, "CASE WHEN contains(x, ',') THEN ['{' || x || '}'] ELSE [] END")
 _case("op_s31_trim_answer", (" \n", None, ". .\n"), t.trim_answer, r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^[ \n]+|[ \n]+$', '', 'g'), '\.+$', ''), '^[ \n]+|[ \n]+$', '', 'g'), '\.+$', '')")
 _case("op_s32_symbols", ("\\$", None, "\\% {,} 90^\\circ π A°"), t.normalise_symbols, "lower(replace(replace(replace(replace(replace(replace(x, '\\$', ''), '$', ''), '\\%', ''), '^\\circ', ''), '{,}', ''), 'π', '\\pi'))[1:-2]")
 _case("op_s33_right_side", ("x = ", None), t.right_side, "CASE WHEN len(string_split(x, '=')) = 2 THEN string_split(x, '=')[CASE WHEN trim(string_split(x, '=')[2]) = '0' AND length(trim(string_split(x, '=')[1])) >= 2 THEN 1 ELSE 2 END] ELSE x END")
 _case("op_s34_roots", ("√{", None, "} + √(2)"), t.plain_roots, r"regexp_replace(regexp_replace(x, '√\{([^{}]*)\}', '\\sqrt{\1}', 'g'), '√\(([^()]*)\)', '\\sqrt{\1}', 'g')")
 _case("op_s35_boxed_hint", ("What is ", None, "?\nPut your final answer within \\boxed{}."), t.without_boxed_hint, "'What is ' || CAST(event_id AS VARCHAR) || '?'")
-_case("op_s37_last_choice", ("is it a or B", None, " c or (d)."), t.last_choice, "'D'")
-_case("op_s38_triggered_choice", ("A? the choice is ", None, " (b) not c"), t.triggered_choice, "'B'")
+_forms("op_s37_last_choice", [("is it a or B", None, " c or (d)."), ("It is (C), not ", None, "."), ("none of ", None, ". "), ("B", None, "... "), ("x e", None, " A")], t.last_choice, ["'D'", "'C'", "'none of ' || event_id", "'B' || event_id", "'A'"])
+_forms("op_s38_triggered_choice", [("A? the choice is ", None, " (b) not c"), ("answer is a, no, the choice is D ", None, " e"), ("maybe B or C ", None), ("the answer is ", None, "./"), ("f ", None, "/")], t.triggered_choice, ["'B'", "'D'", "'C'", "event_id || '.'", "'f ' || event_id"])
 _case("op_s39_only_number", ("about -", None, ".5 m"), t.only_number, "regexp_replace(x, '[^0-9.\\-]', '', 'g')")
 _case("op_s40_judge_prompt", ("q", None), lambda x: t.judge_prompt(x, F.lit("p"), F.lit("t")), "'Question: ' || x || chr(10) || 'Predicted Answer: p' || chr(10) || 'Ground Truth Answer: t' || chr(10) || 'Does the predicted answer exactly or semantically match the ground-truth? Reply ''yes'' or ''no''.'")
 _case("op_s41_choice_prompt", ("q", None), lambda x: t.choice_prompt(x, F.lit("A. 1 B. 2"), F.lit("B")), "'Question: ' || x || '?' || chr(10) || 'Options: A. 1 B. 2' || chr(10) || 'Answer: B' || chr(10) || 'Your output: '")
 _case("op_s42_extract_prompt", ("q", None), lambda x: t.extraction_prompt(F.lit(" examples\n"), x, F.lit("a"), F.lit("r")), "'examples' || chr(10) || chr(10) || '[Question]: ' || x || chr(10) || '[Standard Answer]: a' || chr(10) || '[Model Response]: r' || chr(10) || '[Extracted answer]: '")
 _case("op_b50_vision_prompt", ("q", None), lambda x: F.when(~x.contains("<image>"), F.concat(F.lit("<image>\n"), x)).otherwise(x), "'<image>' || chr(10) || x")
 _case("op_e08_template", ("  q", None, " "), lambda x: F.concat(F.trim(x), F.lit(t.INSTRUCTION)), "trim(x) || ' You FIRST think about the reasoning process as an internal monologue and then provide the final answer.\\nRemember: 1. Solve the problem step by step.\\n2. You MUST put the final answer in \\boxed{}.'")
-_case("op_e02_function_path", ("dir/f", None, ".py"), lambda x: F.struct(F.get(F.split(x, ":", -1), F.lit(0)).alias("path"), F.coalesce(F.get(F.split(x, ":", -1), F.lit(1)), F.lit("main")).alias("name"))["name"], "'main'")
+_forms("op_e02_function_path", [("dir/f", None, ".py"), ("dir/f.py:run", None), ("f", None, ".py:main"), ("f.py:", None, "_x")], lambda x: F.struct(F.get(F.split(x, ":", -1), F.lit(0)).alias("path"), F.coalesce(F.get(F.split(x, ":", -1), F.lit(1)), F.lit("main")).alias("name"))["name"], ["'main'", "'run' || event_id", "'main'", "event_id || '_x'"])
 _case("op_s36_grouped_digits", ("n ", None, "1234567asd"), t.grouped_digits, "'n ' || format('{:,}', CAST(CAST(event_id AS VARCHAR) || '1234567' AS BIGINT)) || 'asd'")
 _case("op_s29_thousands", ("1,234,567 and ", None, ",000"), t.without_thousands, "CASE WHEN length(CAST(event_id AS VARCHAR)) <= 9 THEN '1234567 and ' || CAST(event_id AS VARCHAR) || '000' END")
 _case("op_s25_numbers", ("a $x", None, "$ then 1/2, 3.5 and 1,000 or 7"), t.all_numbers, "['x' || CAST(event_id AS VARCHAR), '1/2', '3.5', '1000', '7']")
