@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sluice.functions import text as t
 from sluice.functions.symbolic import symbolic_equal
 
-Symbolic = Callable[[str, str], bool]
+Symbolic = Callable[[str, str], bool | None]
 LETTERS = "ABCDE"
 
 

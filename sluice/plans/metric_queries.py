@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sluice.catalog import query
@@ -54,6 +55,19 @@ def c10(spark, d):
     return table(spark, d, "labels").agg(F.round(F.avg("quality"), 6).alias("acc"))
 
 
+# formulas with functions and of more terms than are multiplied out; a text that is no formula is undecided
+@query("op_q11_functions", "SELECT event_id, CASE event_id % 5 WHEN 3 THEN event_id % 2 = 0 WHEN 4 THEN NULL ELSE event_id % 3 <> 2 END AS equal FROM events")
+def q11_functions(spark, d):
+    n, k, odd = F.col("event_id").cast("string"), F.col("event_id") % 5, F.col("event_id") % 3 == 2
+    put = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    wrong = F.when(odd, F.lit(" + 0.5")).otherwise("")
+    pred = F.when(k == 0, put("\\sin^2(", n, "x) + \\cos^2(", n, "x)", wrong)).when(k == 1, put("\\ln(", n, " + 1) + e^{x + y}", wrong)).when(k == 2, put("(x + y + z + ", n, ")^{50}", wrong))
+    pred = pred.when(k == 3, put("\\sqrt{x^2} + ", n)).otherwise(put("about ", n, "?"))
+    truth = F.when(k == 0, F.lit("1")).when(k == 1, put("e^x e^y + \\ln(1 + ", n, ")")).when(k == 2, put("(", n, " + z + y + x)^{50}"))
+    truth = truth.when(k == 3, F.when(F.col("event_id") % 2 == 0, put(n, " + |x|")).otherwise(put(n, " + x"))).otherwise(n)
+    return _e(spark, d).select("event_id", q.udf(q.symbolic_equal, "boolean")(pred, truth).alias("equal"))
+
+
 @query("op_c11_difficulty", "SELECT user_id, round(avg(CASE WHEN event_type = 'purchase' THEN 1e0 ELSE 0e0 END), 6) AS acc FROM events GROUP BY 1 HAVING acc > 0 AND acc <= 0.2")
 def c11(spark, d):
     e = _e(spark, d).withColumn("ok", F.col("event_type") == "purchase")
