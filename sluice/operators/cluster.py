@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,21 +11,75 @@ MODES = ("all", "first", "centroid", "medoid")
 SCHEMA = "sample_id long, ord long, text string, cluster long, correct boolean"
 
 
-@dataclass
+#: Products of unit vectors closer to a threshold than this are taken again from the members themselves.
+SLACK = 1e-9
+#: Steps whose products with all representatives are taken at once.
+BLOCK = 256
+
+
+class Rows:
+    """Vectors in order of arrival, in an array that doubles when it is full."""
+
+    def __init__(self, width: int):
+        self.n, self._data = 0, np.empty((4, width))
+
+    def append(self, x: np.ndarray) -> None:
+        if self.n == len(self._data):
+            self._data = np.concatenate([self._data, np.empty_like(self._data)])
+        self._data[self.n] = x
+        self.n += 1
+
+    def fill(self, x: np.ndarray) -> None:
+        """Take other vectors instead."""
+        self.n, self._data = len(x), x
+
+    @property
+    def all(self) -> np.ndarray:
+        return self._data[: self.n]
+
+
 class Cluster:
-    """Members of a cluster in the order of arrival, and its representative."""
+    """Members of a cluster in the order of arrival, with their sum and their parts along and across an axis.
+
+    The axis is the direction of the mean at the time when the number of members last doubled, so taking all parts
+    again costs time linear in the members. A member whose parts are a and b has m.x >= a x_a - b x_b, where x_a and x_b
+    are the parts of x. The least a and greatest b settle most items for all members at once, the parts of each member
+    settle most others, and products are taken with the rest. The mean product is mean.x, never below the least one.
+    """
+
+    def __init__(self, x: np.ndarray):
+        self.members, self.right, self.total = Rows(len(x)), 0, np.zeros(len(x))
+        self.axis, self.parts, self.along, self.across, self._next = np.zeros(len(x)), Rows(2), np.inf, 0.0, 1
 
-    rep: np.ndarray
-    members: list[np.ndarray] = field(default_factory=list)
-    right: int = 0
+    def _part(self, x: np.ndarray) -> np.ndarray:
+        """Parts along and across the axis of one vector or several."""
+        along = x @ self.axis
+        return np.stack([along, np.linalg.norm(x - along[..., None] * self.axis, axis=-1)], -1)
 
-    def add(self, x: np.ndarray, right: bool, mode: str) -> None:
+    def add(self, x: np.ndarray, right: bool) -> None:
         self.members.append(x)
+        self.total = self.total + x
         self.right += bool(right)
-        if len(self.members) > 1 and mode in ("centroid", "medoid"):
-            m = np.stack(self.members)
-            mean = m.mean(0)
-            self.rep = mean / (np.linalg.norm(mean) + 1e-8) if mode == "centroid" else m[int(np.argmax(m @ mean))]
+        if self.members.n == self._next:
+            length = np.linalg.norm(self.total)
+            self.axis, self._next = self.total / length if length else self.total, 2 * self.members.n
+            self.parts.fill(self._part(self.members.all))
+            self.along, self.across = float(self.parts.all[:, 0].min()), float(self.parts.all[:, 1].max())
+        else:
+            part = self._part(x)
+            self.parts.append(part)
+            self.along, self.across = min(self.along, float(part[0])), max(self.across, float(part[1]))
+
+    def mean_if_all_above(self, x: np.ndarray, threshold: float) -> float | None:
+        """The mean product with the members if each is above the threshold."""
+        mean = float(self.total @ x) / self.members.n
+        if mean < threshold - SLACK:
+            return None
+        along, across = self._part(x)
+        if along >= 0 and self.along * along - self.across * across > threshold + SLACK:
+            return mean
+        open_ = np.flatnonzero(self.parts.all @ np.array([along, -across]) <= threshold + SLACK)
+        return mean if (self.members.all[open_] @ x > threshold).all() else None
 
 
 class Leader:
@@ -37,46 +89,76 @@ class Leader:
         if mode not in MODES:
             raise ValueError(f"no such mode: {mode}")
         self.threshold, self.correct_threshold, self.mode, self.clusters = threshold, correct_threshold, mode, []
+        self.reps: Rows | None = None
 
-    def _home(self, x: np.ndarray) -> int | None:
+    def _home(self, x: np.ndarray, sims: np.ndarray) -> int | None:
         if not self.clusters:
             return None
-        sims = np.stack([c.rep for c in self.clusters]) @ x
         if self.mode != "all":
             best = int(np.argmax(sims))
             return best if sims[best] > self.threshold else None
-        best, top = None, -1.0
-        for i in np.flatnonzero(sims > self.threshold):
-            each = np.stack(self.clusters[i].members) @ x
-            if (each > self.threshold).all() and each.mean() > top:
-                best, top = int(i), float(each.mean())
-        return best
-
-    def put(self, x: np.ndarray, right: bool) -> tuple[int, bool]:
-        """(cluster, whether it counts as correct now)."""
-        at = self._home(x)
-        if at is None:
-            self.clusters.append(Cluster(x))
-            at = len(self.clusters) - 1
-            self.clusters[at].add(x, right, self.mode)
-            return at, bool(right)
+        means = {int(i): self.clusters[i].mean_if_all_above(x, self.threshold) for i in np.flatnonzero(sims > self.threshold)}
+        means = {i: m for i, m in means.items() if m is not None and m > -1.0}
+        # means of equal height but for rounding are taken from the members, and the first cluster wins
+        close = [i for i, m in means.items() if m >= max(means.values()) - SLACK]
+        if len(close) > 1:
+            exact = [float((self.clusters[i].members.all @ x).mean()) for i in close]
+            return close[int(np.argmax(exact))]
+        return close[0] if close else None
+
+    def _represent(self, at: int) -> None:
+        """Renew the representative of a cluster that grew."""
         c = self.clusters[at]
-        c.add(x, right, self.mode)
-        return at, c.right / len(c.members) > self.correct_threshold
+        if c.members.n > 1 and self.mode in ("centroid", "medoid"):
+            mean = c.total / c.members.n
+            m = c.members.all
+            self.reps.all[at] = mean / (np.linalg.norm(mean) + 1e-8) if self.mode == "centroid" else m[int(np.argmax(m @ mean))]
+
+    def put_all(self, vectors: np.ndarray, right: list[bool]) -> list[tuple[int, bool]]:
+        """(cluster, whether it counts as correct at that time) of each item.
+
+        Products of a block of items with the representatives are one matrix product; those with representatives
+        that the block itself makes or changes are taken item by item.
+        """
+        out = []
+        self.reps = self.reps or Rows(vectors.shape[1])
+        for start in range(0, len(vectors), BLOCK):
+            block = vectors[start : start + BLOCK]
+            known, changed = self.reps.n, set()
+            products = block @ self.reps.all.T
+            for k, x in enumerate(block):
+                sims = np.concatenate([products[k], self.reps.all[known:] @ x])
+                if changed:
+                    renewed = list(changed)
+                    sims[renewed] = self.reps.all[renewed] @ x
+                at = self._home(x, sims)
+                new = at is None
+                if new:
+                    at = len(self.clusters)
+                    self.clusters.append(Cluster(x))
+                    self.reps.append(x)
+                c = self.clusters[at]
+                c.add(x, right[start + k])
+                self._represent(at)
+                if at < known and self.mode in ("centroid", "medoid"):
+                    changed.add(at)
+                out.append((at, bool(right[start + k]) if new else c.right / c.members.n > self.correct_threshold))
+        return out
 
 
 def cluster_steps(steps: DataFrame, threshold: float, correct_threshold: float = 0.5, mode: str = "all") -> DataFrame:
     """Cluster and correctness of each step, in the order of ``ord`` in its sample.
 
     ``steps`` has sample_id, ord, text, embedding (unit length), lead_correct. A sample is the unit of state, as
-    the result depends on the order inside it; samples spread over tasks.
+    the result depends on the order inside it; samples spread over tasks. In the mode "all" bounds from parts along
+    and across a cluster's axis settle most steps without a look at its members.
     """
     Leader(threshold, correct_threshold, mode)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
         state = Leader(threshold, correct_threshold, mode)
-        put = [state.put(np.asarray(x, float), bool(r)) for x, r in zip(pdf["embedding"], pdf["lead_correct"], strict=True)]
+        put = state.put_all(np.stack([np.asarray(x, float) for x in pdf["embedding"]]), [bool(r) for r in pdf["lead_correct"]])
         return pd.DataFrame({"sample_id": pdf["sample_id"], "ord": pdf["ord"], "text": pdf["text"], "cluster": [c for c, _ in put], "correct": [k for _, k in put]})
 
     return steps.groupBy("sample_id").applyInPandas(run, SCHEMA)
