@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from sluice.catalog import query
 from sluice.functions import arrays as g
 from sluice.functions import numeric as n
-from sluice.operators import balance, cluster, ingest, metrics, projectors
+from sluice.operators import balance, cluster, ingest, metrics, projectors, state
 from sluice.operators import segments as seg
 from sluice.plans.text_queries import _ids
 from sluice.session import scratch_path, table
 from sluice.sources.events import EventSource
+from sluice.sources.listing import ResumableFolder
 from sluice.streaming import latents
 
 
@@ -114,6 +115,23 @@ for _name in ("op_a11_resume_scan", "op_a12_resume_scan_latents"):
         return _stored(spark, d).select(F.regexp_extract("key", "_([0-9]+)$", 1).cast("long").alias("vec_id"))
 
 
+# a first run stores two thirds of the rows; the second lists what is stored and writes the rest
+@query("op_a11_resume_blocks", "SELECT vec_id, label, CASE WHEN vec_id % 3 <> 0 THEN 1 ELSE 2 END AS ord FROM embeddings")
+def a11_blocks(spark, d):
+    folder = ResumableFolder(spark, _kept(spark, None, "blocks"), "vec_id", 500)
+    rows, schema = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label")), "vec_id long, label long"
+    folder.write(rows.filter("vec_id % 3 <> 0"))
+    folder.resume(rows, schema)
+    return folder.read(schema)
+
+
+@query("op_a12_done_range", "SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id BETWEEN 120 AND 430")
+def a12_range(spark, d):
+    folder = ResumableFolder(spark, _kept(spark, None, "blocks"), "vec_id", 100)
+    folder.write(table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id")).filter("vec_id % 3 <> 0"))
+    return folder.read("vec_id long", 120, 430).select("vec_id")
+
+
 @query("op_a13_required_lookup", "SELECT vec_id, 'last_' || label || '_' || vec_id AS key FROM embeddings WHERE vec_id % 3 = 1")
 def a13(spark, d):
     wanted = table(spark, d, "embeddings").filter("vec_id % 3 = 1").select("vec_id")
@@ -129,6 +147,32 @@ for _name in ("op_a14_step_snapshot", "op_a15_sample_snapshot"):
         return spark.read.parquet(path).select("user_id", "min_len", "cnt")
 
 
+_STATE = "SELECT user_id, min(value) FILTER (event_type = 'purchase') AS min_len, round(avg(value) FILTER (event_type = 'purchase'), 5) AS mean_len, count(*) FILTER (event_type = 'purchase') AS cnt, bool_or(event_type = 'purchase') AS correct FROM events"
+
+
+def _versions(spark, d):
+    """A store after four steps, of which the third was put twice."""
+    store = state.length_state(spark, _kept(spark, None, "versions"), "user_id", 3)
+    for step in (0, 1, 2, 2, 3):
+        rows = table(spark, d, "events").filter(F.col("event_id") % 4 == step)
+        store.put(step, state.length_increments(rows, "user_id", "value", F.col("event_type") == "purchase"))
+    return store
+
+
+def _summary(df):
+    return state.length_means(df).select("user_id", "min_len", F.round("mean_len", 5).alias("mean_len"), "cnt", "correct")
+
+
+@query("op_a14_state_versions", f"{_STATE} GROUP BY 1")
+def a14_versions(spark, d):
+    return _summary(_versions(spark, d).read())
+
+
+@query("op_a15_earlier_version", f"{_STATE} WHERE event_id % 4 <= 1 GROUP BY 1")
+def a15_version(spark, d):
+    return _summary(_versions(spark, d).read(1))
+
+
 @query("op_a16_latest_step", "SELECT max(o_orderkey) AS step FROM orders")
 def a16(spark, d):
     step = latents.latest_step(table(spark, d, "orders").select(F.col("o_orderkey").alias("step")))
