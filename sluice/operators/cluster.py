@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +25,7 @@ class Rows:
     def __init__(self, width: int):
         self.n, self._data = 0, np.empty((4, width))
 
-    def append(self, x: np.ndarray) -> None:
+    def append(self, x: np.ndarray | tuple[float, float]) -> None:
         if self.n == len(self._data):
             self._data = np.concatenate([self._data, np.empty_like(self._data)])
         self._data[self.n] = x
@@ -51,10 +53,11 @@ class Cluster:
         self.members, self.right, self.total = Rows(len(x)), 0, np.zeros(len(x))
         self.axis, self.parts, self.along, self.across, self._next = np.zeros(len(x)), Rows(2), np.inf, 0.0, 1
 
-    def _part(self, x: np.ndarray) -> np.ndarray:
-        """Parts along and across the axis of one vector or several."""
-        along = x @ self.axis
-        return np.stack([along, np.linalg.norm(x - along[..., None] * self.axis, axis=-1)], -1)
+    def _part(self, x: np.ndarray) -> tuple[float, float]:
+        """Parts along and across the axis."""
+        along = float(x @ self.axis)
+        rest = x - along * self.axis
+        return along, math.sqrt(rest @ rest)
 
     def add(self, x: np.ndarray, right: bool) -> None:
         self.members.append(x)
@@ -63,12 +66,13 @@ class Cluster:
         if self.members.n == self._next:
             length = np.linalg.norm(self.total)
             self.axis, self._next = self.total / length if length else self.total, 2 * self.members.n
-            self.parts.fill(self._part(self.members.all))
+            along = self.members.all @ self.axis
+            self.parts.fill(np.stack([along, np.linalg.norm(self.members.all - along[:, None] * self.axis, axis=1)], 1))
             self.along, self.across = float(self.parts.all[:, 0].min()), float(self.parts.all[:, 1].max())
         else:
             part = self._part(x)
             self.parts.append(part)
-            self.along, self.across = min(self.along, float(part[0])), max(self.across, float(part[1]))
+            self.along, self.across = min(self.along, part[0]), max(self.across, part[1])
 
     def mean_if_all_above(self, x: np.ndarray, threshold: float) -> float | None:
         """The mean product with the members if each is above the threshold."""
@@ -127,7 +131,7 @@ class Leader:
             known, changed = self.reps.n, set()
             products = block @ self.reps.all.T
             for k, x in enumerate(block):
-                sims = np.concatenate([products[k], self.reps.all[known:] @ x])
+                sims = np.concatenate([products[k], self.reps.all[known:] @ x]) if self.reps.n > known else products[k]
                 if changed:
                     renewed = list(changed)
                     sims[renewed] = self.reps.all[renewed] @ x
