@@ -356,6 +356,19 @@ _case("op_s24_all_boxes", ("\\boxed{", None, "} \\mbox{b}"), _u(q.box_contents,
 _case("op_s27_bracket_groups", ("f(1,", None, ") {2} [a,b]"), _u(q.bracket_groups, "array<string>"), f"['(1,' || {_ID} || ')', '[a,b]']")
 _case("op_s30_text_boxes", ("a\\text{x}^2 ", None), _u(q.drop_text_boxes), f"'a ' || {_ID}")
 _case("op_q01_normalise", ("x = \\dfrac{", None, "}{3} \\text{ cm}"), _u(q.normalise_answer), f"'\\frac{{' || {_ID} || '}}{{3}}'")
+_forms(
+    "op_q01_normalise_forms",
+    [("x = \\dfrac{", None, "}{3} \\text{ cm}"), ("\\$", None), ("", None, "\\%"), ("\\left( ", None, ", 8 \\right)"), ("", None, "^{\\circ}"), ("", None, "/3"), ("k = ", None, " cm"), ("{", None, "}")],
+    _u(q.normalise_answer),
+    [f"'\\frac{{' || {_ID} || '}}{{3}}'", _ID, _ID, f"'(' || {_ID} || ',8)'", _ID, f"'\\frac{{' || {_ID} || '}}{{3}}'", _ID, f"'{{' || {_ID} || '}}'"],
+)
+_forms(
+    "op_q08_math_equal_forms",
+    [("", None, "%"), ("", None, ".0"), ("x = ", None), ("1", None), ("", None, " + a"), ("\\frac{2 \\cdot ", None, "}{2}"), ("", None, ".5"), ("", None, "00")],
+    lambda x: q.udf(q.math_equal, "boolean")(x, F.col("event_id").cast("string")),
+    # a half more is within a relative 1e-4 of large numbers
+    ["true", "true", "true", "false", "false", "true", "0.5 <= 1e-4 * (event_id + 0.5)", "true"],
+)
 _case("op_q02_number_words", ("", None), lambda x: q.udf(q.words_to_number, "string")(_spelled(x.cast("long"))), "CAST(event_id % 100 * 1000 + event_id % 20 AS VARCHAR)")
 _case("op_q03_braced_root", ("\\sqrt", None), q.braced_root, f"'\\sqrt{{' || {_ID} || '}}'")
 _case("op_q04_fractions", ("\\frac12+", None), _u(q.braced_fractions), f"'\\frac{{1}}{{2}}+' || {_ID}")
