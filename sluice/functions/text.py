@@ -243,11 +243,12 @@ def before_box(text: Column, tokens: Column) -> Column:
     one; null if the text has no box."""
     at = lambda mark: F.locate(mark, text) - 1
     place = F.when(at("\\boxed") >= 0, at("\\boxed")).when(at("\\fbox") >= 0, at("\\fbox"))
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"))
+    # the place goes along in the state, or the text would be searched again for each token
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"), place.alias("place"))
 
     def add(acc: Column, token: Column) -> Column:
         size = acc["size"] + F.length(token)
-        return F.struct(size.alias("size"), (acc["n"] + (size < place).cast("int")).alias("n"))
+        return F.struct(size.alias("size"), (acc["n"] + (size < acc["place"]).cast("int")).alias("n"), acc["place"].alias("place"))
 
     n = F.aggregate(tokens, start, add, lambda acc: acc["n"])
     return F.when(place.isNotNull(), F.slice(tokens, F.lit(1), F.least(n, F.size(tokens) - 1)))

@@ -9,7 +9,7 @@ from sluice.catalog import query
 from sluice.functions import arrays as g
 from sluice.functions import masks
 from sluice.functions import text as t
-from sluice.session import table
+from sluice.session import spread, table
 
 _KINDS = ("view", "click", "signup", "purchase", "error")
 _CODE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(_KINDS)) + " END"
@@ -244,7 +244,14 @@ def _text(name: str, make, sql_text: str, f, sql: str) -> None:
 
     @query(name, f"SELECT event_id, {sql} AS y FROM (SELECT event_id, event_type, {sql_text} AS x FROM events)")
     def over_events(spark, d):
-        return table(spark, d, "events").select("event_id", f(make()).alias("y"))
+        rows = table(spark, d, "events").select("event_id")
+        return (spread(rows) if getattr(f, "in_python", False) else rows).select("event_id", f(make()).alias("y"))
+
+
+def in_python(f):
+    """Marks a function whose column is made in Python, so that its rows are spread over all cores."""
+    f.in_python = True
+    return f
 
 
 def _lit(*parts):
