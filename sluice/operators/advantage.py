@@ -122,10 +122,13 @@ def to_tokens(value: Column, mask: str) -> Column:
     return F.transform(mask, lambda m: m * value)
 
 
-def fill_left(value: Column, row: str, pos: str) -> Column:
-    """Each position's value is the next non-zero one at or right of it, else 0 (long form)."""
+def fill_left(value: Column, row: str, pos: str, at: Column | None = None) -> Column:
+    """Each position's value is the next non-zero one at or right of it, else 0 (long form).
+
+    ``at`` marks the positions that have a value, where that may be 0 too.
+    """
     w = Window.partitionBy(row).orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, 0)
-    return F.coalesce(F.last(F.when(value != 0, value), ignorenulls=True).over(w), F.lit(0.0))
+    return F.coalesce(F.last(F.when(value != 0 if at is None else at, value), ignorenulls=True).over(w), F.lit(0.0))
 
 
 def step_advantage(long: DataFrame, normalize: bool = True, eps: float = EPS) -> DataFrame:
