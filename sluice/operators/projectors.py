@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sluice.session import ship_path
+from sluice.session import batched, groups, in_groups, ship_path
 
 
 def leading_basis(x: np.ndarray, rank: int | None = None, energy: float | None = None, tol: float = 1e-6) -> np.ndarray:
@@ -116,16 +117,27 @@ def group_projectors(df: DataFrame, group: str, vector: str, rank: int | None, e
         if held:
             yield flush()
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _merged(zip(pdf["n"], pdf["mean"], pdf["products"], strict=True))
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "salt": [0], "n": [m.n], "mean": [m.mean.tolist()], "products": [m.products.ravel().tolist()]})
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for rows in groups(batches, 2):
+                m = _merged(x[2:] for x in rows)
+                yield rows[0][0], 0, m.n, m.mean, m.products.ravel()
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _merged(zip(pdf["n"], pdf["mean"], pdf["products"], strict=True))
-        basis, residual = m.projector(rank, energy)
-        return pd.DataFrame({group: [pdf["grp"].iloc[0]], "mu": [m.mean.tolist()], "rank": [len(basis)], "basis": [basis.tolist()], "residual": [residual]})
+        yield from batched(each(), partial_arrow)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for rows in groups(batches, 1):
+                m = _merged(x[2:] for x in rows)
+                basis, residual = m.projector(rank, energy)
+                yield rows[0][0], m.mean, len(basis), basis.tolist(), residual
+
+        yield from batched(each(), out_arrow)
 
     ship_path(df.sparkSession)
     moments = df.filter(F.col(vector).isNotNull()).select(F.col(group).alias("grp"), F.col(vector).alias("v")).mapInArrow(measure, partial)
-    moments = moments.groupBy("grp", "salt").applyInPandas(merge, partial)
-    return moments.groupBy("grp").applyInPandas(finish, f"{group} {kind}, mu array<double>, rank int, basis array<array<double>>, residual double")
+    moments = in_groups(moments, ["grp", "salt"])
+    partial_arrow = to_arrow_schema(moments.schema)
+    out = T._parse_datatype_string(f"{group} {kind}, mu array<double>, rank int, basis array<array<double>>, residual double")
+    out_arrow = to_arrow_schema(out)
+    return in_groups(moments.mapInArrow(merge, partial), ["grp"]).mapInArrow(finish, out)
