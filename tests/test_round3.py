@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import answers
 from sluice.functions import text as t
+from sluice.llm import line_dedup
 from sluice.operators import advantage, balance
 
 
@@ -54,3 +55,13 @@ def test_ragged_batches(spark):
     put = lambda k, **o: {r.id: r.part for r in balance.assign_parts(rows, "b", "id", "n", k=k, **o).collect()}
     assert put(3) == {0: 1, 1: 0, 2: 2, 3: 1, 4: 0, 5: 0}
     assert put(2, equal_size=True) == {0: 1, 1: 0, 2: 1, 3: 1, 4: 0, 5: 0}
+
+
+def test_bands_are_shuffled_once(spark, tmp_path):
+    # the grouping and the join each wrote all bands of all lines
+    h = [F.xxhash64(F.col("id") % (50 * (i + 1)), F.lit(i)) for i in range(6)]
+    spark.range(5000).select(F.xxhash64("id").alias("h"), F.array(*h).alias("sketch"), F.lit(None).cast("array<bigint>").alias("dense")).write.parquet(str(tmp_path / "s"))
+    shared = line_dedup._shared_bands(spark.read.parquet(str(tmp_path / "s")))
+    assert shared.count() > 5000
+    shared.collect()
+    assert "Reused" in shared._jdf.queryExecution().executedPlan().toString()
