@@ -2,8 +2,8 @@
 
 What a token sees is a union of few sets of places: the keys that all tokens see, up to itself; images and latents of its
 step; its block of observations; the question. Each set is found as runs of places by windows inside the row or a part of
-it, after one exchange by row, and a token's ranges are its sets' runs, cut at the token where they are causal, and
-merged. No token is ever paired with another one, so rows may be long; a token's ranges are as many as the runs it sees.
+it; those of whole rows are joined to the tokens last. A token's ranges are its sets' runs, cut at the token where they are
+causal, and merged. No token is ever paired with another one, so rows may be long; a token's ranges are as many as the runs it sees.
 """
 
 from __future__ import annotations
@@ -31,6 +31,21 @@ def _none() -> Column:
     return F.array().cast(RANGES)
 
 
+def _with_row_runs(rows: DataFrame, source: DataFrame, row: str, **members: Column) -> DataFrame:
+    """A column for each of ``members``: the runs of consecutive places of its members in ``source`` in the whole row.
+
+    A row's runs are made once and joined to its tokens at the end, as a list that grows with the row's length must not
+    go with each token through windows and sorts.
+    """
+    for name, member in members.items():
+        placed = source.filter(member).select(row, F.col("pos").cast("long").alias("pos"))
+        placed = placed.withColumn("_island", F.col("pos") - F.row_number().over(Window.partitionBy(row).orderBy("pos")))
+        runs = placed.groupBy(row, "_island").agg(F.struct(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).alias("_run"))
+        runs = runs.groupBy(F.col(row).alias("_row")).agg(F.array_sort(F.collect_list("_run")).alias("_runs"))
+        rows = rows.join(runs, F.col(row).eqNullSafe(F.col("_row")), "left").withColumn(name, F.coalesce(F.col("_runs"), _none())).drop("_row", "_runs")
+    return rows
+
+
 def up_to(runs: Column, last: Column) -> Column:
     """What of sorted runs is at most ``last``."""
     cut = lambda r: F.struct(r["start"].alias("start"), F.least(r["end"], last + 1).alias("end"))
@@ -48,7 +63,7 @@ def merged(*sets: Column) -> Column:
 
 
 def _marked(rows: DataFrame, row: str) -> DataFrame:
-    # all windows are inside a row, so this is the only exchange
+    # all windows are inside a row, so they share this exchange
     rows = rows.select(row, "pos", "valid", "kind", "step", "block").repartition(row)
     latent = F.when((F.col("kind") == "latent") & F.col("step").isNotNull(), F.col("pos"))
     return rows.withColumn("first_latent", F.min(latent).over(Window.partitionBy(row, "step")))
@@ -75,17 +90,18 @@ def visible_ranges(
         shown = shown & ~(active & is_image)
     if hide_latents:  # a step's latents come after its first one, which alone sees itself
         shown = shown & ~(active & is_latent)
-    rows = _with_runs(rows, "shown", shown, row)
+    of_row, source = {"shown": shown}, rows
     if hide_question_image:
-        rows = _with_runs(rows, "question_images", question_image, row)
+        of_row["question_images"] = question_image
     if observations_see == "question_and_latents":
-        rows = _with_runs(_with_runs(rows, "question", kind == "question", row), "latents", is_latent, row)
+        of_row |= {"question": kind == "question", "latents": is_latent}
         rows = rows.withColumn("block_start", F.min("pos").over(Window.partitionBy(row, "block")))
     elif observations_see is None and observations_skip_question_image:
-        rows = _with_runs(rows, "shown_text", shown & ~question_image & (kind != "question_edge"), row)
+        of_row["shown_text"] = shown & ~question_image & (kind != "question_edge")
     rows = _with_runs(rows, "own_images", is_image & F.col("step").isNotNull(), row, "step")
     rows = _with_runs(rows, "own_latents", is_latent & F.col("step").isNotNull(), row, "step")
     rows = _with_runs(rows, "mates", (kind == "observation") & F.col("step").isNotNull() & F.col("block").isNotNull(), row, "step", "block")
+    rows = _with_row_runs(rows, source, row, **of_row)
     before = lambda name: F.when(F.col("valid"), up_to(F.col(name), pos)).otherwise(_none())
     itself = F.when(is_latent & (pos == F.col("first_latent")), F.array(F.struct(pos.cast("long").alias("start"), (pos + 1).cast("long").alias("end")))).otherwise(_none())
     of_latent = [F.col("own_images"), itself if hide_latents else up_to(F.col("own_latents"), pos)]
@@ -112,7 +128,7 @@ def visible_ranges_without_images(rows: DataFrame, row: str = "row_id", hide_lat
     shown = F.col("valid")
     if hide_latents:
         shown = shown & ~F.coalesce((F.col("kind") == "latent") & F.col("first_latent").isNotNull(), F.lit(False))
-    rows = _with_runs(rows, "shown", shown, row)
+    rows = _with_row_runs(rows, rows, row, shown=shown)
     return rows.select(row, F.col("pos").alias("q"), F.when(F.col("valid"), up_to(F.col("shown"), F.col("pos"))).otherwise(_none()).alias("ranges"))
 
 
