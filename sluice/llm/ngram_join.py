@@ -45,6 +45,8 @@ MOST_FREQUENT = 1 << 17
 #: A bitmap has the least power of two of bits that is BITS_EACH times the set's size, within these bounds.
 BITS_EACH, LEAST_BITS, MOST_BITS = 2, 256, 1 << 20
 TILE = 512
+#: Bits of a prefix shingle that name its bucket: shingles that fall together only add pairs to compare, and fewer bytes are shuffled.
+BUCKET_BITS = 40
 #: Members up to which a bucket's pairs are listed by size alone, before bitmaps are joined to distinct pairs.
 SMALL = 32
 _LUT = spaced_table()
@@ -294,7 +296,8 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others = scratch.keep(sketches.filter("n = 0 OR id IS NULL").select("id", "n"))
     reps = usable.join(members.filter("id = rep").select("id").distinct(), "id", "left_semi")
     bitmaps = scratch.keep(reps.select("id", "n", "bitmap"))
-    tokens = reps.select("id", F.explode("prefix").alias("bucket")).repartition("bucket")
+    short = F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)))
+    tokens = reps.select("id", F.explode(F.array_distinct(short)).alias("bucket")).repartition("bucket")
     least = tokens.groupBy("bucket").agg(F.min("id").alias("c"), F.max("id").alias("most")).filter("c <> most").select("bucket", "c")
     buckets = scratch.keep(tokens.join(least, "bucket"))
     scratch.drop(sketches)

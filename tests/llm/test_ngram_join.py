@@ -100,3 +100,20 @@ def test_small_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in join_documents(docs).collect()} == brute(rows)
+
+
+def test_buckets_have_short_names(spark, monkeypatch):
+    # prefixes were shuffled as whole hashes
+    names, keep = [], ngram_join.Scratch.keep
+
+    def seen(self, df):
+        out = keep(self, df)
+        if set(out.columns) == {"bucket", "id", "c"}:
+            names.extend(r.bucket for r in out.collect())
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "keep", seen)
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(0, text), (1, text + " more"), (2, "other " + text), (3, "alone")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.join_documents(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+    assert names and all(0 <= x < 1 << 40 for x in names)
