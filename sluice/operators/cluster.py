@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sluice.session import ship_path
 
 MODES = ("all", "first", "centroid", "medoid")
 SCHEMA = "sample_id long, ord long, text string, cluster long, correct boolean"
@@ -179,10 +184,70 @@ def look_up_correctness(queries: DataFrame, clusters: DataFrame) -> DataFrame:
     return found.withColumn("correct", F.when(F.col("correct").isNull(), F.raise_error(F.lit("text is in no cluster"))).otherwise(F.col("correct")))
 
 
+#: Vectors of a tile of ``similar_pairs``, about.
+TILE = 1024
+
+
+def tile_pairs(vectors: DataFrame, key: str, id_col: str, vector: str) -> DataFrame:
+    """(g, d, same, x, y): two tiles of the vectors with key g and d components, the same one for the pairs inside a tile.
+
+    A tile is a list of (id, v) of about TILE rows, dealt by hash, so a key of any size is many rows of bounded size and
+    a vector is sent once for each tile of its key. Vectors with nulls, and null keys or ids, are left out.
+    """
+    kind = vectors.schema[vector].dataType.elementType
+    value = F.col(vector) if isinstance(kind, T.FloatType) else F.col(vector).cast("array<double>")
+    rows = vectors.filter(F.col(key).isNotNull() & F.col(id_col).isNotNull()).select(F.col(key).alias("g"), F.col(id_col).alias("id"), value.alias("v"))
+    rows = rows.filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).withColumn("d", F.size("v"))
+    tiles = rows.groupBy("g", "d").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("k"))
+    dealt = rows.join(tiles, ["g", "d"]).withColumn("s", F.pmod(F.xxhash64("id", "v"), F.col("k")).cast("int"))
+    tile = dealt.groupBy("g", "d", "k", "s").agg(F.collect_list(F.struct("id", "v")).alias("t"))
+    # a fixed number of partitions, as adaptive execution goes by bytes and would give few tasks all products
+    n, cell = 4 * vectors.sparkSession.sparkContext.defaultParallelism, ["g", "d", "i", "j"]
+    x = tile.select("g", "d", F.col("s").alias("i"), F.explode(F.sequence("s", F.col("k") - 1)).alias("j"), F.col("t").alias("x")).repartition(n, *cell)
+    y = tile.select("g", "d", F.explode(F.sequence(F.lit(0), "s")).alias("i"), F.col("s").alias("j"), F.col("t").alias("y")).repartition(n, *cell)
+    return x.join(y, cell).select("g", "d", (F.col("i") == F.col("j")).alias("same"), "x", "y")
+
+
+def _above(x: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and product of the pairs above the threshold (not-a-number is), of a tile with itself each once.
+
+    Products of matrices choose; those near or above the threshold are summed again from the first component on.
+    """
+    with np.errstate(all="ignore"):
+        most = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))
+        keep = ~(x @ y.T < threshold - SLACK * np.maximum(1.0, most))
+        i, j = np.nonzero(np.triu(keep, 1) if same else keep)
+        sim = np.zeros(len(i))
+        for c in range(x.shape[1]):
+            sim += x[i, c] * y[j, c]
+    found = (sim > threshold) | np.isnan(sim)
+    return i[found], j[found], sim[found]
+
+
 def similar_pairs(vectors: DataFrame, key: str, id_col: str, vector: str, dot: Column | None, threshold: float) -> DataFrame:
-    """Pairs of a key's vectors with a product above the threshold; meant for keys of bounded size, such as a sample's steps."""
-    from sluice.functions.numeric import dot as product
+    """Pairs (key, a, b, sim) of a key's vectors with a product above the threshold, a < b.
 
-    a = vectors.select(key, F.col(id_col).alias("a"), F.col(vector).alias("_x"))
-    b = vectors.select(key, F.col(id_col).alias("b"), F.col(vector).alias("_y"))
-    return a.join(b, key).filter("a < b").withColumn("sim", product(F.col("_x"), F.col("_y"))).filter(F.col("sim") > threshold).select(key, "a", "b", "sim")
+    Products are those of tiles, so neither rows nor memory grow with a key's pairs, but the products do. Vectors of
+    different lengths or with nulls, and null keys or ids, are in no pair.
+    """
+    of, id_type = vectors.schema[key].dataType, vectors.schema[id_col].dataType
+    schema = T.StructType([T.StructField("g", of), T.StructField("p", id_type), T.StructField("q", id_type), T.StructField("sim", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                d, same = row.column("d")[0].as_py(), row.column("same")[0].as_py()
+                ids, each = zip(*(row.column(c).flatten().flatten() for c in ("x", "y")), strict=True)
+                x, y = (v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), d) for v in each)
+                # a tile may be larger than most, so its products are taken in parts
+                for at in range(0, len(x), TILE):
+                    rest = y[at:] if same else y
+                    i, j, sim = _above(x[at : at + TILE], rest, same, threshold)
+                    if len(i):
+                        left, right = ids[0].take(pa.array(i + at)), ids[1].take(pa.array(j + at if same else j))
+                        yield pa.RecordBatch.from_arrays([row.column("g").take(pa.array(np.zeros(len(i), int))), left, right, pa.array(sim)], names=schema.names)
+
+    ship_path(vectors.sparkSession)
+    found = tile_pairs(vectors, key, id_col, vector).mapInArrow(run, schema)
+    return found.filter("p <> q").select(F.col("g").alias(key), F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "sim")

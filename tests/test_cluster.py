@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from sluice.operators.cluster import MODES, Leader
+from sluice.operators.cluster import MODES, TILE, Leader, similar_pairs, tile_pairs
 
 
 def by_rule(vectors, right, threshold, share, mode):
@@ -70,3 +70,32 @@ def test_a_sample_of_a_hundred_thousand_steps():
     began = time.time()
     found = Leader(0.9).put_all(x, right)
     assert len(found) == 100_000 and time.time() - began < 60
+
+
+def test_similar_pairs_of_odd_rows_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), int(i) % 50, [float(v) for v in np.float32(rng.normal(0, 1, 3 + int(k)))]) for i, k in enumerate(rng.integers(0, 3, 90))]
+    rows += [(None, 1, [9.0] * 3), (0, None, [9.0] * 3), (0, 91, None), (0, 92, [9.0, None, 9.0]), (0, 93, [9.0]), (0, 94, [float("nan"), 1.0, 1.0]), (0, 95, [float("inf"), 1.0, -1.0]), (1, 96, []), (1, 97, [])]
+    whole = [r for r in rows if r[0] is not None and r[1] is not None and r[2] is not None and None not in r[2]]
+    want = []
+    for k, a, x in whole:
+        for j, b, y in whole:
+            if k == j and a < b and len(x) == len(y):
+                sim = 0.0
+                for v, w in zip(x, y, strict=True):
+                    sim += v * w
+                if sim > 0.5 or sim != sim:
+                    want.append((k, a, b, sim))
+    got = similar_pairs(spark.createDataFrame(rows, "k int, id long, v array<float>"), "k", "id", "v", None, 0.5)
+    assert got.columns == ["k", "a", "b", "sim"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_a_large_key_is_joined_by_tiles(spark):
+    n = 4 * TILE
+    rows = spark.range(n).selectExpr("1 AS k", "id", "array(cast(cos(id) AS float), cast(sin(id) AS float)) AS v")
+    assert tile_pairs(rows, "k", "id", "v").count() == 10
+    ids = np.arange(n)
+    v = np.stack([np.cos(ids), np.sin(ids)], 1).astype(np.float32).astype(float)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(v @ v.T > 0.99999, 1)), strict=True)}
+    assert {(r.a, r.b) for r in similar_pairs(rows, "k", "id", "v", None, 0.99999).collect()} == want
