@@ -150,26 +150,45 @@ def dyadic_cells(start: Column, end: Column, levels: Column | int) -> Column:
     return F.filter(F.flatten(F.transform(at, lambda x: F.array(first(x), last(x)))), lambda c: c.isNotNull())
 
 
-def _stabbed(points: DataFrame, at: str, spans: DataFrame, start: Column, end: Column, key: str, levels: int) -> DataFrame:
-    """Pairs of a point and a span of the same key that holds it: the point is in exactly one of the span's cells."""
-    ups = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col(at).cast("long"), k).alias("cell")))
-    places = points.withColumn("_c", F.explode(ups)).select("*", "_c.level", "_c.cell").drop("_c")
-    cut = spans.withColumn("_c", F.explode(dyadic_cells(start.cast("long"), end.cast("long"), levels))).select("*", "_c.level", "_c.cell").drop("_c")
-    return places.join(cut, [key, "level", "cell"]).drop("level", "cell")
+#: Parts of the points' range, at least, that are cells of the top level.
+PARTS = 16
+
+
+def _stabbed(points: DataFrame, at: str, spans: DataFrame, start: Column, end: Column, key: str) -> DataFrame:
+    """Pairs of a point and a span of the same key that holds it: the point is in exactly one of the span's cells.
+
+    Spans are cut to the range of all points first, and the range has PARTS cells of the top level or more, so that a few
+    keys whose spans hold all points are many cells still. Rows are dealt by cells over a fixed number of partitions, as
+    adaptive execution goes by bytes, and a planner that does not see how many rows a cut makes would broadcast them.
+    """
+    place = F.col(at).cast("long")
+    low, high = points.agg(F.min(place), F.max(place)).first()
+    if low is None:
+        low = high = 0
+    inner = spans.withColumn("_s", F.greatest(start.cast("long"), F.lit(low).cast("long"))).withColumn("_e", F.when(end > F.lit(high), F.lit(high).cast("long") + 1).otherwise(end.cast("long"))).filter("_s < _e")
+    most = inner.agg(F.max(F.col("_e") - F.col("_s")).alias("n")).first().n or 1
+    top = max(0, min(most.bit_length(), (high - low + 1).bit_length() - PARTS.bit_length() + 1) - 1)
+    ups = F.transform(F.sequence(F.lit(0), F.lit(top)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", place, k).alias("cell")))
+    first, last = -F.call_function("shiftright", -F.col("_s"), F.lit(top)), F.call_function("shiftright", F.col("_e"), F.lit(top)) - 1
+    whole = F.when(first <= last, F.transform(F.sequence(first, last), lambda c: F.struct(F.lit(top).alias("level"), c.alias("cell")))).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>"))
+    cells = F.concat(dyadic_cells(F.col("_s"), F.col("_e"), top - 1), whole) if top else whole
+    spark = points.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cut = lambda df, c: df.withColumn("_c", F.explode(c)).select("*", "_c.level", "_c.cell").drop("_c", "_s", "_e").repartition(n, key, "level", "cell").hint("merge")
+    return cut(points, ups).join(cut(inner, cells), [key, "level", "cell"]).drop("level", "cell")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Pairs of half-open spans of integers (start, end and other, other_end) of a key that overlap.
 
     Of two spans that overlap, either ``start`` lies in the other span, or ``other`` lies behind ``start`` in the first
-    one, never both. A span is cut into cells of a dyadic grid, of which a length L has at most 2 log2 L, and a point
-    looks in one cell of each level up to that of the longest span. Whatever meets in a cell is a pair, each once, so the
-    join makes no candidates that are dropped. Empty spans, and null keys or ends, are in no pair.
+    one, never both. A span is cut into cells of a dyadic grid, of which a length L has at most 2 log2 L and some PARTS of
+    the top level, and a point looks in one cell of each level up to that of the longest span. Whatever meets in a cell is
+    a pair, each once, so the join makes no candidates that are dropped. Empty spans, and null keys or ends, are in no pair.
     """
     a, b = a.filter("end > start"), b.filter("other_end > other")
-    most = [df.agg(F.max(F.col(e).cast("long") - F.col(s)).alias("n")).first().n or 1 for df, s, e in ((a, "start", "end"), (b, "other", "other_end"))]
-    inside = _stabbed(a, "start", b, F.col("other"), F.col("other_end"), key, most[1].bit_length() - 1)
-    behind = _stabbed(b, "other", a, F.col("start") + 1, F.col("end"), key, most[0].bit_length() - 1)
+    inside = _stabbed(a, "start", b, F.col("other"), F.col("other_end"), key)
+    behind = _stabbed(b, "other", a, F.col("start").cast("long") + 1, F.col("end"), key)
     columns = [key, *(c for c in a.columns if c != key), *(c for c in b.columns if c != key)]
     return inside.select(*columns).unionAll(behind.select(*columns))
 

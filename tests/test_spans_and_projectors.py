@@ -37,6 +37,14 @@ def test_a_long_span_makes_few_rows(spark):
     assert left.select(F.size(dyadic_cells(F.col("start"), F.col("end"), 29))).first()[0] <= 60
 
 
+def test_pairs_of_one_key_are_dealt_over_tasks(spark):
+    left = spark.range(600).coalesce(1).selectExpr("if(id >= 0, 1, 0) AS k", "id * 1000 AS start", "id * 1000 + 3000000000 AS end")
+    right = spark.range(600).coalesce(1).selectExpr("if(id >= 0, 1, 0) AS k", "id * 1000 AS other", "id * 1000 + 1 AS other_end")
+    rows = overlap_join(left, right, "k").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in rows) == 600 * 601 // 2
+    assert max(r["count"] for r in rows) < 600 * 601 // 2 / 3
+
+
 def test_moments_merge():
     rng = np.random.default_rng(3)
     x = rng.normal(1e4, 1, (500, 6)) * np.array([1, 2, 3, 0.1, 0, 5])
