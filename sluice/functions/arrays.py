@@ -150,8 +150,8 @@ def dyadic_cells(start: Column, end: Column, levels: Column | int) -> Column:
     return F.filter(F.flatten(F.transform(at, lambda x: F.array(first(x), last(x)))), lambda c: c.isNotNull())
 
 
-#: Parts of the points' range, at least, that are cells of the top level.
-PARTS = 16
+#: Parts of the points' range, at least, that are cells of the top level; keys up to which rows of other keys are left out first.
+PARTS, KEYS = 16, 1 << 20
 
 
 def _stabbed(points: DataFrame, at: str, spans: DataFrame, start: Column, end: Column, key: str) -> DataFrame:
@@ -178,6 +178,12 @@ def _stabbed(points: DataFrame, at: str, spans: DataFrame, start: Column, end: C
     return cut(points, ups).join(cut(inner, cells), [key, "level", "cell"]).drop("level", "cell")
 
 
+def _of_common_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The rows of ``a`` whose key ``b`` has, where few keys say so; else all, and the join leaves the others out."""
+    keys = b.select(key).distinct()
+    return a.join(F.broadcast(keys), key, "left_semi") if keys.limit(KEYS + 1).count() <= KEYS else a
+
+
 def overlap_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Pairs of half-open spans of integers (start, end and other, other_end) of a key that overlap.
 
@@ -187,6 +193,7 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     a pair, each once, so the join makes no candidates that are dropped. Empty spans, and null keys or ends, are in no pair.
     """
     a, b = a.filter("end > start"), b.filter("other_end > other")
+    a, b = _of_common_keys(a, b, key), _of_common_keys(b, a, key)
     inside = _stabbed(a, "start", b, F.col("other"), F.col("other_end"), key)
     behind = _stabbed(b, "other", a, F.col("start").cast("long") + 1, F.col("end"), key)
     columns = [key, *(c for c in a.columns if c != key), *(c for c in b.columns if c != key)]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.functions.arrays import dyadic_cells, overlap_join
+from sluice.functions.arrays import _of_common_keys, dyadic_cells, overlap_join
 from sluice.operators.projectors import Moments, group_projectors, projector, residual_energy
 
 
@@ -45,6 +45,13 @@ def test_pairs_of_one_key_are_dealt_over_tasks(spark):
     assert max(r["count"] for r in rows) < 600 * 601 // 2 / 3
 
 
+def test_rows_of_other_keys_are_left_out_before_spans_are_cut(spark):
+    left = spark.range(1000).selectExpr("id AS k", "0 AS start", "5 AS end")
+    right = spark.createDataFrame([(3, 1, 2), (3, 2, 9), (None, 1, 2), (5000, 1, 2)], "k long, other int, other_end int")
+    assert [r.k for r in _of_common_keys(left, right, "k").collect()] == [3]
+    assert overlap_join(left, right, "k").count() == 2
+
+
 def test_moments_merge():
     rng = np.random.default_rng(3)
     x = rng.normal(1e4, 1, (500, 6)) * np.array([1, 2, 3, 0.1, 0, 5])
