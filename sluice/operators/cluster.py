@@ -240,6 +240,8 @@ def similar_pairs(vectors: DataFrame, key: str, id_col: str, vector: str, dot: C
                 d, same = row.column("d")[0].as_py(), row.column("same")[0].as_py()
                 ids, each = zip(*(row.column(c).flatten().flatten() for c in ("x", "y")), strict=True)
                 x, y = (v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), d) for v in each)
+                # a tile is made for either side, and shuffles may bring its rows in another order for each
+                ids, y = ((ids[0], ids[0]), x) if same else (ids, y)
                 # a tile may be larger than most, so its products are taken in parts
                 for at in range(0, len(x), TILE):
                     rest = y[at:] if same else y
