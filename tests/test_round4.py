@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 from oracle import differences
 from pyspark.sql import functions as F
 
+from sluice.functions import answers
 from sluice.operators import cluster
 
 
@@ -27,3 +28,11 @@ def test_products_at_a_half_round_as_in_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
     name = "op_l04_similar_pairs"
     assert differences(spark, str(tmp_path), name, __spark_entry__.queries()[name], __spark_entry__.oracle_sql()[name], con) is None
+
+
+def test_numbers_in_a_tag_are_right_if_they_are_equal():
+    # 7777797 is near 100 x 77779, which the SQL does not allow
+    wrong = [("7777797", "77779"), ("7777477", "77774"), ("<answer>100000</answer>", "100001"), ("<answer>x = 7777797</answer>", "77779"), ("700", "7")]
+    right = [("<answer>77779.0 </answer>", "77779"), ("1,000", "1000"), ("<answer>50%</answer>", "50%"), ("<answer>\\frac12</answer>", "1/2"), ("<answer>$5$</answer>", "5.0"), ("nan", "nan")]
+    assert [answers.tagged_accuracy(*x) for x in wrong + right] == [0.0] * len(wrong) + [1.0] * len(right)
+    assert answers.tagged_accuracy("", "5") == answers.tagged_accuracy(None, "5") == 0.0
