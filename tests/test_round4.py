@@ -8,6 +8,8 @@ from oracle import differences
 from pyspark.sql import functions as F
 
 from sluice.functions import answers
+from sluice.llm import line_dedup
+from sluice.llm.base import Scratch
 from sluice.operators import cluster
 
 
@@ -36,3 +38,31 @@ def test_numbers_in_a_tag_are_right_if_they_are_equal():
     right = [("<answer>77779.0 </answer>", "77779"), ("1,000", "1000"), ("<answer>50%</answer>", "50%"), ("<answer>\\frac12</answer>", "1/2"), ("<answer>$5$</answer>", "5.0"), ("nan", "nan")]
     assert [answers.tagged_accuracy(*x) for x in wrong + right] == [0.0] * len(wrong) + [1.0] * len(right)
     assert answers.tagged_accuracy("", "5") == answers.tagged_accuracy(None, "5") == 0.0
+
+
+def test_rounds_of_tiles_make_the_same_pairs(spark, monkeypatch):
+    # all tiles were shuffled with their bitmaps at once
+    monkeypatch.setattr(line_dedup, "TILE", 16)
+    monkeypatch.setattr(line_dedup, "ROUND", 16)
+    monkeypatch.setattr(line_dedup, "ROUND_SHARE", 0.25)
+    words = [f"word{i * i}" for i in range(30)]
+    lines = spark.createDataFrame([(i, " ".join([*words[: i % 30], f"x{i}", *words[i % 30 + 1 :]])) for i in range(120)], "h long, line string")
+    rows = lines.selectExpr("1L AS band", "h", "h % 2 = 0 AS few", "true AS wide")
+    roots = spark.createDataFrame([(h, 0) for h in range(20)], "node long, root long")
+    own = line_dedup._bitmaps(lines).withColumn("mine", F.array(F.lit(1).cast("long")))
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: kept.append(df.columns) or keep(self, df))
+    for few in (True, False):
+        kept.clear()
+        found = sorted(map(tuple, line_dedup._tile_pairs(rows, roots, own, few, Scratch(spark, "rounds")).collect()))
+        assert found == sorted(map(tuple, line_dedup._tile_pairs(rows, roots, own, few).collect())) and len(set(found)) == len(found) > 1000
+        assert kept.count(["u", "v"]) > 4
+
+
+def test_texts_of_lines_in_no_pair_are_not_shuffled(spark):
+    # each comparison of pairs shuffled all lines
+    lines = spark.range(20000).selectExpr("xxhash64(id) AS h", "concat('some line of text ', id) AS line")
+    pairs = spark.range(100).selectExpr("xxhash64(id) AS u", "xxhash64(id + 7) AS v")
+    left = {r.h for r in line_dedup._ends(lines, pairs).select("h").collect()}
+    assert {r.h for r in pairs.selectExpr("explode(array(u, v)) AS h").collect()} <= left and len(left) < 150
+    assert line_dedup._ends(lines, pairs.limit(0)).count() == 0
